@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sql_clean_id, sql_has_text
 from ..session import table
-from . import bpe, conversations, packing, splitting
+from . import bpe, conversations, packing, quality, splitting
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, int]:
@@ -49,6 +49,21 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", limits(spark, d)["container_tokens"])
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    words: dict[str, list[str]] = {}
+    for r in table(spark, d, "common_words").collect():  # a fixed table of 210 rows
+        words.setdefault(r["lang"], []).append(r["word"])
+    return quality.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"), words)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(_scored(spark, d))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
 _P1 = f"""
 with e as (
   select entry_id, session_id, ordinal, {sql_clean_id("entry_kind")} kind, {sql_clean_id("actor")} actor, related_entry_ordinal rel,
@@ -85,4 +100,4 @@ ORACLE = {
       having count(distinct ordinal) > (select limit_value from size_limits where limit_name = 'session_entries')""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed, p9_found, p9_statistics)}
