@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import training
+from . import fact_queries, training
 
-QUERIES = {**training.QUERIES}
-ORACLE = {**training.ORACLE}
+_MODULES = (training, fact_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
