@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sql_clean_id, sql_has_text
 from ..session import table
-from . import bpe, conversations, packing, quality, splitting
+from . import bpe, conversations, packing, pii, quality, splitting
 
 
 def limits(spark: SparkSession, d: str) -> dict[str, int]:
@@ -23,6 +23,20 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "evidence_entries"), table(spark, d, "evidence_segments"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that may hold personal data: those of segments and those prepared for an analysis."""
+    segments = table(spark, d, "evidence_segments").select(F.col("evidence_id").alias("text_id"), "text")
+    return segments.unionByName(table(spark, d, "semantic_texts").select("text_id", "text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(_texts(spark, d), "text_id", "text", table(spark, d, "people")).select("text_id", "pii_type", "start_char").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(_texts(spark, d), "text_id", "text", table(spark, d, "people"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     size = limits(spark, d)
     pieces = splitting.text_pieces(table(spark, d, "semantic_texts"), "text_id", "text", size["text_bytes"], size["text_overlap"])
@@ -100,4 +114,4 @@ ORACLE = {
       having count(distinct ordinal) > (select limit_value from size_limits where limit_name = 'session_entries')""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_redacted, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed, p9_found, p9_statistics)}
