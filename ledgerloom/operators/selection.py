@@ -1,0 +1,87 @@
+"""The bounded part of a document that an analysis sees.
+
+``ranges``: (analysis, doc, first, last), both bounds or none; entries and segments as
+for the facts.  Everything is a join on (doc, ordinal) and an aggregate per analysis; the
+nested form gathers a range only after its limits hold, so what it gathers is bounded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import identity, utf8
+
+#: Limits of a selection.
+MAX_ENTRIES, MAX_REFERENCES, MAX_FACTS = 50, 512, 256
+MAX_TEXT, MAX_EVIDENCE_BYTES, MAX_FACT_BYTES, MAX_INPUT_BYTES = 8192, 262_144, 131_072, 524_288
+
+
+def valid_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges with both bounds in order, or none."""
+    both = F.col("first").isNotNull() & F.col("last").isNotNull() & (F.col("first") >= 0) & (F.col("first") <= F.col("last"))
+    none = F.col("first").isNull() & F.col("last").isNull()
+    return ranges.filter(both | none)
+
+
+def selected_entries(ranges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(analysis, entry...) of every entry within its analysis' range."""
+    inside = F.col("first").isNull() | F.col("ordinal").between(F.col("first"), F.col("last"))
+    return valid_ranges(ranges).join(entries, "doc").filter(inside)
+
+
+def projected_text(text: Column) -> dict[str, Column]:
+    """A text within the limit, with its sizes."""
+    kept = utf8.cut(text, MAX_TEXT)
+    return {"text": kept, "truncated": F.octet_length(text) > MAX_TEXT, "original_bytes": F.octet_length(text), "emitted_bytes": F.octet_length(kept)}
+
+
+def selected_segments(ranges: DataFrame, entries: DataFrame, segments: DataFrame) -> DataFrame:
+    chosen = selected_entries(ranges, entries).select("analysis", "doc", "ordinal", "kind", "actor", "first")
+    return chosen.join(segments, ["doc", "ordinal"]).withColumns(projected_text(F.col("text")))
+
+
+def statistics(ranges: DataFrame, entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per analysis the counts and bytes of its selection, its coverage, and the limit it breaks first."""
+    totals = entries.groupBy("doc").agg(F.count(F.lit(1)).alias("total_entries"))
+    e = selected_entries(ranges, entries).groupBy("analysis", "doc").agg(F.count(F.lit(1)).alias("selected_entries"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.max(F.col("first").isNull()).alias("implicit"))
+    s = selected_segments(ranges, entries, segments).groupBy("analysis").agg(
+        F.count(F.lit(1)).alias("selected_segments"), F.coalesce(F.sum("emitted_bytes"), F.lit(0)).alias("text_bytes"), F.count(F.when(F.col("truncated"), 1)).alias("truncated_texts")
+    )
+    out = e.join(totals, "doc").join(s, "analysis", "left").fillna(0, ["selected_segments", "text_bytes", "truncated_texts"])
+    complete = F.col("selected_entries") == F.col("total_entries")
+    broken = (
+        F.when(F.col("selected_entries") > MAX_ENTRIES, "entries").when(F.col("selected_entries") + F.col("selected_segments") > MAX_REFERENCES, "references")
+        .when(F.col("implicit") & (F.col("truncated_texts") > 0), "truncated-snapshot").when(F.col("text_bytes") > MAX_EVIDENCE_BYTES, "evidence-bytes")
+    )
+    return out.select("analysis", "doc", "selected_entries", "total_entries", "low", "high", "selected_segments", "text_bytes", "truncated_texts", F.when(complete, "complete-retained-snapshot").otherwise("partial-range").alias("coverage"), broken.alias("broken_limit"))
+
+
+def references(ranges: DataFrame, entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """Distinct (analysis, evidence_id) of the selection; one id with two contents counts twice in ``contents``."""
+    chosen = selected_segments(ranges, entries, segments)
+    return chosen.groupBy("analysis", "evidence_id").agg(F.count_distinct("doc", "ordinal", "segment").alias("contents"))
+
+
+def facts_within(ranges: DataFrame, entries: DataFrame, segments: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per analysis its document's facts: those whose evidence is all selected, and how many are left out."""
+    refs = references(ranges, entries, segments).select("analysis", "evidence_id", F.lit(1).alias("chosen"))
+    home = segments.select("evidence_id", "doc")
+    cites = facts.select("fact_id", F.size("evidence_ids").alias("n"), F.explode("evidence_ids").alias("evidence_id"))
+    placed = cites.join(home, "evidence_id").join(valid_ranges(ranges).select("analysis", "doc"), "doc").join(refs, ["analysis", "evidence_id"], "left")
+    each = placed.groupBy("analysis", "fact_id", "n").agg(F.count("chosen").alias("chosen"))
+    kept = F.col("chosen") == F.col("n")
+    return each.groupBy("analysis").agg(F.count(F.when(kept, 1)).alias("included_facts"), F.count(F.when(~kept, 1)).alias("excluded_facts"))
+
+
+def encoded(ranges: DataFrame, entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """(analysis, input_digest, bytes) of each selection within its limits, as canonical JSON in order.
+
+    Only selections that keep all limits are gathered: at most MAX_ENTRIES entries and MAX_EVIDENCE_BYTES of text each.
+    """
+    sound = statistics(ranges, entries, segments).filter("broken_limit is null").select("analysis")
+    rows = selected_segments(ranges, entries, segments).join(sound, "analysis", "left_semi")
+    body = identity.record([("ordinal", identity.number("ordinal")), ("segment", identity.number("segment")), ("kind", identity.string("kind")), ("actor", identity.string("actor")), ("text", identity.string("text"))], optional=("actor",))
+    listed = F.array_sort(F.collect_list(F.struct("ordinal", "segment", body.alias("json"))))
+    joined = rows.groupBy("analysis").agg(identity.array(F.transform(listed, lambda x: x["json"])).alias("json"))
+    return joined.select("analysis", identity.fingerprint(F.col("json")).alias("input_digest"), F.octet_length("json").alias("bytes"))
