@@ -1,0 +1,94 @@
+"""Queries of the privacy policy (PRV) over prepared texts, with their SQL.
+
+The tables' own texts hold little that the policy looks for, so each text carries a
+probe chosen by the last hex digit of its id; the SQL knows what becomes of each probe.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import privacy
+from ..session import table
+
+_P, _C, _H = (privacy.PLACEHOLDER[c] for c in (privacy.PATH, privacy.CREDENTIALS, privacy.HOST))
+#: By hex digit: the probe, what is left of it, and its counts (path, credentials, host).
+PROBES = {
+    "0": ('open "/srv/my data/x.log" now', f'open "{_P}" now', (1, 0, 0)),
+    "1": ("cat /etc/app/conf.yml, then stop", f"cat {_P}, then stop", (1, 0, 0)),
+    "2": ("copy C:\\work\\a.txt today", f"copy {_P} today", (1, 0, 0)),
+    "3": ("see https://u:p@example.com/x.", f"see https://{_C}@example.com/x.", (0, 1, 0)),
+    "4": ("see http://10.0.0.7:8443/x?y=1 ok", f"see http://{_H}/x?y=1 ok", (0, 0, 1)),
+    "5": ("ping 192.168.1.20 and 8.8.8.8", f"ping {_H} and 8.8.8.8", (0, 0, 1)),
+    "6": ("host build-7.internal:8080 is up", f"host {_H} is up", (0, 0, 1)),
+    "7": ("read file:///srv/a b", f"read {_P} b", (1, 0, 0)),
+    "8": ("at [fe80::1] or ::1 it answers", f"at {_H} or {_H} it answers", (0, 0, 2)),
+    "9": ("cd ~/src/app && ls", f"cd {_P} && ls", (1, 0, 0)),
+    "a": ("HTTPS://ADMIN:X@localhost:1/p!", f"https://{_C}@{_H}/p!", (0, 1, 1)),
+    "b": ("fetch https://example.org/a/b?c=d#e, please", "fetch https://example.org/a/b?c=d#e, please", (0, 0, 0)),
+    "c": ("100.64.3.4 and 172.16.0.1 and 172.32.0.1", f"{_H} and {_H} and 172.32.0.1", (0, 0, 2)),
+    "d": ("the ratio 3/4 and a/b stay", "the ratio 3/4 and a/b stay", (0, 0, 0)),
+    "e": ("run in /tmp or `/var/log/x`", f"run in {_P} or `{_P}`", (2, 0, 0)),
+    "f": ("printer.lan and fd00::5 too", f"{_H} and {_H} too", (0, 0, 2)),
+}
+
+
+def _probed(spark: SparkSession, d: str) -> DataFrame:
+    table_of = F.create_map(*[F.lit(x) for k, (probe, _, _) in PROBES.items() for x in (k, probe)])
+    return table(spark, d, "semantic_texts").select("text_id", table_of[F.substring("text_id", -1, 1)].alias("text"))
+
+
+def prv_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """PRV-1, 7 to 16: each probe after the policy, with its counts."""
+    r = _probed(spark, d).select("text_id", privacy.preflight("text").alias("r"))
+    n = lambda c: F.coalesce(F.get(F.filter("r.redactions", lambda x: x["category"] == c), F.lit(0))["count"], F.lit(0))
+    return r.select("text_id", "r.text", n(privacy.PATH).alias("paths"), n(privacy.CREDENTIALS).alias("credentials"), n(privacy.HOST).alias("hosts"))
+
+
+def prv_postflight(spark: SparkSession, d: str) -> DataFrame:
+    """PRV-2: generated texts that are rejected, by category."""
+    return _probed(spark, d).select(F.explode(privacy.postflight("text")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prv_paths(spark: SparkSession, d: str) -> DataFrame:
+    """PRV-7, 8: the path steps as JVM expressions, over the tables' own texts and the probes."""
+    own = table(spark, d, "semantic_texts").filter("text is not null").select("text_id", "text")
+    both = own.unionByName(_probed(spark, d)).select("text_id", "text", privacy.without_paths(F.col("text")).alias("clean"))
+    return both.filter("clean <> text").select("text_id", F.sha2("clean", 256).alias("digest"))
+
+
+def prv_blocked(spark: SparkSession, d: str) -> DataFrame:
+    """PRV-3 to 5: texts blocked by plain patterns, with a header put into every text whose id ends in 0 or 1."""
+    last = F.substring("text_id", -1, 1)
+    held = F.when(last == "0", F.concat(F.lit("author"), F.lit("ization: Bearer abcdefgh"))).when(last == "1", F.concat(F.lit("-----BEGIN RSA "), F.lit("PRIVATE KEY-----"))).otherwise(F.col("text"))
+    rows = table(spark, d, "semantic_texts").select("text_id", F.explode(privacy.blocked_by(held)).alias("category"))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prv_batches(spark: SparkSession, d: str) -> DataFrame:
+    """PRV-1, 16: the policy's report for each analysis' texts."""
+    rows = table(spark, d, "semantic_texts").select("analysis_id", "text")
+    out = privacy.batches(rows, ["analysis_id"], "text")
+    return out.select("analysis_id", "is_blocked", F.size("blocked_categories").alias("blocked"), F.aggregate("redactions", F.lit(0).cast("bigint"), lambda a, x: a + x["count"]).alias("redactions"))
+
+
+def _values() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    return "(values " + ", ".join(f"({q(k)}, {q(probe)}, {q(clean)}, {n[0]}, {n[1]}, {n[2]})" for k, (probe, clean, n) in PROBES.items()) + ") p(k, probe, clean, a, b, c)"
+
+
+_SQL_PATHS = "regexp_replace(regexp_replace(regexp_replace(t, {0}, '\\1" + _P + "\\3', 'g'), {1}, '\\1" + _P + "', 'g'), {2}, '\\1" + _P + "', 'g')"
+_QUOTE = lambda p: "'" + p.replace("'", "''") + "'"
+_CLEAN = _SQL_PATHS.format(*map(_QUOTE, (privacy.QUOTED_PATH, privacy.POSIX_PATH, privacy.WINDOWS_PATH)))
+
+ORACLE = {
+    "prv_redacted": f"select text_id, clean \"text\", a::bigint paths, b::bigint credentials, c::bigint hosts from semantic_texts join {_values()} on k = right(text_id, 1)",
+    "prv_postflight": f"select category, count(*) n from (select unnest([case when a > 0 then '{privacy.PATH}' end, case when b > 0 then '{privacy.CREDENTIALS}' end, case when c > 0 then '{privacy.HOST}' end]) category from semantic_texts join {_values()} on k = right(text_id, 1)) where category is not null group by 1",
+    "prv_paths": f"""select text_id, sha256(clean) digest from (select text_id, t, {_CLEAN} clean from (
+      select text_id, text t from semantic_texts where text is not null union all select text_id, probe from semantic_texts join {_values()} on k = right(text_id, 1))) where clean <> t""",
+    "prv_blocked": f"""select category, count(*) n from (select unnest([case when regexp_matches(t, {_QUOTE(privacy.AUTHORIZATION)}) then 'authorization-header' end,
+      case when regexp_matches(t, {_QUOTE(privacy.PRIVATE_KEY)}) then 'private-key' end, case when regexp_matches(t, {_QUOTE(privacy.PROVIDER_TOKEN)}) then 'provider-token' end]) category from (
+      select case right(text_id, 1) when '0' then 'author' || 'ization: Bearer abcdefgh' when '1' then '-----BEGIN RSA ' || 'PRIVATE KEY-----' else text end t from semantic_texts)) where category is not null group by 1""",
+}
+QUERIES = {f.__name__: f for f in (prv_redacted, prv_postflight, prv_paths, prv_blocked, prv_batches)}

@@ -46,7 +46,9 @@ FIELDS = {
 }
 _ALLOWED = {k: (frozenset(a.split()), frozenset(a.split()) | frozenset(b.split())) for k, (a, b) in FIELDS.items()}
 _STAMP, _HEX = re.compile(TIMESTAMP), re.compile(HEX_DIGEST)
-DOCUMENT_SCHEME, CONTENT_SCHEME = "sha256-canonical-v1", "sha256-utf8-v1"
+#: Digest schemes of documents and of segment texts.
+DOCUMENT_SCHEME = ("sha256-canonical-v1", "sha256-sessions-document-jcs-v1")
+CONTENT_SCHEME = ("sha256-utf8-v1",)
 
 
 class Invalid(Exception):
@@ -97,10 +99,10 @@ def _ref(value: object, record: str) -> dict:
     return ref
 
 
-def _digest(value: object, scheme: str, record: str) -> bool:
+def _digest(value: object, schemes: tuple[str, ...], record: str) -> bool:
     digest = _object(value, "digest")
     _strict(digest, "digest", record)
-    return digest["scheme"] == scheme and isinstance(digest["digest"], str) and bool(_HEX.match(digest["digest"]))
+    return digest["scheme"] in schemes and isinstance(digest["digest"], str) and bool(_HEX.match(digest["digest"]))
 
 
 def _complete(text: dict) -> bool:
@@ -154,7 +156,7 @@ def _segment(raw: object, place: int) -> tuple[int, int]:
         _need(segment.keys() <= _ALLOWED["textSegment"][1] and segment["text"].keys() <= _ALLOWED["text"][1], 8, "invalid text segment")
         _need(_complete(segment["text"]), 8, "invalid selected text")
         mark = segment["contentHash"]
-        _need(mark.keys() <= _ALLOWED["digest"][1] and mark["scheme"] == CONTENT_SCHEME and isinstance(mark["digest"], str) and _HEX.match(mark["digest"]), 8, "invalid content hash")
+        _need(mark.keys() <= _ALLOWED["digest"][1] and mark["scheme"] in CONTENT_SCHEME and isinstance(mark["digest"], str) and _HEX.match(mark["digest"]), 8, "invalid content hash")
         _need(hashlib.sha256(segment["text"]["text"].encode("utf-8", "replace")).hexdigest() == mark["digest"], 8, "content hash mismatch")
         return 0, segment["text"]["emittedUtf8Bytes"]
     _need(segment.keys() <= _ALLOWED["omittedSegment"][1] and segment["contentClass"] in ENUMS["contentClass"] and segment["sourceType"], 8, "invalid omitted segment")
