@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 EMITTED = "tag string, row_key string, parent_key string, root_key string, pos long, n_fields long, payload string"
 
 
@@ -114,7 +116,7 @@ def flatten(rows: DataFrame, key_col: str, json_col: str, tag: str, containers:
             yield frame
 
     source = rows.select(F.col(f"`{key_col}`").cast("string").alias("k"), F.col(f"`{json_col}`").alias("j")).filter("k is not null")
-    return source.mapInPandas(run, EMITTED)
+    return spread(source).mapInPandas(run, EMITTED)
 
 
 def write_tables(emitted: DataFrame, path: str) -> None:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regexes import HEX_DIGEST, TIMESTAMP
 from ..operators.ranking import ranked
+from ..session import cut, spread
 
 MAX_EXPORT_BYTES = 64 * 1024 * 1024
 #: Vocabularies of an export.
@@ -226,7 +227,8 @@ def read_records(lines: DataFrame) -> DataFrame:
             read[list(_NUMBERS)] = read[list(_NUMBERS)].apply(pd.to_numeric).astype("Int64")
             yield pd.concat([pdf[["doc", "line_no"]], read.astype({c: object for c in _TEXT_COLUMNS})], axis=1)
 
-    return lines.filter("record_json is not null and trim(record_json) <> ''").select("doc", "line_no", "record_json").mapInPandas(run, RECORDS)
+    texts = lines.filter("record_json is not null and trim(record_json) <> ''").select("doc", "line_no", "record_json")
+    return cut(spread(texts).mapInPandas(run, RECORDS))  # several joins and aggregates follow: parse once
 
 
 def _first(stage: Column, category: Column) -> Column:
