@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: The splitting pattern of byte_bpe_50k, and the same over ASCII.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ASCII_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
@@ -192,4 +194,4 @@ def encoded(rows: DataFrame, key_col: str, text_col: str, vocabulary: str | None
             yield pa.RecordBatch.from_arrays([keys, ids], names=[key_col, "ids"])
 
     out = f"`{key_col}` {kind}, " + ("n_tokens long" if sizes_only else "ids array<int>")
-    return rows.select(F.col(f"`{key_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, out)
+    return spread(rows.select(F.col(f"`{key_col}`"), F.col(f"`{text_col}`"))).mapInArrow(run, out)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import pii_rules as rules
 from .pii_model import PAD, TAGS, K, Tagger, char_ids
 
@@ -221,7 +222,7 @@ def found(texts: DataFrame, id_col: str, text_col: str, people: DataFrame, weigh
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["text_id", "pii_type", "start_char", "end_char"])
 
     rows = texts.select(F.col(f"`{id_col}`").cast("string").alias("text_id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null and text_id is not null")
-    return rows.mapInArrow(run, "text_id string, pii_type string, start_char long, end_char long").distinct()
+    return spread(rows).mapInArrow(run, "text_id string, pii_type string, start_char long, end_char long").distinct()
 
 
 def redacted(texts: DataFrame, id_col: str, text_col: str, people: DataFrame, weights: str | Path | None = None) -> DataFrame:
@@ -239,4 +240,4 @@ def redacted(texts: DataFrame, id_col: str, text_col: str, people: DataFrame, we
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(tally, counts)], names=["text_id", "text", "redactions"])
 
     rows = texts.select(F.col(f"`{id_col}`").cast("string").alias("text_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "text_id string, text string, redactions array<struct<category:string,count:bigint>>")
+    return spread(rows).mapInArrow(run, "text_id string, text string, redactions array<struct<category:string,count:bigint>>")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import has_text
-from ..session import cut
+from ..session import cut, spread
 from . import prose
 
 #: The statistics that are ranked, each with its decimals.
@@ -77,7 +77,7 @@ def statistics(texts: DataFrame, key_col: str, text_col: str, words: dict[str, l
 
     kind = texts.schema[key_col].dataType.simpleString()
     out = f"`{key_col}` {kind}, lang_group string, words long, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return texts.select(F.col(f"`{key_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, out)
+    return spread(texts.select(F.col(f"`{key_col}`"), F.col(f"`{text_col}`"))).mapInArrow(run, out)
 
 
 def ranks(stats: DataFrame) -> DataFrame:

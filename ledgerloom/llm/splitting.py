@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import clean_id
-from .conversations import CHUNK, chunk_of
+from .conversations import chunk_of
 
 #: Boundaries from the strongest to the weakest; a cut is at a match's end.
 BOUNDARIES = [
@@ -118,7 +118,7 @@ def ranked_entries(entries: DataFrame) -> DataFrame:
     kind, actor = clean_id("entry_kind"), clean_id("actor")
     strength = F.when(kind == "tool-result", 0).when(actor == "human", 3).when(kind == "tool-call", 1).otherwise(2)
     rows = entries.filter("session_id is not null and ordinal is not null").groupBy("session_id", "ordinal").agg(F.min(strength).alias("strength"))
-    rows = rows.withColumn("chunk", chunk_of(F.col("ordinal"), CHUNK))
+    rows = rows.withColumn("chunk", chunk_of(F.col("ordinal")))
     counts = rows.groupBy("session_id", "chunk").agg(F.count(F.lit(1)).alias("c"))
     before = F.sum("c").over(W.partitionBy("session_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
     total = F.sum("c").over(W.partitionBy("session_id"))
