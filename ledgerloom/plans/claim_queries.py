@@ -193,6 +193,13 @@ ORACLE = {
       pl as (select rv.analysis, ci.fact_id, ci.n, exists (select 1 from ss where ss.analysis = rv.analysis and ss.evidence_id = ci.evidence_id) ok from ci join sg on sg.evidence_id = ci.evidence_id join rv on rv.doc = sg.doc),
       f as (select analysis, fact_id, n, count(case when ok then 1 end) k from pl group by all)
       select analysis, count(case when k = n then 1 end) included_facts, count(case when k <> n then 1 end) excluded_facts from f group by 1""",
+    "sel_digests": _SEL + f""", st as (select analysis, bool_or(first is null) implicit, count(*) n from se group by 1),
+      sb as (select analysis, count(*) ns, sum(case when text is not null then least(strlen(text), {selection.MAX_TEXT}) end) nb, count(case when strlen(text) > {selection.MAX_TEXT} then 1 end) nt from ss group by 1),
+      ok as (select analysis from st join sb using (analysis) where n <= {selection.MAX_ENTRIES} and n + ns <= {selection.MAX_REFERENCES} and not (implicit and nt > 0) and coalesce(nb, 0) <= {selection.MAX_EVIDENCE_BYTES}),
+      j as (select analysis, ordinal, segment, '{{"ordinal":' || ordinal || ',"segment":' || segment || ',"kind":"' || kind || '",' || coalesce('"actor":"' || nullif(actor, '') || '",', '') || '"text":'
+        || coalesce(replace(replace(replace(to_json(text)::varchar, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026'), 'null') || '}}' b from ss where analysis in (from ok)),
+      d as (select analysis, '[' || string_agg(b, ',' order by ordinal, segment) || ']' x from j group by 1)
+      select analysis, sha256(x) input_digest, strlen(x) bytes from d""",
     "res_claims": f"""with ev as ({EVIDENCE}), ca as ({CANDIDATES}), ids as (select candidate_id, doc, unnest(l) evidence_id, generate_subscripts(l, 1) - 1 place from (select candidate_id, doc, list_concat({_IDS("supporting")}, {_IDS("contradicting")}) l from ca)),
       fi as (select candidate_id, doc, evidence_id, min(place) place from ids group by all), j as (select fi.*, ev.evidence_id is not null ok, ev.text from fi left join ev on ev.evidence_id = fi.evidence_id and ev.doc = fi.doc)
       select candidate_id, place, evidence_id, sha256(text) text, coalesce(strlen(text) > {resolve.MAX_TEXT}, false) truncated from j where candidate_id not in (select candidate_id from j where not ok)""",

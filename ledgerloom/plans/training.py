@@ -95,6 +95,12 @@ with r as (select *, row_number() over (partition by {sql_clean_id("event_id")}
 ORACLE = {
     "p4_found": _P4_CTE + "select ref_table, row_id, ref_field, ref_id, state from probed where state is not null",
     "p4_report": _P4_CTE + "select ref_table, ref_field, strftime(seen_at, '%Y-%m') period, state, count(*) n from probed where state is not null group by all",
+    "p4_timeline": _P4_CTE + """, ch as (
+      select ref_table, seen_at t, 1 o, 0 s, 0 r from probed where first_at is null or first_at > seen_at
+      union all select ref_table, first_at, 0, 1, 0 from probed where first_at > seen_at
+      union all select ref_table, greatest(deleted_at, seen_at, first_at), 0, 0, 1 from probed where deleted_at is not null),
+      g as (select ref_table, strftime(t, '%Y-%m') period, sum(o)::bigint opened, sum(s)::bigint resolved, sum(r)::bigint reopened from ch group by all)
+      select *, (sum(opened + reopened - resolved) over (partition by ref_table order by period))::bigint open_at_end from g""",
     "p5_found": _P5_RANKED + "select delivery_id from r where id is not null and k > 1",
     "p5_events": _P5_RANKED + "select delivery_id, event_id, batch_id, event_type, subject_type, subject_id, payload_json from r where id is null or k = 1",
 }
