@@ -31,9 +31,9 @@ def string(col: Column | str) -> Column:
 
 
 def number(col: Column | str) -> Column:
-    """An integer, or a float in shortest form without ``.0``; null becomes ``null``."""
-    text = (F.col(col) if isinstance(col, str) else col).cast("string")
-    return F.coalesce(F.regexp_replace(text, r"\.0$", ""), F.lit("null"))
+    """An integer, or a float in shortest form without ``.0``; null becomes ``null``, as do values that JSON cannot hold."""
+    text = F.regexp_replace((F.col(col) if isinstance(col, str) else col).cast("string"), r"\.0$", "")
+    return F.coalesce(F.when(~text.rlike("[Nn]"), text), F.lit("null"))
 
 
 def boolean(col: Column | str) -> Column:
@@ -88,3 +88,23 @@ def event_fingerprint(version: Column, kind: Column, subject_type: Column, subje
 def revision(fields: dict[str, Column]) -> Column:
     """The six-field identity of a document revision, keys in declared order."""
     return record([(k, v) for k, v in fields.items()])
+
+
+def fact_fingerprint(rev: Column, kind: Column, value: Column, outcome: Column, rule: Column, extractor: Column, version: Column, schema: Column, evidence: Column) -> Column:
+    """The identity of a fact; ``rev`` and ``value`` are canonical JSON, ``evidence`` an array of ids."""
+    names = ("Revision", "Kind", "Value", "Outcome", "Rule", "Extractor", "Version", "Schema", "Evidence")
+    return fingerprint(record(list(zip(names, (rev, string(kind), value, string(outcome), string(rule), string(extractor), string(version), number(schema), strings(evidence))))))
+
+
+#: The components of a claim's identity, in order.
+CLAIM_KEYS = (
+    "ProcessingKey", "Type", "Statement", "Status", "Confidence", "SupportingEvidence", "ContradictingEvidence", "SupportingFactIDs", "Outcome", "Actor", "Origin", "Subject", "Scope", "Attribution",
+    "ExtractorName", "ExtractorVersion", "SchemaVersion", "PromptVersion", "RequestedRoute", "ResolvedProvider", "ResolvedModel",
+)
+
+
+def claim_fingerprint(parts: dict[str, Column]) -> Column:
+    """The identity of a claim from the canonical JSON of its components; the run's id and its time are none of them."""
+    if tuple(parts) != CLAIM_KEYS:
+        raise ValueError("a claim's identity needs exactly its components, in order")
+    return fingerprint(record(list(parts.items())))

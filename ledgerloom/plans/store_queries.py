@@ -137,7 +137,7 @@ def evt_built(spark: SparkSession, d: str) -> DataFrame:
 def _cases(spark: SparkSession, d: str) -> DataFrame:
     model = F.from_json("model_json", "totalTokens bigint, latencyMilliseconds bigint, costUsd string")
     n = candidates(spark, d).groupBy(F.col("batch").alias("case")).agg(F.count(F.lit(1)).alias("claims"))
-    rows = table(spark, d, "semantic_details").select(F.col("analysis_id").alias("case"), (F.col("status") == "completed").alias("completed"), F.col("recorded_at"), F.when(F.expr("is_variant_null(try_parse_json(model_json)) is not null"), model).alias("m"))
+    rows = table(spark, d, "semantic_details").select(F.col("analysis_id").alias("case"), (F.col("status") == "completed").alias("completed"), F.col("recorded_at"), F.when(F.json_object_keys("model_json").isNotNull(), model).alias("m"))
     return rows.join(n, "case", "left").select("case", "completed", "recorded_at", F.coalesce("claims", F.lit(0)).alias("claims"), F.col("m.totalTokens").alias("tokens"), F.col("m.latencyMilliseconds").alias("latency"), F.expr("try_cast(m.costUsd as decimal(38,12))").alias("cost"))
 
 
