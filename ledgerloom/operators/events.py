@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions.regexes import HEX_DIGEST
+from .facts import trimmed
 
 #: Event kinds, reference kinds, failure categories and limits.
 CLAIM_ADMITTED, ANALYSIS_COMPLETED = "claim.admitted", "analysis.completed"
@@ -48,7 +49,7 @@ def _built(rows: DataFrame, kind: str, subject_type: str, subject: Column, paylo
 
 
 def _bounded(col: Column, limit: int) -> Column:
-    return F.coalesce((F.length(col) > 0) & (F.btrim(col) == col) & (F.octet_length(col) <= limit), F.lit(False))
+    return F.coalesce((F.length(col) > 0) & (trimmed(col) == col) & (F.octet_length(col) <= limit), F.lit(False))
 
 
 def contract(events: DataFrame) -> Column:

@@ -206,6 +206,8 @@ _EV = f"with ev as ({EVENTS}), ob as ({OUTBOX.replace('as string', 'as varchar')
 _CL = f"""with ca as ({CANDIDATES}), cl as (select claim_id, batch analysis_id, ordinal, list_filter(coalesce(fact_ids, []::varchar[]), lambda x: x is not null) fact_ids from ca where claim_id is not null
   qualify row_number() over (partition by claim_id order by batch, ordinal, candidate_id) = 1)
 """
+_KINDS = ", ".join(f"'{k}'" for k in op.REFERENCE_TYPES)
+_B = lambda x, n: f"coalesce(length({x}) > 0 and trim({x}, chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(133)||chr(160)) = {x} and strlen({x}) <= {n}, false)"
 _RUN = f"""with en as ({adapters.ENTRIES}), g as (select doc, digest, source_kind, source_instance_id, native_id, count(*) n from en group by all),
 k as (select doc, sha256('{{"Revision":{{"canonicalId":"' || doc || '","nativeSourceKind":"' || source_kind || '","sourceInstanceId":"' || source_instance_id || '","nativeId":"' || native_id || '","digest":"' || digest
   || '"}},"Selection":' || n || ',"Extractor":"facts","Version":"1","Schema":1}}') processing_key from g)
@@ -241,6 +243,15 @@ ORACLE = {
         when status = 'pending' and attempt_count = 0 and coalesce(last_failure, '') <> '' then 'unattempted-failure' when status = 'pending' and attempt_count > 0 and coalesce(last_failure, '') not in ({", ".join(f"'{f}'" for f in op.FAILURES)}) then 'attempted-without-failure'
         when status = 'delivered' and attempt_count < 1 then 'delivered-unattempted' when status = 'delivered' and delivered_at is null then 'delivered-without-time' when status = 'delivered' and coalesce(last_failure, '') <> '' then 'delivered-with-failure'
         when status not in ('pending', 'delivered') then 'status' end problem from ob) where problem is not null group by 1""",
+    "evt_contract": f"""with e as (select *, list_transform(refs, lambda r: r.record_id) ids, list_transform(refs, lambda r: r.record_type) kinds, case when json_valid(payload_json) and json_type(payload_json) = 'OBJECT' then payload_json end p from domain_events),
+      f as (select *, len(json_keys(p)) nk, json_extract_string(p, '$.analysisId') a, json_extract_string(p, '$.claimId') c, json_extract(p, '$.claimIds')::varchar[] cs from e)
+      select case when schema_version is distinct from 1 then 'version' when not {_B("event_id", op.MAX_ID)} then 'id' when not coalesce(regexp_full_match(fingerprint, '[0-9a-f]{{64}}'), false) then 'fingerprint'
+        when not {_B("event_type", op.MAX_TYPE)} then 'type' when not coalesce(subject_type in ({_KINDS}), false) then 'subject-type' when not {_B("subject_id", op.MAX_SUBJECT)} then 'subject' when created_at is null then 'time'
+        when refs is null or len(refs) > {op.MAX_REFERENCES} then 'references' when len(list_filter(refs, lambda r: not coalesce(r.record_type in ({_KINDS}), false) or not {_B("r.record_id", op.MAX_SUBJECT)})) > 0 then 'reference'
+        when p is null or strlen(p) > {op.MAX_PAYLOAD} then 'payload'
+        when event_type = 'claim.admitted' then case when not coalesce(subject_type = 'claim' and nk = 2 and c = subject_id and kinds[1] = 'analysis' and ids[1] = a and len(list_filter(kinds[2:], lambda k: k <> 'fact')) = 0 and len(list_distinct(ids[2:])) = len(ids[2:]), false) then 'claim-contract' end
+        when event_type = 'analysis.completed' then case when not coalesce(subject_type = 'analysis' and nk = 2 and a = subject_id and cs = ids and len(list_filter(kinds, lambda k: k <> 'claim')) = 0 and len(list_distinct(ids)) = len(ids), false) then 'completion-contract' end
+        else 'type' end problem, count(*) n from f group by 1""",
     "evt_built": _CL + """, ce as (select 'claim.admitted' event_type, claim_id subject_id, 'claim' st, '{"analysisId":"' || analysis_id || '","claimId":"' || claim_id || '"}' p,
         '{"recordType":"analysis","recordId":"' || analysis_id || '"}' || list_aggregate(list_transform(fact_ids, lambda x: ',{"recordType":"fact","recordId":' || to_json(x)::varchar || '}') || [''], 'string_agg', '') refs, len(fact_ids) + 1 nr from cl),
       ae as (select 'analysis.completed', analysis_id, 'analysis', '{"analysisId":"' || analysis_id || '","claimIds":[' || string_agg('"' || claim_id || '"', ',' order by ordinal, claim_id) || ']}',

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedup
+from ..operators.events import attempted, oldest_pending
 
 MAX_REPORT = 8 * 1024 * 1024
 
@@ -114,3 +115,27 @@ def distinct_outputs(*paths: str | Path) -> None:
     real = [Path(p).resolve() for p in paths]
     if len(set(real)) < len(real) or any(p.exists() for p in real):
         raise FileExistsError("output paths must be distinct and absent")
+
+
+def failure_category(error: BaseException) -> str:
+    """A failed publication as a fixed category."""
+    return "timeout" if isinstance(error, TimeoutError) else "transport"
+
+
+def publish_next(events: DataFrame, outbox: DataFrame, path: str | Path) -> DataFrame | None:
+    """Publish the oldest pending event to a file and give its next outbox version; None where nothing is pending.
+
+    The line is durable before the version exists, so a crash in between repeats the same event id: at least once.
+    """
+    chosen = oldest_pending(events, outbox).select(*events.columns, "attempt_count").collect()  # at most one row
+    if not chosen:
+        return None
+    row = chosen[0].asDict(recursive=True)
+    expected = row.pop("attempt_count")
+    failure = None
+    try:
+        append_line(path, {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in row.items()})
+    except OSError as error:
+        failure = failure_category(error)
+    attempt = events.sparkSession.createDataFrame([(row["event_id"], expected, failure)], "event_id string, expected long, failure string")
+    return attempted(outbox, attempt.withColumn("at", F.current_timestamp()))

@@ -88,3 +88,17 @@ def test_ranks_over_chunks(spark, monkeypatch):
     rows = spark.createDataFrame([("hot", i * 3, i % 2) for i in range(40)] + [("b", 7, 1)], "k string, o long, odd int")
     got = ranked(rows, ["k"], "o", "r", (), F.col("odd") == 1).orderBy("k", "o").collect()
     assert [r.r for r in got if r.k == "hot"] == [i // 2 for i in range(40)]
+
+
+def test_publish_next_until_nothing_is_pending(spark, tmp_path):
+    events = spark.createDataFrame([("e2", "2026-01-02"), ("e1", "2026-01-01"), ("e3", "2026-01-01")], "event_id string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    state = spark.createDataFrame([(e, 0, "pending", None, None, None) for e in ("e1", "e2")] + [("e3", 1, "delivered", None, None, None)], OUTBOX)
+    path = tmp_path / "events.jsonl"
+    for _ in range(3):
+        new = sinks.publish_next(events, op.current(state), path)
+        if new is None:
+            break
+        state = spark.createDataFrame(state.unionByName(new).collect(), OUTBOX)
+    assert new is None and [json.loads(x)["event_id"] for x in path.read_text().splitlines()] == ["e1", "e2"]
+    failed = sinks.publish_next(events, spark.createDataFrame([("e1", 0, "pending", None, None, None)], OUTBOX), tmp_path)
+    assert [(r.attempt_count, r.status, r.last_failure) for r in failed.collect()] == [(1, "pending", "transport")]
