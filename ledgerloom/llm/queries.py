@@ -23,6 +23,11 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "evidence_entries"), table(spark, d, "evidence_segments"))
 
 
+def p1_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations' message parts without the episodes."""
+    return p1_conversations(spark, d).drop("episode")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """The texts that may hold personal data: those of segments and those prepared for an analysis."""
     segments = table(spark, d, "evidence_segments").select(F.col("evidence_id").alias("text_id"), "text")
@@ -108,10 +113,14 @@ bad as (select session_id from a union select session_id from c union select ses
 
 ORACLE = {
     "p1_found": _P1 + "select session_id from bad",
+    "p1_messages": _P1 + f""", s as (select evidence_id, entry_id, segment_ordinal, arg_min(text, (recorded_at, text)) text, max(deleted_at) gone from evidence_segments where entry_id is not null group by all),
+      l as (select * from s where gone is null and {sql_has_text("text")})
+      select m.session_id, m.ordinal turn, case m.actor when 'human' then 'user' when 'model' then 'assistant' when 'tool' then 'tool' when 'system' then 'system' else 'unknown' end "role", m.kind, m.entry_id, l.segment_ordinal part, l.text
+      from m left join l using (entry_id) where m.session_id not in (from bad)""",
     "p6_found": """
       select 'text' item_kind, text_id item_id from semantic_texts, size_limits where limit_name = 'text_bytes' and strlen(text) > limit_value
       union all select 'session', session_id from evidence_entries where session_id is not null group by session_id
       having count(distinct ordinal) > (select limit_value from size_limits where limit_name = 'session_entries')""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_redacted, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_messages, p2_found, p2_redacted, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed, p9_found, p9_statistics)}
