@@ -275,7 +275,7 @@ ORACLE = {
       select n.label, (select count(*) from j where j.label = n.label) n from (select unnest(['prose', 'list', 'table', 'log', 'code', 'junk', 'useful', 'unreviewed']) label) n""",
     "evl_useful": "select count(distinct session_id) sessions from documents where doc_id in (select doc_id from (select doc_id, min(label) l from doc_labels group by 1) where l = 'prose')",
     "evl_stale": """select 'unknown' problem, count(distinct doc_id) n from doc_labels where doc_id not in (select doc_id from documents where doc_id % 5 > 0) having count(*) > 0
-      union all select 'duplicate', count(*) from (select doc_id from doc_labels group by 1 having count(*) > 1)""",
+      union all select 'duplicate', count(*) from (select doc_id from doc_labels group by 1 having count(*) > 1) having count(*) > 0""",
 }
 
 QUERIES = {
