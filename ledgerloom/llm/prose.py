@@ -35,7 +35,7 @@ def line_kind(line: str, common: Set[str]) -> float:
     body = line.strip()
     n = len(body)
     cjk = len(CJK.findall(body)) if not body.isascii() else 0
-    words = WORD.findall(body)
+    words = WORD.findall(body.lower())
     if cjk > 0.4 * n:
         if LIST_MARK.match(line) or len(DELIMITED.findall(body)) >= 2:
             return 0.0
@@ -48,7 +48,7 @@ def line_kind(line: str, common: Set[str]) -> float:
     count = len(tokens)
     if not words:
         return 0.0
-    known = sum(w.lower() in common for w in words)
+    known = sum(map(common.__contains__, words))
     letters = sum(map(len, words))
     longest = max(map(len, tokens))
     odd = sum(1 for t in tokens if IDENTIFIER.fullmatch(t.strip(".,;:!?()[]`'\""))) if MAYBE_IDENTIFIER.search(body) else 0

@@ -45,13 +45,14 @@ def measure(text: str | None, by_lang: dict[str, frozenset[str]], common: frozen
     if text is None or not text.strip():
         return None
     n = len(text)
-    words = [w.lower() for w in prose.WORD.findall(text)]
-    known = sum(map(common.__contains__, words))
+    words = prose.WORD.findall(text.lower())
+    plain = list(filter(common.__contains__, words))
+    known = len(plain)
     cjk = 0 if text.isascii() else len(prose.CJK.findall(text))
     if cjk > 0.2 * n:
         group = "cjk"
     else:
-        hits = {lang: sum(map(own.__contains__, words)) for lang, own in by_lang.items()} if known else {}
+        hits = {lang: sum(map(own.__contains__, plain)) for lang, own in by_lang.items()} if known else {}
         group = max(sorted(hits), key=hits.get) if hits else "und"
     lines = [x for x in text.splitlines() if x and not x.isspace()]
     ended = sum(1 for x in lines if prose.END_MARK.search(x[-40:]))
