@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +50,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once, where neither their path nor the working folder has it."""
+    root = Path(__file__).resolve().parent.parent
+    known = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or any(Path(p).resolve() == root for p in known):
+        return
+    base = Path(tempfile.mkdtemp(prefix="ledgerloom-code-")) / "ledgerloom"
+    context.addPyFile(shutil.make_archive(str(base), "zip", root, Path(__file__).resolve().parent.name))
+    _shipped.add(context.applicationId)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores before a costly map, where its few small files would keep most of them idle.
 
