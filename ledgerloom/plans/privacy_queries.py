@@ -1,16 +1,17 @@
 """Queries of the privacy policy (PRV) over prepared texts, with their SQL.
 
-The tables' own texts hold little that the policy looks for, so each text carries a
-probe chosen by the last hex digit of its id; the SQL knows what becomes of each probe.
+The tables' own texts hold little that the policy looks for, so a probe chosen by the
+last hex digit of its id is put after each whole text; the SQL knows what becomes of each
+probe and takes the texts themselves to hold nothing the policy looks for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy
-from ..session import table
+from ..session import spread, table
 
 _P, _C, _H = (privacy.PLACEHOLDER[c] for c in (privacy.PATH, privacy.CREDENTIALS, privacy.HOST))
 #: By hex digit: the probe, what is left of it, and its counts (path, credentials, host).
@@ -34,34 +35,47 @@ PROBES = {
 }
 
 
+def _probe() -> Column:
+    return F.create_map(*[F.lit(x) for k, (probe, _, _) in PROBES.items() for x in (k, probe)])[F.substring("text_id", -1, 1)]
+
+
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's probe alone."""
+    return table(spark, d, "semantic_texts").select("text_id", _probe().alias("text"))
+
+
 def _probed(spark: SparkSession, d: str) -> DataFrame:
-    table_of = F.create_map(*[F.lit(x) for k, (probe, _, _) in PROBES.items() for x in (k, probe)])
-    return table(spark, d, "semantic_texts").select("text_id", table_of[F.substring("text_id", -1, 1)].alias("text"))
+    """Each stored text, whole, and on a line after it its probe."""
+    return spread(table(spark, d, "semantic_texts").select("text_id", F.concat_ws("\n", "text", _probe()).alias("text")))
 
 
 def prv_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """PRV-1, 7 to 16: each probe after the policy, with its counts."""
+    """PRV-1, 7 to 16: each stored text and its probe after the policy, with their counts; a blocked text is null.
+
+    The SQL has what is left of the probe alone, so it gives another ``text``.
+    """
     r = _probed(spark, d).select("text_id", privacy.preflight("text").alias("r"))
     n = lambda c: F.coalesce(F.get(F.filter("r.redactions", lambda x: x["category"] == c), F.lit(0))["count"], F.lit(0))
     return r.select("text_id", "r.text", n(privacy.PATH).alias("paths"), n(privacy.CREDENTIALS).alias("credentials"), n(privacy.HOST).alias("hosts"))
 
 
 def prv_postflight(spark: SparkSession, d: str) -> DataFrame:
-    """PRV-2: generated texts that are rejected, by category."""
+    """PRV-2: generated texts that are rejected, by category, as stored and with their probes."""
     return _probed(spark, d).select(F.explode(privacy.postflight("text")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def prv_paths(spark: SparkSession, d: str) -> DataFrame:
     """PRV-7, 8: the path steps as JVM expressions, over the tables' own texts and the probes."""
     own = table(spark, d, "semantic_texts").filter("text is not null").select("text_id", "text")
-    both = own.unionByName(_probed(spark, d)).select("text_id", "text", privacy.without_paths(F.col("text")).alias("clean"))
+    both = own.unionByName(_probes(spark, d)).select("text_id", "text", privacy.without_paths(F.col("text")).alias("clean"))
     return both.filter("clean <> text").select("text_id", F.sha2("clean", 256).alias("digest"))
 
 
 def prv_blocked(spark: SparkSession, d: str) -> DataFrame:
-    """PRV-3 to 5: texts blocked by plain patterns, with a header put into every text whose id ends in 0 or 1."""
+    """PRV-3 to 5: texts blocked by plain patterns, with a header put after every text whose id ends in 0 or 1."""
     last = F.substring("text_id", -1, 1)
-    held = F.when(last == "0", F.concat(F.lit("author"), F.lit("ization: Bearer abcdefgh"))).when(last == "1", F.concat(F.lit("-----BEGIN RSA "), F.lit("PRIVATE KEY-----"))).otherwise(F.col("text"))
+    header = F.when(last == "0", F.concat(F.lit("author"), F.lit("ization: Bearer abcdefgh"))).when(last == "1", F.concat(F.lit("-----BEGIN RSA "), F.lit("PRIVATE KEY-----")))
+    held = F.concat_ws("\n", "text", header)
     rows = table(spark, d, "semantic_texts").select("text_id", F.explode(privacy.blocked_by(held)).alias("category"))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 

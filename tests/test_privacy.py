@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from ledgerloom.functions import privacy
+from ledgerloom.plans import privacy_queries
 from ledgerloom.plans.privacy_queries import PROBES
 
 
@@ -55,3 +56,21 @@ def test_frames(spark):
     got = {r.batch: (r.is_blocked, r.blocked_categories, [tuple(x) for x in r.redactions]) for r in privacy.batches(rows, ["batch"], "text").collect()}
     assert got == {"b1": (False, [], [("local-or-private-host", 2), ("local-path", 1)]), "b2": (True, ["provider-token"], []), "b3": (False, [], [])}
     assert privacy.batches(rows.filter("false"), ["batch"], "text").count() == 0
+
+
+def test_queries_read_the_stored_texts(spark, tmp_path):
+    header = BLOCKED["authorization-header"][0]
+    texts = [("t0", "read /srv/a/b.txt\nthen ping 10.0.0.1"), ("t1", f"x {BLOCKED['provider-token'][0]} y"), ("tb", header), ("td", "see https://u:p@example.com/x and /etc/c/d"), ("tf", None)]
+    spark.createDataFrame(texts, "text_id string, text string").write.parquet(str(tmp_path / "semantic_texts.parquet"))
+    d = str(tmp_path)
+    left = {r.text_id: (r.text, r.paths, r.credentials, r.hosts) for r in privacy_queries.prv_redacted(spark, d).collect()}
+    path, credentials, host = (privacy.PLACEHOLDER[c] for c in (privacy.PATH, privacy.CREDENTIALS, privacy.HOST))
+    assert left == {
+        "t0": (f"read {path}\nthen ping {host}\n" + PROBES["0"][1], 2, 0, 1),
+        "t1": (None, 0, 0, 0),
+        "tb": (None, 0, 0, 0),
+        "td": (f"see https://{credentials}@example.com/x and {path}\n" + PROBES["d"][1], 1, 1, 0),
+        "tf": (PROBES["f"][1], 0, 0, 2),
+    }
+    assert {r.category: r.n for r in privacy_queries.prv_postflight(spark, d).collect()} == {privacy.PATH: 3, privacy.CREDENTIALS: 1, privacy.HOST: 2, "provider-token": 1, "authorization-header": 1}
+    assert {r.category: r.n for r in privacy_queries.prv_blocked(spark, d).collect()} == {"authorization-header": 2, "private-key": 1, "provider-token": 1}
