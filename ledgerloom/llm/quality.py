@@ -1,12 +1,12 @@
 """Per-document text statistics and an outlier score from exact per-language ranks.
 
-1. One map over Arrow batches gives each text's statistics, rounded so that a
-   statistic has at most a few thousand values, and its language group (by its own
-   words and script, since the column can be wrong).
+1. One map over Arrow batches gives each text's statistics, as they are, and its
+   language group (by its own words and script, since the column can be wrong).
 2. The values are counted per (language, statistic) with map-side combining, the counts
    are range-partitioned and sorted, and running sums within a partition plus the
    offsets of the partitions before it give exact ranks.  No partition holds more than
-   its range, however uneven the values.
+   its range, however uneven the values.  The ranks are joined back by value; a value
+   that very many texts share is one row of the ranks and a skewed left side.
 3. A text's tail probabilities, P(X <= x) and P(X >= x) within its language, are
    combined into an outlier score: the weighted sum of their negative logarithms, with
    weights fitted by logistic regression on a bounded sample of labelled documents.
@@ -23,9 +23,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,8 +32,8 @@ from ..functions.text import has_text
 from ..session import cut, spread
 from . import prose
 
-#: The statistics that are ranked, each with its decimals.
-STATISTICS = {"log_words": 1, "mean_word_len": 1, "symbol_ratio": 3, "digit_ratio": 3, "line_end_share": 3, "common_share": 3, "prose_share": 3}
+#: The statistics that are ranked.
+STATISTICS = ("log_words", "mean_word_len", "symbol_ratio", "digit_ratio", "line_end_share", "common_share", "prose_share")
 LABELS_AT_MOST = 20_000
 CANDIDATE_AT = 0.02
 _DIGIT = re.compile(r"\d")
@@ -56,11 +55,11 @@ def measure(text: str | None, by_lang: dict[str, frozenset[str]], common: frozen
         group = max(sorted(hits), key=hits.get) if hits else "und"
     lines = [x for x in text.splitlines() if x and not x.isspace()]
     ended = sum(1 for x in lines if prose.END_MARK.search(x[-40:]))
-    mean = min(100.0, sum(map(len, words)) / len(words)) if words else 0.0
+    mean = sum(map(len, words)) / len(words) if words else 0.0
     values = (
         np.log2(len(words) + 1), mean, len(prose.SYMBOL.findall(text)) / n, len(_DIGIT.findall(text)) / n, ended / max(1, len(lines)), known / max(1, len(words)), prose.prose_share(text, common)
     )
-    return group, len(words), *(round(float(v), d) for v, d in zip(values, STATISTICS.values()))
+    return group, len(words), *map(float, values)
 
 
 def statistics(texts: DataFrame, key_col: str, text_col: str, words: dict[str, list[str]]) -> DataFrame:
@@ -81,10 +80,14 @@ def statistics(texts: DataFrame, key_col: str, text_col: str, words: dict[str, l
     return spread(texts.select(F.col(f"`{key_col}`"), F.col(f"`{text_col}`"))).mapInArrow(run, out)
 
 
+def _listed() -> Column:
+    """The statistics of a row as (stat, value), one row each."""
+    return F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATISTICS])).alias("v")
+
+
 def ranks(stats: DataFrame) -> DataFrame:
     """(lang_group, stat, value, n, below, total): exact ranks of each value within its language."""
-    listed = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATISTICS])
-    counts = stats.filter("lang_group is not null").select("lang_group", F.explode(listed).alias("v")).groupBy("lang_group", "v.stat", "v.value").agg(F.count(F.lit(1)).alias("n"))
+    counts = stats.filter("lang_group is not null").select("lang_group", _listed()).groupBy("lang_group", "v.stat", "v.value").agg(F.count(F.lit(1)).alias("n"))
     ranged = counts.repartitionByRange("lang_group", "stat", "value").withColumn("part", F.spark_partition_id())
     ranged = cut(ranged)  # the partitions must stay as they are for the offsets
     group = ["lang_group", "stat"]
@@ -95,25 +98,14 @@ def ranks(stats: DataFrame) -> DataFrame:
     return ranged.withColumn("inner", inner).join(offsets, [*group, "part"]).select(*group, "value", "n", (F.col("offset") + F.col("inner")).alias("below"), "total")
 
 
-class Tails:
-    """The ranks as arrays by (language, statistic): bounded by the rounding, not by the number of texts."""
-
-    def __init__(self, table: pd.DataFrame):
-        self.arrays = {}
-        for key, rows in table.groupby(["lang_group", "stat"]):
-            rows = rows.sort_values("value")
-            total = float(rows["total"].iloc[0])
-            self.arrays[key] = (rows["value"].to_numpy(), (rows["below"] + rows["n"]).to_numpy() / total, 1 - rows["below"].to_numpy() / total)
-
-    def features(self, stats: pd.DataFrame) -> np.ndarray:
-        """Negative logarithms of both tail probabilities of every statistic."""
-        out = np.zeros((len(stats), 2 * len(STATISTICS)))
-        for lang, rows in stats.groupby("lang_group").indices.items():
-            for j, stat in enumerate(STATISTICS):
-                value, left, right = self.arrays[lang, stat]
-                at = np.searchsorted(value, stats[stat].to_numpy()[rows])
-                out[rows, 2 * j], out[rows, 2 * j + 1] = -np.log(left[at]), -np.log(right[at])
-        return out
+def tails(stats: DataFrame) -> DataFrame:
+    """``stats``, which needs a unique ``row_id``, with ``x``: the negative logarithms of both tail probabilities of every statistic."""
+    own = [c for c in stats.columns if c not in STATISTICS]
+    each = stats.filter("lang_group is not null").select(*own, _listed()).select(*own, "v.stat", "v.value").join(ranks(stats), ["lang_group", "stat", "value"])
+    left, right = -F.log((F.col("below") + F.col("n")) / F.col("total")), -F.log((F.col("total") - F.col("below")) / F.col("total"))
+    of = lambda s, c: F.max(F.when(F.col("stat") == s, c))
+    wide = each.groupBy(*own).agg(*[of(s, F.col("value")).alias(s) for s in STATISTICS], F.array(*[of(s, c) for s in STATISTICS for c in (left, right)]).alias("x"))
+    return wide.unionByName(stats.filter("lang_group is null").withColumn("x", F.lit(None).cast("array<double>")))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -140,26 +132,16 @@ def labelled(labels: DataFrame, at_most: int = LABELS_AT_MOST) -> DataFrame:
 
 def scored(texts: DataFrame, labels: DataFrame, words: dict[str, list[str]], key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text with its statistics, outlier score and the probability that it is no prose."""
-    stats = cut(statistics(texts, key_col, text_col, words))
-    tails = Tails(ranks(stats).toPandas())
+    stats = cut(statistics(texts, key_col, text_col, words).withColumn("row_id", F.monotonically_increasing_id()))
+    ranked = cut(tails(stats))
     known = labelled(labels).withColumnRenamed("doc_id", key_col)
-    sample = stats.filter("lang_group is not null").join(F.broadcast(known), key_col).toPandas()  # at most LABELS_AT_MOST labels
-    weights, offset = fit_weights(tails.features(sample), sample["junk"].to_numpy(dtype=float)) if len(sample) else (np.ones(2 * len(STATISTICS)), 0.0)
-    shared = texts.sparkSession.sparkContext.broadcast((tails, weights, offset))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tails_, weights_, offset_ = shared.value
-        for pdf in batches:
-            score = np.full(len(pdf), np.nan)
-            there = pdf["lang_group"].notna().to_numpy()
-            if there.any():
-                score[there] = tails_.features(pdf[there].reset_index(drop=True)) @ weights_ + offset_
-            yield pdf.assign(score=score, p_junk=1 / (1 + np.exp(-np.clip(score, -30, 30))))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields)
-    return stats.mapInPandas(run, schema + ", score double, p_junk double").withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("score", "p_junk")})
+    sample = ranked.filter("x is not null").join(F.broadcast(known), key_col).select("x", "junk").toPandas()  # at most LABELS_AT_MOST labels
+    weights, offset = fit_weights(np.array(sample["x"].tolist()), sample["junk"].to_numpy(dtype=float)) if len(sample) else (np.ones(2 * len(STATISTICS)), 0.0)
+    score = sum((F.col("x")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0)) + F.lit(float(offset))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("score")))))
+    return ranked.withColumn("score", score).withColumn("p_junk", F.when(F.col("score").isNotNull(), p)).select(key_col, "lang_group", "words", *STATISTICS, "score", "p_junk")
 
 
 def not_prose(scores: DataFrame, key_col: str = "doc_id", at: float = CANDIDATE_AT) -> DataFrame:
-    """Outliers by score of which, checked exactly, no more than half of the characters are in lines of prose."""
-    return scores.filter((F.col("p_junk") >= at) & (F.col("prose_share") <= 0.5)).select(key_col)
+    """Outliers by score of which, checked exactly, less than half of the characters are in lines of prose."""
+    return scores.filter((F.col("p_junk") >= at) & (F.col("prose_share") < 0.5)).select(key_col)

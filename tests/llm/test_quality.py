@@ -72,3 +72,26 @@ def test_weights_are_those_of_the_logistic_optimum():
     w, b = quality.fit_weights(x, y)
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.abs(x.T @ (y - p) - w).max() < 1e-4 and abs((y - p).sum()) < 1e-3
+
+
+def test_values_are_ranked_unrounded_and_uncapped(spark):
+    prose_lines, junk = [PROSE[0]] * 40, ["8fe9de30 554a38ba0ccdd8d5 91934e04 e68406e0"] * 80
+    long = "\n".join([*prose_lines, *junk])
+    texts = [PROSE[0], PROSE[0] + " It is so.", PROSE[0] + " It is so!!", "x" * 150, "y" * 400, long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.scored(docs, spark.createDataFrame([], "doc_id long, label string"), WORDS).collect()}
+    mean = lambda t: (lambda w: sum(map(len, w)) / len(w))(prose.WORD.findall(t.lower()))
+    for i, t in enumerate(texts):
+        assert got[i].mean_word_len == mean(t) and got[i].prose_share == prose.prose_share(t, COMMON)
+    assert got[3].mean_word_len == 150.0 and got[4].mean_word_len == 400.0
+    rows = [quality.measure(t, {k: frozenset(v) for k, v in WORDS.items()}, COMMON) for t in texts]
+    for i, mine in enumerate(rows):  # with all weights one the score is the sum of both tails of all statistics
+        own = [r for r in rows if r[0] == mine[0]]
+        left = [sum(o[j] <= mine[j] for o in own) / len(own) for j in range(2, 9)]
+        right = [sum(o[j] >= mine[j] for o in own) / len(own) for j in range(2, 9)]
+        assert got[i].score == pytest.approx(-np.log(left + right).sum())
+
+
+def test_half_prose_is_not_found(spark):
+    shares = spark.createDataFrame([(1, 0.9, 0.5), (2, 0.9, 0.50004), (3, 0.9, 0.49996), (4, 0.9, None)], "doc_id long, p_junk double, prose_share double")
+    assert [r.doc_id for r in quality.not_prose(shares).collect()] == [3]
