@@ -11,7 +11,10 @@ from ..operators import evaluation, events as op
 from ..session import table
 from . import adapters
 from .claim_queries import CANDIDATES, FACTS, candidates, facts
+from .commit import RunStore
 
+#: The run store, beside the tables.
+RUN_STORE = "run_store"
 #: The first delivery of each event; its outbox record follows from the delivery's number (some records are invalid).
 EVENTS = """
 select * from (select *, row_number() over (partition by lower(trim(event_id)) order by received_at, delivery_id) as rk from domain_events where event_id is not null and trim(event_id) <> '') t where rk = 1
@@ -76,10 +79,10 @@ def idn_processing_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """RUN-1, STO-6, 7, 11: of all runs, those whose key is stored are reused, the others are to be done."""
+    """RUN-1, STO-6, 7, 11: of all runs, those whose key is committed in the run store beside the tables are reused, the others are to be done."""
     now = _runs(spark, d)
-    stored = now.filter(F.substring("processing_key", 1, 1) < "8").select("processing_key", F.lit(True).alias("stored"))
-    return now.join(stored, "processing_key", "left").groupBy(F.coalesce("stored", F.lit(False)).alias("reused")).agg(F.count(F.lit(1)).alias("runs"))
+    due = RunStore(spark, f"{d}/{RUN_STORE}").pending(now, "processing_key").select("processing_key", F.lit(False).alias("reused")).distinct()
+    return now.join(due, "processing_key", "left").groupBy(F.coalesce("reused", F.lit(True)).alias("reused")).agg(F.count(F.lit(1)).alias("runs"))
 
 
 def sto_claim_analyses(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +201,7 @@ def evl_useful(spark: SparkSession, d: str) -> DataFrame:
 def evl_stale(spark: SparkSession, d: str) -> DataFrame:
     """EVL-15: reviews that must be rejected, by problem."""
     reviews = table(spark, d, "doc_labels").select(F.col("doc_id").alias("key"))
-    return evaluation.stale(table(spark, d, "documents").select(F.col("doc_id").alias("key")).filter("key % 5 > 0"), reviews).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    return evaluation.stale(table(spark, d, "documents").select(F.col("doc_id").alias("key")), reviews).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 _Q = """'"' || replace({}, '"', '\\"') || '"'"""

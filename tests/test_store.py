@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import events as op
 from ledgerloom.operators.ranking import ranked
+from ledgerloom.plans import store_queries
 from ledgerloom.plans.commit import RunStore
 from ledgerloom.streaming import sinks
 
@@ -102,3 +103,21 @@ def test_publish_next_until_nothing_is_pending(spark, tmp_path):
     assert new is None and [json.loads(x)["event_id"] for x in path.read_text().splitlines()] == ["e1", "e2"]
     failed = sinks.publish_next(events, spark.createDataFrame([("e1", 0, "pending", None, None, None)], OUTBOX), tmp_path)
     assert [(r.attempt_count, r.status, r.last_failure) for r in failed.collect()] == [(1, "pending", "transport")]
+
+
+def test_runs_committed_through_the_store_are_reused(spark, data, tmp_path):
+    for name in os.listdir(data):
+        os.symlink(f"{data}/{name}", tmp_path / name)
+    d = str(tmp_path)
+    keys = sorted(r.processing_key for r in store_queries.idn_processing_keys(spark, d).collect())
+    assert {r.reused: r.runs for r in store_queries.run_incremental(spark, d).collect()} == {False: len(keys)}
+    store = RunStore(spark, f"{d}/{store_queries.RUN_STORE}")
+    assert store.commit(keys[0], {}) and store.commit(keys[-1], {}) and store.commit(keys[1], {}, failed="extract") and store.commit("another", {})
+    assert {r.reused: r.runs for r in store_queries.run_incremental(spark, d).collect()} == {True: 2, False: len(keys) - 2}
+
+
+def test_stale_reviews_are_checked_against_all_documents(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in (1, 5, 10, 11)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, "prose"), (5, "list"), (10, "junk"), (10, "junk"), (15, "log"), (16, "log"), (16, "code")]
+    spark.createDataFrame(labels, "doc_id long, label string").write.parquet(str(tmp_path / "doc_labels.parquet"))
+    assert {r.problem: r.n for r in store_queries.evl_stale(spark, str(tmp_path)).collect()} == {"unknown": 2, "duplicate": 2}
