@@ -13,7 +13,8 @@ each chunk is reduced to a short summary, and only summaries meet per session.
 4. Human entries and replies in order of ordinal, per chunk and then across chunks,
    give human entries without a reply.
 
-Inactivity gaps: within a session the order is that of the ordinals; a pause longer
+Inactivity gaps: within a session the order is that of the ordinals, and a pause is
+the time since the last message before that has one, in whatever chunk; a pause longer
 than the limit calibrated for its source (a multiple of a high quantile of all its
 pauses) starts a new episode.
 
@@ -34,7 +35,7 @@ from ..session import cut
 CHUNK = 4096
 #: The role of each actor in a conversation.
 ROLES = {"human": "user", "model": "assistant", "tool": "tool", "system": "system"}
-GAP_QUANTILE, GAP_FACTOR, GAP_LEAST_S = 0.95, 4.0, 900.0
+GAP_QUANTILE, GAP_FACTOR = 0.95, 4.0
 
 
 def messages(entries: DataFrame, segments: DataFrame) -> DataFrame:
@@ -122,21 +123,26 @@ def gap_limits(msgs: DataFrame) -> DataFrame:
     """Per source the pause that starts a new episode: GAP_FACTOR times the GAP_QUANTILE of its pauses."""
     pause = _pauses(msgs)
     q = F.percentile_approx("pause_s", GAP_QUANTILE, 1000)
-    return pause.filter("pause_s is not null").groupBy("source_kind").agg(F.greatest(q * GAP_FACTOR, F.lit(GAP_LEAST_S)).alias("limit_s"))
+    return pause.filter("pause_s is not null").groupBy("source_kind").agg((q * GAP_FACTOR).alias("limit_s"))
 
 
 def _pauses(msgs: DataFrame) -> DataFrame:
-    """Each message with the seconds since the message before it in its chunk."""
-    at = F.unix_micros("entry_ts") / 1e6
-    order = W.partitionBy("session_id", chunk_of(F.col("ordinal"))).orderBy("ordinal")
-    return msgs.withColumn("pause_s", F.greatest(at - F.lag(at).over(order), F.lit(0.0)))
+    """Each message with the seconds since the last message before it that has a time: in its chunk, else as chunks' summaries carry it."""
+    timed = msgs.withColumns({"chunk": chunk_of(F.col("ordinal")), "at": F.unix_micros("entry_ts") / 1e6})
+    rows_before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    ends = timed.groupBy("session_id", "chunk").agg(F.max_by("at", F.when(F.col("at").isNotNull(), F.col("ordinal"))).alias("end"))
+    carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(rows_before(W.partitionBy("session_id").orderBy("chunk")))).drop("end")
+    inside = F.last("at", ignorenulls=True).over(rows_before(W.partitionBy("session_id", "chunk").orderBy("ordinal")))
+    both = timed.withColumn("inside", inside).join(carried, ["session_id", "chunk"], "left")
+    pause = F.col("at") - F.coalesce("inside", "carried")
+    return both.withColumn("pause_s", F.when(pause.isNotNull(), F.greatest(pause, F.lit(0.0)))).drop("chunk", "at", "inside", "carried")
 
 
 def conversations(entries: DataFrame, segments: DataFrame) -> DataFrame:
     """The kept sessions' messages in order, one row per message part with text, with role and episode.
 
     ``turn`` is the ordinal, ``part`` the segment's; repeated segments count once and
-    deleted ones are left out here.  A pause at a chunk's border does not start an episode.
+    deleted ones are left out here.
     """
     msgs = messages(entries, segments)
     kept = cut(msgs.join(left_out(entries, segments), "session_id", "left_anti"))  # without texts; read several times

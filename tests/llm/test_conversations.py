@@ -124,3 +124,15 @@ def test_conversations_are_ordered_with_roles_and_episodes(spark):
     assert [r.turn for r in got] == list(range(64)) and {r.session_id for r in got} == {"a"}
     assert [r.role for r in got[:4]] == ["user", "assistant", "tool", "assistant"] and got[0].text == "please"
     assert [r.episode for r in got] == [0] * 40 + [1] * 24
+
+
+@pytest.mark.parametrize("chunk", [4, 4096])
+def test_pauses_cross_chunks_and_messages_without_a_time(spark, chunk, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK", chunk)
+    entries, segments = frames(spark, {"a": [ASK, SAY] * 50})
+    late = sum((F.when(F.col("ordinal") >= at, 1).otherwise(0) for at in (8, 30, 51)), F.lit(0))  # at a border, after two without a time, after a whole chunk without
+    at = F.expr("timestamp'2026-01-01' + make_interval(0, 0, 0, 0, 0, 0, ordinal * 30)") + late * F.expr("interval 10 minutes")
+    entries = entries.withColumn("entry_ts", F.when(F.col("ordinal").isin(28, 29, *range(44, 51)), None).otherwise(at))
+    # of 30 s pauses the limit is 120 s, and 600 s are more
+    got = {r.turn: r.episode for r in op.conversations(entries, segments).collect()}
+    assert got == {i: (i >= 8) + (i >= 30) + (i >= 51) for i in range(100)}
