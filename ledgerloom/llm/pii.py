@@ -32,9 +32,9 @@ from .pii_model import PAD, TAGS, K, Tagger, char_ids
 
 WINDOW, MARGIN, WIDTH = 256, 16, 512
 CHARS_AT_ONCE = 1_500_000
-#: The outside tag's handicap when proposing, the score distance beyond which a stretch is outside, the characters beside
-#: a nearer one that are decoded with it, and a sure proposal's least mean lead.
-RECALL_BIAS, CLEAR, BESIDE, SURE = 1.5, 1.0, 24, 6.0
+#: The outside tag's handicap when proposing, which is also the score distance beyond which a stretch is outside, the
+#: characters beside a nearer one that are decoded with it, and a sure proposal's least mean lead.
+RECALL_BIAS, BESIDE, SURE = 1.5, 24, 6.0
 MEMO_TEXTS, MEMO_LENGTH = 100_000, 300
 WEIGHTS = Path(__file__).with_name("pii_tagger.npz")
 Item = tuple[int, int, str]
@@ -74,7 +74,7 @@ class Finder:
                 row[: e - s] = codes[i][s:e]
             found = self.tagger.emissions(np.ascontiguousarray(ids.T))
             leads = np.ascontiguousarray((found[:, 1:].max(1) - found[:, 0]).T)
-            close = (leads > -CLEAR).any(1)
+            close = (leads > -RECALL_BIAS).any(1)
             for j, (row, (i, s, _, a, b)) in enumerate(zip(leads, batch)):
                 at = offsets[i]
                 lead[at + a : at + b] = row[a - s : b - s]
@@ -86,14 +86,14 @@ class Finder:
         """Per text the items of the best path over the whole text: (start, end, kind, mean lead)."""
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
         lead, kept = self._scores(codes, offsets)
-        near = np.flatnonzero(lead > -CLEAR)
+        near = np.flatnonzero(lead > -RECALL_BIAS)
         out: list[list] = [[] for _ in codes]
         if not len(near):
             return out
         text_of = np.searchsorted(offsets, near, side="right") - 1
         breaks = np.flatnonzero((np.diff(near) > 2 * BESIDE) | (np.diff(text_of) > 0)) + 1
         regions = [(int(t[0]), int(max(offsets[t[0]], g[0] - BESIDE)), int(min(offsets[t[0] + 1], g[-1] + 1 + BESIDE))) for g, t in zip(np.split(near, breaks), np.split(text_of, breaks))]
-        regions = sorted((r for r in regions if lead[r[1] : r[2]].max() > 0), key=lambda r: r[2] - r[1])
+        regions = sorted(regions, key=lambda r: r[2] - r[1])
         begins = np.array([w[0] for w in kept])
         for k in range(0, len(regions), WIDTH):
             batch = regions[k : k + WIDTH]

@@ -111,3 +111,20 @@ def test_frames(spark):
 
 def test_characters_beyond_ascii():
     assert len(char_ids("aé漢👍\ud800"[:4])) == 4 and char_ids("é")[0] == char_ids("e")[0] and len(TAGS) == 11
+
+
+def test_items_whose_lead_is_within_the_bias_are_proposed(finder):
+    codes = char_ids("a" * 40 + "x" * 20 + "a" * 40)
+
+    class Faint:
+        """One kind half a point below the outside tag on every x, far below it elsewhere."""
+
+        viterbi = staticmethod(finder.tagger.viterbi)
+
+        def emissions(self, ids):
+            found = np.full((*ids.shape, K), -20.0, np.float32)
+            found[:, :, 0] = 0
+            found[ids == codes[45], 1:3] = -0.5
+            return np.ascontiguousarray(found.transpose(0, 2, 1))
+
+    assert [p[:2] for p in pii.Finder(Faint(), finder.names)._proposals([codes])[0]] == [(40, 60)]
