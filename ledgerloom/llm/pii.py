@@ -1,21 +1,22 @@
-"""Personal data in free text: found by the tagger, checked by exact form, replaced by typed placeholders.
+"""Personal data in free text: found by the tagger and replaced by typed placeholders.
 
 Each text is cut into overlapping windows, the windows of many texts run through the
 tagger side by side, and every character takes its scores from the window in which it
-lies farthest from the border.  The CRF path is then decoded over the text as a whole;
-stretches in which no item tag leads or comes near the outside tag need no search.  What the path
-proposes is checked against the exact forms around it, which give the item's exact
-begin, end and kind; a proposal of no known form stands only if the tagger is sure of
-it and its letters and digits could be of that kind.
+lies farthest from the border.  The best CRF path is then the one over the whole text.
+It need not be searched everywhere: since no transition gains over O to O, an item of
+the best path has leads (best item tag over outside) whose sum is not negative, so a
+character that lies in no stretch of such a sum is outside, and the search over the
+remaining stretches gives exactly the path over the text.  The items of the path are
+the result; a last check drops what its kind rules out (``fits``).
 
 Defined results: a null text stays null and has no items; empty and blank texts have
 none; repeated rows are found alike and count once in ``found``; positions are code
-points from 0; long texts are read whole; without people the names are found by the
-tagger alone.
+points from 0; long texts are read whole.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,133 +28,139 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import pii_rules as rules
 from .pii_model import PAD, TAGS, K, Tagger, char_ids
 
 WINDOW, MARGIN, WIDTH = 256, 16, 512
-CHARS_AT_ONCE = 1_500_000
-#: The outside tag's handicap when proposing, which is also the score distance beyond which a stretch is outside, the
-#: characters beside a nearer one that are decoded with it, and a sure proposal's least mean lead.
-RECALL_BIAS, BESIDE, SURE = 1.5, 24, 6.0
+CHARS_AT_ONCE = 600_000
 MEMO_TEXTS, MEMO_LENGTH = 100_000, 300
 WEIGHTS = Path(__file__).with_name("pii_tagger.npz")
 Item = tuple[int, int, str]
+_KIND = [t[2:] for t in TAGS]
 
 
-def _windows(lengths: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(text, start, end, first, last): windows and the part of each whose scores count."""
-    out = []
-    for i, n in enumerate(lengths):
-        if n <= WINDOW:
-            out.append((i, 0, n, 0, n))
-            continue
+def windows(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Rows (start, end, first, last): windows over texts that lie one after the other, and the part of each whose scores count."""
+    short = lengths <= WINDOW
+    one = np.stack([starts, starts + lengths, starts, starts + lengths], 1)[short & (lengths > 0)]
+    parts = [one]
+    for at, n in zip(starts[~short].tolist(), lengths[~short].tolist()):
         step = WINDOW - 2 * MARGIN
-        count = -(-(n - 2 * MARGIN) // step)
-        starts = [min(k * step, n - WINDOW) for k in range(count)]
-        bounds = [0, *((a + b + WINDOW) // 2 for a, b in zip(starts, starts[1:])), n]
-        out += [(i, s, s + WINDOW, a, b) for s, a, b in zip(starts, bounds, bounds[1:])]
-    return out
+        begin = np.minimum(np.arange(-(-(n - 2 * MARGIN) // step)) * step, n - WINDOW)
+        border = (begin[:-1] + begin[1:] + WINDOW) // 2
+        parts.append(at + np.stack([begin, begin + WINDOW, np.append(0, border), np.append(border, n)], 1))
+    return np.concatenate(parts)
+
+
+def fits(kind: str, item: str) -> bool:
+    """Whether an item can be of its kind at all: a mail address has two sides, a number digits, a name two words."""
+    if kind == "email":
+        return sum(map(str.isalnum, item)) >= 5 and not item.isalnum()
+    if kind == "person_name":
+        return len(re.findall(r"[^\W\d_]+", item)) >= 2
+    digits = sum(map(str.isdigit, item))
+    return digits >= 1 and any(map(str.isalpha, item)) if kind == "street_address" else digits >= 6
 
 
 class Finder:
-    """The tagger with the names to check against; one in each Python worker."""
+    """The tagger over many texts; one in each Python worker."""
 
-    def __init__(self, tagger: Tagger, names: rules.Names):
-        self.tagger, self.names = tagger, names
+    def __init__(self, tagger: Tagger):
+        self.tagger = tagger
         self.memo: dict[str, list[Item]] = {}
 
-    def _scores(self, codes: list[np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        """Every character's lead of the best item tag over outside, from its most central window, and the scores of windows with any lead near."""
-        lead = np.empty(int(offsets[-1]), np.float32)
-        kept = []
-        windows = sorted(_windows([len(c) for c in codes]), key=lambda w: w[2] - w[1])
-        for k in range(0, len(windows), WIDTH):
-            batch = windows[k : k + WIDTH]
-            ids = np.full((len(batch), batch[-1][2] - batch[-1][1]), PAD, np.int16)
-            for row, (i, s, e, _, _) in zip(ids, batch):
-                row[: e - s] = codes[i][s:e]
-            found = self.tagger.emissions(np.ascontiguousarray(ids.T))
-            leads = np.ascontiguousarray((found[:, 1:].max(1) - found[:, 0]).T)
-            close = (leads > -RECALL_BIAS).any(1)
-            for j, (row, (i, s, _, a, b)) in enumerate(zip(leads, batch)):
-                at = offsets[i]
-                lead[at + a : at + b] = row[a - s : b - s]
-                if close[j]:
-                    kept.append((at + a, at + b, found[a - s : b - s, :, j].copy()))
-        return lead, sorted(kept, key=lambda w: w[0])
-
-    def _proposals(self, codes: list[np.ndarray]) -> list[list[tuple[int, int, str, float]]]:
-        """Per text the items of the best path over the whole text: (start, end, kind, mean lead)."""
-        offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-        lead, kept = self._scores(codes, offsets)
-        near = np.flatnonzero(lead > -RECALL_BIAS)
-        out: list[list] = [[] for _ in codes]
-        if not len(near):
-            return out
-        text_of = np.searchsorted(offsets, near, side="right") - 1
-        breaks = np.flatnonzero((np.diff(near) > 2 * BESIDE) | (np.diff(text_of) > 0)) + 1
-        regions = [(int(t[0]), int(max(offsets[t[0]], g[0] - BESIDE)), int(min(offsets[t[0] + 1], g[-1] + 1 + BESIDE))) for g, t in zip(np.split(near, breaks), np.split(text_of, breaks))]
-        regions = sorted(regions, key=lambda r: r[2] - r[1])
-        begins = np.array([w[0] for w in kept])
-        for k in range(0, len(regions), WIDTH):
-            batch = regions[k : k + WIDTH]
-            steps = max(r[2] - r[1] for r in batch)
-            grid = np.full((steps, K, len(batch)), -50.0, np.float32)
-            grid[:, 0] = 0
-            for j, (_, a, b) in enumerate(batch):
-                for w in range(max(0, int(np.searchsorted(begins, a, side="right")) - 1), len(kept)):
-                    first, last, scores = kept[w]
-                    if first >= b:
-                        break
-                    if last > a:  # stretches of windows without any lead stay outside
-                        x, y = max(a, first), min(b, last)
-                        grid[x - a : y - a, :, j] = scores[x - first : y - first]
-            grid[:, 0] -= RECALL_BIAS
-            path = self.tagger.viterbi(grid)
-            for j, (i, a, b) in enumerate(batch):
-                tags = path[: b - a, j]
-                inside = np.flatnonzero(tags)
-                if not len(inside):
-                    continue
-                # an item begins where its tag does not continue the one before
-                new = (np.diff(inside, prepend=-2) > 1) | (tags[inside] != np.where(tags[inside - 1] % 2, tags[inside - 1] + 1, tags[inside - 1]))
-                for part in np.split(inside, np.flatnonzero(new)[1:]):
-                    start, end, kind = int(part[0]), int(part[-1]) + 1, TAGS[tags[part[0]]][2:]
-                    out[i].append((a + start - int(offsets[i]), a + end - int(offsets[i]), kind, float(lead[a + start : a + end].mean())))
+    def scores(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(characters, K): every character's scores from its most central window."""
+        out = np.empty((len(codes), K), np.float32)
+        parts = windows(starts, lengths)
+        parts = parts[np.argsort(parts[:, 1] - parts[:, 0], kind="stable")]
+        for k in range(0, len(parts), WIDTH):
+            s, e, a, b = parts[k : k + WIDTH].T[:, :, None]
+            at = s + np.arange(int((e - s).max()))
+            ids = np.where(at < e, codes[np.minimum(at, len(codes) - 1)], PAD)
+            found = self.tagger.emissions(np.ascontiguousarray(ids.T, np.int64)).transpose(1, 0, 2)
+            count = (at >= a) & (at < b)
+            out[at[count]] = found[count]
         return out
 
-    def _checked(self, text: str, proposals: list[tuple[int, int, str, float]]) -> list[Item]:
-        """The exact items at the proposals, and sure proposals of no known form."""
-        if not proposals:
-            return []
-        spans, at = [], 0
-        for s, e, _, _ in sorted(proposals):
-            a, b = max(0, s - 90), min(len(text), e + 90)
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(b, spans[-1][1])
-            else:
-                spans.append([a, b])
-        exact: list[Item] = []
-        for a, b in spans:
-            for s, e, kind in rules.find_all(text[a:b], self.names):
-                if (s > 0 or a == 0) and any(p[0] - 4 < a + e and a + s < p[1] + 4 for p in proposals):
-                    exact.append((a + s, a + e, kind))
-        items = list(exact)
-        for s, e, kind, lead in proposals:
-            while s < e and not (text[s].isalnum() or text[s] in "+("):
-                s += 1
-            if lead >= SURE and s < e and not any(s < y and x < e for x, y, _ in items) and rules.plausible(kind, text[s:e], text[max(0, s - 1) : s], text[e : e + 1]):
-                items.append((s, e, kind))
-        return sorted(items)
+    def items(self, texts: list[str]) -> list[list[Item]]:
+        """Per text the items of its best path."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        out: list[list[Item]] = [[] for _ in texts]
+        if not lengths.sum():
+            return out
+        codes = char_ids("".join(texts))
+        scores = self.scores(codes, starts, lengths)
+        for i, a, b in self._regions(scores, starts, lengths):
+            for j, path in zip(i, self._paths(scores, a, b)):
+                text, at = texts[j[0]], j[1] - int(starts[j[0]])
+                for s, e, kind in _spans(path):
+                    if fits(kind, text[at + s : at + e]):
+                        out[j[0]].append((at + s, at + e, kind))
+        return [sorted(x) for x in out]
+
+    def _regions(self, scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
+        """Batches of stretches outside which every character is provably outside: ((text, begin), begins, ends)."""
+        lead = (scores[:, 1:].max(1) - scores[:, 0]).astype(np.float64)
+        wall = np.maximum(lead, 0).sum() + 1.0  # no stretch crosses the border of a text
+        step = lead.copy()
+        total = np.concatenate([[0.0], np.cumsum(step)])
+        used = lengths > 0
+        walls = np.zeros(len(lead))
+        walls[starts[used]] = wall
+        walls = np.cumsum(walls)
+        low = np.minimum.accumulate(total[:-1] - walls)  # of the stretches that begin at or before a character
+        high = np.maximum.accumulate((total[1:] - walls)[::-1])[::-1]
+        maybe = np.flatnonzero(high - low > -1e-3)
+        if not len(maybe):
+            return
+        text_of = np.searchsorted(starts, maybe, side="right") - 1
+        cuts = np.flatnonzero((np.diff(maybe) > 1) | (np.diff(text_of) > 0)) + 1
+        first, last = maybe[np.concatenate([[0], cuts])], maybe[np.concatenate([cuts - 1, [len(maybe) - 1]])]
+        text = text_of[np.concatenate([[0], cuts])]
+        end = np.minimum(last + 2, starts[text] + lengths[text])  # with the outside character after it
+        order = np.argsort(end - first, kind="stable")
+        k = 0
+        while k < len(order):
+            batch = order[k : k + WIDTH]
+            batch = batch[: max(1, int(CHARS_AT_ONCE // max(1, (end - first)[batch].max())))]
+            k += len(batch)
+            yield list(zip(text[batch].tolist(), first[batch].tolist())), first[batch], end[batch]
+
+    def _paths(self, scores: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """The best path of each stretch, which follows on an O."""
+        at = begin[:, None] + np.arange(int((end - begin).max()))
+        grid = scores[np.minimum(at, len(scores) - 1)]
+        beyond = at >= end[:, None]
+        grid[beyond] = 0.0  # after the end any tag may go on at no cost, so nothing is decided there
+        path = self._viterbi(grid, beyond)
+        return [p[: b - a] for p, a, b in zip(path, begin.tolist(), end.tolist())]
+
+    def _viterbi(self, grid: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        """Paths (B, T) of scores (B, T, K); positions ``beyond`` a stretch keep the tag before them."""
+        width, steps, _ = grid.shape
+        trans = self.tagger.trans
+        best = grid[:, 0] + trans[0]
+        came = np.empty((steps, width, K), np.int8)
+        same = np.arange(K, dtype=np.int8)
+        for t in range(1, steps):
+            paths = best[:, :, None] + trans
+            went = paths.argmax(1)
+            new = np.take_along_axis(paths, went[:, None], 1)[:, 0] + grid[:, t]
+            off = beyond[:, t, None]
+            came[t] = np.where(off, same, went)
+            best = np.where(off, best, new)
+        out = np.empty((width, steps), np.int8)
+        out[:, -1] = best.argmax(1)
+        rows = np.arange(width)
+        for t in range(steps - 1, 0, -1):
+            out[:, t - 1] = came[t][rows, out[:, t]]
+        return out
 
     def find(self, texts: list[str]) -> list[list[Item]]:
         """The items of each text, in order."""
         out: list[list[Item] | None] = [self.memo.get(t) if len(t) <= MEMO_LENGTH else None for t in texts]
-        todo, first = [], {}
-        for i, (t, known) in enumerate(zip(texts, out)):
-            if known is None and t not in first:
-                first[t] = i
-                todo.append(t)
+        todo = list(dict.fromkeys(t for t, known in zip(texts, out) if known is None))
         found: dict[str, list[Item]] = {}
         k = 0
         while k < len(todo):
@@ -162,8 +169,7 @@ class Finder:
                 group.append(todo[k])
                 size += len(todo[k])
                 k += 1
-            for t, p in zip(group, self._proposals([char_ids(t) for t in group])):
-                found[t] = self._checked(t, p)
+            found.update(zip(group, self.items(group)))
         for t, items in found.items():
             if len(t) <= MEMO_LENGTH:
                 if len(self.memo) >= MEMO_TEXTS:
@@ -172,6 +178,17 @@ class Finder:
         return [found[t] if known is None else known for t, known in zip(texts, out)]
 
 
+def _spans(path: np.ndarray) -> list[Item]:
+    """The items of a path: a B tag with the I tags that follow it."""
+    inside = np.flatnonzero(path)
+    if not len(inside):
+        return []
+    tags = path[inside]
+    begins = np.flatnonzero((tags % 2 == 1) | (np.diff(inside, prepend=-2) > 1))
+    ends = np.append(begins[1:] - 1, len(inside) - 1)
+    return [(int(inside[b]), int(inside[e]) + 1, _KIND[tags[b]]) for b, e in zip(begins, ends)]
+
+
 def redact(text: str, items: list[Item]) -> str:
     """The text with a placeholder of its kind in place of each item."""
     out, at = [], 0
@@ -182,10 +199,10 @@ def redact(text: str, items: list[Item]) -> str:
 
 
 def _finder(shared) -> Finder:
-    """The worker's finder: the broadcast holds the weights and the names."""
+    """The worker's finder: the broadcast holds the weights."""
     if shared.id not in _made:
         _made.clear()
-        _made[shared.id] = Finder(*shared.value)
+        _made[shared.id] = Finder(shared.value)
     return _made[shared.id]
 
 
@@ -193,12 +210,10 @@ _made: dict = {}
 
 
 class _Shared:
-    """What every worker needs: bounded by the model's size and the fixed list of people."""
+    """What every worker needs: the model's weights, about 0.1 MB whatever the data."""
 
-    def __init__(self, spark, people: DataFrame, weights: str | Path | None):
-        rows = people.select("given_name", "family_name").collect()  # a fixed table of 400 rows
-        names = rules.Names([r[0] for r in rows if r[0]], [r[1] for r in rows if r[1]])
-        self.broadcast = spark.sparkContext.broadcast((Tagger.load(weights or WEIGHTS), names))
+    def __init__(self, spark, weights: str | Path | None):
+        self.broadcast = spark.sparkContext.broadcast(Tagger.load(weights or WEIGHTS))
         self.id = uuid.uuid4().hex
 
     def __getstate__(self):
@@ -209,9 +224,9 @@ class _Shared:
         return self.broadcast.value
 
 
-def found(texts: DataFrame, id_col: str, text_col: str, people: DataFrame, weights: str | Path | None = None) -> DataFrame:
+def found(texts: DataFrame, id_col: str, text_col: str, weights: str | Path | None = None) -> DataFrame:
     """(text_id, pii_type, start_char, end_char) of every item: a map over Arrow batches and a distinct over what is found."""
-    shared = _Shared(texts.sparkSession, people, weights)
+    shared = _Shared(texts.sparkSession, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(shared)
@@ -225,9 +240,9 @@ def found(texts: DataFrame, id_col: str, text_col: str, people: DataFrame, weigh
     return spread(rows).mapInArrow(run, "text_id string, pii_type string, start_char long, end_char long").distinct()
 
 
-def redacted(texts: DataFrame, id_col: str, text_col: str, people: DataFrame, weights: str | Path | None = None) -> DataFrame:
+def redacted(texts: DataFrame, id_col: str, text_col: str, weights: str | Path | None = None) -> DataFrame:
     """(text_id, text, redactions): every row's text with placeholders, and its counts by category in order."""
-    shared = _Shared(texts.sparkSession, people, weights)
+    shared = _Shared(texts.sparkSession, weights)
     counts = pa.list_(pa.struct([("category", pa.string()), ("count", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,10 @@
 
 One layer per direction.  Characters enter through a table of gate inputs (embedding and
 input weights in one), gates are piecewise linear, and the tags are O and B/I of each
-kind.  Both directions run as one batched product, a window per column.  Training is
-plain back-propagation through time with the CRF's exact likelihood, by Adam.
+kind.  Training is plain back-propagation through time with the CRF's exact likelihood,
+by Adam, under two constraints on the transitions: an I tag follows only the B or I of
+its kind, and no transition gains over O to O, which is 0.  The second is what lets a
+decoder prove that a character is outside (see ``pii.Finder``).
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .pii_rules import KINDS
-
+KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 K = len(TAGS)
 PAD = 0
+#: Which tag may follow which: an I tag only the B or I of its kind.
+ALLOWED = np.array([[not b.startswith("I") or a[2:] == b[2:] for b in TAGS] for a in TAGS])
+FORBIDDEN = -1e4
 _PRINTABLE = [chr(c) for c in range(32, 127)]
 _CLASSES = ["upper", "lower", "other letter", "cjk", "digit", "space", "mark", "format", "dash", "quote", "punct", "symbol", "rest", "newline"]
 _IDS = {c: i + 1 for i, c in enumerate(_PRINTABLE)}
@@ -84,7 +88,7 @@ class Tagger:
         table = rnd.normal(0, 0.25, (2, 4 * hidden, VOCABULARY)).astype(np.float32)
         table[:, hidden : 2 * hidden] += 1.0  # remember at first
         recurrent = (rnd.normal(0, 1, (2, 4 * hidden, hidden)) / np.sqrt(hidden)).astype(np.float32)
-        return cls(table, recurrent, rnd.normal(0, 0.2, (K, 2 * hidden)).astype(np.float32), np.zeros(K, np.float32), np.zeros((K, K), np.float32), np.zeros(K, np.float32))
+        return cls(table, recurrent, rnd.normal(0, 0.2, (K, 2 * hidden)).astype(np.float32), np.zeros(K, np.float32), np.where(ALLOWED, 0, FORBIDDEN).astype(np.float32), np.zeros(K, np.float32))
 
     @classmethod
     def load(cls, path) -> Tagger:
@@ -99,47 +103,35 @@ class Tagger:
         return self.recurrent.shape[2]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(T, K, B) scores of windows ``ids`` (T, B)."""
+        """(T, B, K) scores of windows ``ids`` (T, B), a window per row of every product."""
         steps, width = ids.shape
         n = self.hidden
-        h, c = np.zeros((2, n, width), np.float32), np.zeros((2, n, width), np.float32)
-        states = np.empty((2, steps, n, width), np.float32)
-        gates, new, held = np.empty((2, 4 * n, width), np.float32), np.empty((2, n, width), np.float32), np.empty((2, 4 * n, width), np.float32)
-        ahead, back = np.ascontiguousarray(self.table[0]), np.ascontiguousarray(self.table[1])
-        for t in range(steps):
-            np.matmul(self.recurrent, h, out=gates)
-            np.take(ahead, ids[t], axis=1, out=held[0], mode="clip")
-            np.take(back, ids[steps - 1 - t], axis=1, out=held[1], mode="clip")
-            gates += held
-            soft = gates[:, : 3 * n]
-            np.clip(soft, 0.0, 1.0, out=soft)
-            np.tanh(gates[:, 3 * n :], out=new)
-            new *= gates[:, :n]
-            c *= gates[:, n : 2 * n]
-            c += new
-            np.tanh(c, out=new)
-            np.multiply(new, gates[:, 2 * n : 3 * n], out=h)
-            states[0, t], states[1, steps - 1 - t] = h[0], h[1]
-        scores = np.matmul(self.out[:, :n], states[0])
-        scores += np.matmul(self.out[:, n:], states[1])
-        scores += self.bias[:, None]
-        return scores
-
-    def viterbi(self, scores: np.ndarray) -> np.ndarray:
-        """The best tag path (T, B) of scores (T, K, B)."""
-        steps, _, width = scores.shape
-        best = scores[0] + self.start[:, None]
-        came = np.empty((steps, K, width), np.int8)
-        for t in range(1, steps):
-            paths = best[:, None, :] + self.trans[:, :, None]
-            came[t] = paths.argmax(0)
-            best = paths.max(0) + scores[t]
-        path = np.empty((steps, width), np.int8)
-        path[-1] = best.argmax(0)
-        cols = np.arange(width)
-        for t in range(steps - 1, 0, -1):
-            path[t - 1] = came[t][path[t], cols]
-        return path
+        states = np.empty((steps, width, 2 * n), np.float32)
+        for d in (0, 1):
+            table, recurrent = np.ascontiguousarray(self.table[d].T), np.ascontiguousarray(self.recurrent[d].T)
+            h, c, new = (np.zeros((width, n), np.float32) for _ in range(3))
+            gates, entering = np.empty((width, 4 * n), np.float32), np.empty((width, 4 * n), np.float32)
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                np.take(table, ids[t], axis=0, out=entering, mode="clip")
+                np.matmul(h, recurrent, out=gates)
+                gates += entering
+                soft = gates[:, : 3 * n]
+                np.clip(soft, 0.0, 1.0, out=soft)
+                np.tanh(gates[:, 3 * n :], out=new)
+                new *= gates[:, :n]
+                c *= gates[:, n : 2 * n]
+                c += new
+                np.tanh(c, out=new)
+                np.multiply(new, gates[:, 2 * n : 3 * n], out=h)
+                states[t, :, d * n : (d + 1) * n] = h
+        return states @ self.out.T + self.bias
+
+    def constrain(self) -> None:
+        """Bring the transitions back under their constraints."""
+        self.trans = np.where(ALLOWED, np.minimum(self.trans, 0), FORBIDDEN).astype(self.trans.dtype)
+        self.trans[0, 0] = 0
+        self.start = np.minimum(self.start, 0)
+        self.start[0] = 0
 
     # training
 
@@ -241,3 +233,4 @@ class Adam:
             self.v[n] = 0.995 * self.v[n] + 0.005 * g * g
             step = self.m[n] / (1 - 0.9**self.t) / (np.sqrt(self.v[n] / (1 - 0.995**self.t)) + 1e-8)
             setattr(self.model, n, (getattr(self.model, n) - self.rate * step).astype(np.float32))
+        self.model.constrain()

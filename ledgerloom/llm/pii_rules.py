@@ -1,7 +1,7 @@
-"""Exact forms of personal data in text.
+"""Labelling functions for the tables' texts, of which no labels are given.
 
-Two uses: they label the carrier texts from which the tagger is trained, and they check
-what the tagger proposes (begin, end and kind of an item).  Patterns are linear scans.
+They label the bounded sample of carrier texts on which the tagger is trained, and
+nothing else: no query uses them.  Patterns are linear scans.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Iterable
 
 import regex
 
-KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 Span = tuple[int, int, str]
 
 #: Ends of what looks like a host but is a file name.
@@ -162,20 +161,3 @@ def find_all(text: str, names: Names) -> list[Span]:
     for s, e, kind in find_names(text, names):
         add(s, e, kind)
     return sorted(found)
-
-
-def plausible(kind: str, item: str, before: str, after: str) -> bool:
-    """Whether a proposal of no exact form could be of its kind."""
-    if before.isalnum() or after.isalnum() or before in "_@/" and before or after in "_@/" and after:
-        return False
-    digits, letters = _digits(item), sum(c.isalpha() for c in item)
-    if kind == "email":
-        return bool(EMAIL.fullmatch(item))
-    if kind == "phone":
-        return 9 <= digits <= 15 and not letters and item[0] in "+(0"
-    if kind == "id_number":
-        return bool(ID_NUMBER.fullmatch(item))
-    if kind == "street_address":
-        return 1 <= digits <= 6 and letters >= 6 and " " in item and bool(ADDRESS.match(item))
-    words = [w for w in re.split(r"[\s,]+", item) if w]
-    return 2 <= len(words) <= 4 and not digits and all(w[0].isupper() for w in words) and all(len(w) > 1 for w in words)

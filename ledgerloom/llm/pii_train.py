@@ -1,15 +1,18 @@
 """Training of the tagger from labelled spans.
 
-    python -m ledgerloom.llm.pii_train DATA_DIR
-
-Labelled spans: texts of the project's tables, at most ``TEXTS`` of them chosen by hash,
-labelled by the exact forms, in windows around the items plus as many windows without
-any.  Each round every item is varied anew (digits, names of new make, case), so that
-the tagger learns the forms and their surroundings rather than these items.
+    OPENBLAS_NUM_THREADS=1 python -m ledgerloom.llm.pii_train DATA_DIR SECONDS [PROCESSES]
+
+Three kinds of rows: windows of the tables' texts around the items that the labelling
+functions mark, half of the time with items made anew in their place; windows of the
+same texts without any item, among them those in which the tagger was wrong before;
+and made sentences (``pii_forms``) alone or inside such a text.  The texts are a sample
+of at most ``TEXTS`` chosen by hash.  Processes hold equal copies of the model, each
+works out the gradient of its own batch, and all apply the mean of the gradients.
 """
 
 from __future__ import annotations
 
+import multiprocessing as mp
 import random
 import sys
 import time
@@ -18,14 +21,17 @@ from pathlib import Path
 
 import numpy as np
 
+from . import pii_forms as forms
 from . import pii_rules as rules
 from .pii_model import PAD, TAGS, Adam, Tagger, char_ids
 
 TEXTS = 60_000
 WINDOW = 128
-HIDDEN = 24
+HIDDEN = 32
+WIDTH = 64
 WEIGHTS = Path(__file__).with_name("pii_tagger.npz")
 TAG_OF = {t: i for i, t in enumerate(TAGS)}
+Labelled = tuple[str, list[rules.Span]]
 
 
 def read_texts(data: str) -> tuple[list[str], rules.Names]:
@@ -39,50 +45,32 @@ def read_texts(data: str) -> tuple[list[str], rules.Names]:
     return chosen, rules.Names(people["given_name"].to_pylist(), people["family_name"].to_pylist())
 
 
-def windows(text: str, spans: list[rules.Span], rnd: random.Random) -> list[tuple[str, list[rules.Span]]]:
-    """A window around every item, and one at a random place."""
-    out = []
-    centres = [(s + e) // 2 + rnd.randint(-40, 40) for s, e, _ in spans] + [rnd.randrange(len(text))]
-    for c in centres:
-        a = max(0, min(c - WINDOW // 2, len(text) - WINDOW))
-        b = min(len(text), a + WINDOW)
-        out.append((text[a:b], [(max(s, a) - a, min(e, b) - a, k) for s, e, k in spans if s < b and e > a]))
-    return out
-
-
-_SYLLABLES = ["bra", "cor", "dul", "ez", "fen", "gol", "har", "ib", "jun", "kra", "lim", "mor", "nes", "os", "pra", "quen", "ros", "sul", "tha", "ul", "ves", "wex", "yar", "zor", "lin", "mar", "ta", "ne", "ri", "so"]
-_ENDS = ["ander", "dal", "ek", "gart", "holt", "ille", "mond", "ova", "quist", "stad", "vari", "wick", "son", "sen", "ez", "ini", "ley", "ton", "berg", "mann", "ski", "rose", "field", "wood"]
-
+def window(text: str, spans: list[rules.Span], centre: int) -> Labelled:
+    a = max(0, min(centre - WINDOW // 2, len(text) - WINDOW))
+    b = min(len(text), a + WINDOW)
+    return text[a:b], [(s - a, min(e, b) - a, k) for s, e, k in spans if s < b and e > a]
 
-def _new_name(old: str, rnd: random.Random) -> str:
-    made = "".join(rnd.choices(_SYLLABLES, k=rnd.randint(1, 2))) + (rnd.choice(_ENDS) if rnd.random() < 0.8 else "")
-    return made.upper() if old.isupper() and len(old) > 1 else made.capitalize() if old[:1].isupper() else made
 
-
-def varied(text: str, spans: list[rules.Span], names: rules.Names, rnd: random.Random) -> tuple[str, list[rules.Span]]:
-    """The window with other digits and names in its items; labels move along."""
-    out, at, moved = [], 0, []
-    length = 0
+def varied(text: str, spans: list[rules.Span], rnd: random.Random) -> Labelled:
+    """The text with other items, or other digits, in place of some of its items; labels move along."""
+    out, length, at, moved = [], 0, 0, []
     for s, e, kind in spans:
-        item = text[s:e]
-        if kind in ("phone", "id_number", "street_address") and rnd.random() < 0.8:
+        item, roll = text[s:e], rnd.random()
+        if roll < 0.3:
+            item = forms.MAKERS[kind](rnd)
+        elif roll < 0.6 and kind in ("phone", "id_number", "street_address", "email"):
             item = "".join(rnd.choice("0123456789") if c.isdigit() and i > 1 and rnd.random() < 0.7 else c for i, c in enumerate(item))
-        if kind == "person_name" and rnd.random() < 0.5:
-            words = item.split(" ")
-            item = " ".join(_new_name(w, rnd) if w.isalpha() and len(w) > 3 and (names.is_family(w) or rnd.random() < 0.3) else w for w in words)
-            if rnd.random() < 0.1:
-                item = item.upper() if rnd.random() < 0.5 else item.lower()
-        out.append(text[at:s])
+        out += [text[at:s], item]
         length += s - at
         moved.append((length, length + len(item), kind))
-        out.append(item)
         length += len(item)
         at = e
     return "".join(out) + text[at:], moved
 
 
-def arrays(batch: list[tuple[str, list[rules.Span]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    steps = min(WINDOW + 32, max(len(t) for t, _ in batch))
+def arrays(batch: list[Labelled]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, tags and mask (T, B) of a batch; an item cut off at the left begins with its I tag."""
+    steps = min(WINDOW + 48, max(len(t) for t, _ in batch))
     ids, tags, mask = np.full((steps, len(batch)), PAD, np.int16), np.zeros((steps, len(batch)), np.int64), np.zeros((steps, len(batch)), np.float32)
     for j, (text, spans) in enumerate(batch):
         codes = char_ids(text)[:steps]
@@ -90,37 +78,121 @@ def arrays(batch: list[tuple[str, list[rules.Span]]]) -> tuple[np.ndarray, np.nd
         mask[: len(codes), j] = 1
         for s, e, kind in spans:
             if s < steps:
-                tags[s, j] = TAG_OF[f"B-{kind}"]
-                tags[s + 1 : e, j] = TAG_OF[f"I-{kind}"]
+                tags[max(s, 0) : e, j] = TAG_OF[f"I-{kind}"]
+                if s >= 0:
+                    tags[s, j] = TAG_OF[f"B-{kind}"]
     return ids, tags, mask
 
 
-def train(data: str, seconds: float = 420, hidden: int = HIDDEN, width: int = 128, seed: int = 7, start: str | None = None) -> Tagger:
-    rnd = random.Random(seed)
-    texts, names = read_texts(data)
-    labelled = [(t, rules.find_all(t, names)) for t in texts]
-    examples = [w for t, s in labelled for w in windows(t, s, rnd)]
-    positive, negative = [w for w in examples if w[1]], [w for w in examples if not w[1]]
+class Rows:
+    """Endless labelled rows for training."""
+
+    def __init__(self, labelled: list[Labelled], rnd: random.Random):
+        self.rnd = rnd
+        self.with_items = [x for x in labelled if x[1]]
+        self.without = [x for x in labelled if not x[1]]
+        self.hard: list[tuple[str, list[rules.Span], int]] = []
+
+    def one(self) -> Labelled:
+        rnd, roll = self.rnd, self.rnd.random()
+        if roll < 0.42:
+            text, spans = rnd.choice(self.with_items)
+            text, spans = varied(text, spans, rnd) if rnd.random() < 0.6 else (text, spans)
+            centre = sum(rnd.choice(spans)[:2]) // 2 + rnd.randint(-50, 50)
+            return window(text, spans, centre)
+        if roll < 0.58 and self.hard:
+            text, spans, at = rnd.choice(self.hard)
+            return window(text, spans, at + rnd.randint(-40, 40))
+        if roll < 0.78:
+            made, spans = forms.sentence(rnd)
+            if rnd.random() < 0.5:
+                other, theirs = forms.sentence(rnd)
+                gap = rnd.choice((" ", "\n", ". ", "; "))
+                spans = spans + [(s + len(made) + len(gap), e + len(made) + len(gap), k) for s, e, k in theirs]
+                made += gap + other
+            if rnd.random() < 0.6:
+                text = rnd.choice(self.without)[0]
+                at = rnd.randrange(len(text) + 1)
+                before, after = text[max(0, at - rnd.randint(0, 70)) : at], text[at : at + rnd.randint(0, 60)]
+                before += rnd.choice((" ", "\n", ". "))
+                made, spans = before + made + rnd.choice((" ", "\n", ". ")) + after, [(s + len(before), e + len(before), k) for s, e, k in spans]
+            return made[: WINDOW + 48], [(s, min(e, WINDOW + 48), k) for s, e, k in spans if s < WINDOW + 48]
+        text, spans = rnd.choice(self.without if rnd.random() < 0.8 else self.with_items)
+        return window(text, spans, rnd.randrange(len(text)))
+
+    def mine(self, finder, count: int) -> int:
+        """Take the places where the tagger is wrong on some of the texts as rows of their own."""
+        some = self.rnd.sample(self.without, min(count, len(self.without))) + self.rnd.sample(self.with_items, min(count // 4, len(self.with_items)))
+        for (text, spans), found in zip(some, finder.find([t for t, _ in some])):
+            wrong = set(found) ^ set(spans)
+            self.hard += [(text, spans, (s + e) // 2) for s, e, _ in wrong]
+        self.hard = self.hard[-3000:]
+        return len(self.hard)
+
+
+def _work(rank: int, processes: int, labelled: list[Labelled], seconds: float, hidden: int, seed: int, start: str | None, slots, barrier, out: str) -> None:
+    from .pii import Finder
+
+    rows = Rows(labelled, random.Random(seed * 1000 + rank))
     model = Tagger.load(start) if start else Tagger.fresh(hidden, seed)
-    adam, began, done = Adam(model, 0.01), time.time(), 0
-    print(f"{len(positive)} windows with items, {len(negative)} without", flush=True)
-    while (passed := time.time() - began) < seconds:
-        rnd.shuffle(positive)
-        used = [varied(*w, names, rnd) for w in positive] + rnd.sample(negative, min(len(negative), int(len(positive) * 1.5)))
-        rnd.shuffle(used)
-        losses = []
-        for i in range(0, len(used) - width + 1, width):
-            passed = time.time() - began
-            adam.rate = 0.01 * max(0.02, min(1.0, 1.6 * (1 - passed / seconds)))
-            loss, grads = model.loss_and_gradients(*arrays(used[i : i + width]))
-            adam.step(grads)
-            losses.append(loss)
-            if passed > seconds:
-                break
-        done += 1
-        print(f"round {done}: {np.mean(losses):.4f} after {passed:.0f} s", flush=True)
-    return model
+    model.constrain()
+    adam = Adam(model, 0.01)
+    shapes = {n: getattr(model, n).shape for n in Tagger.NAMES}
+    size = sum(int(np.prod(s)) for s in shapes.values())
+    shared = np.frombuffer(slots, np.float32).reshape(processes, size + 2)
+    mean, average = {}, None
+    began, k, losses, progress = time.time(), 0, [], 0.0
+    mined = 0
+    while progress < 1:
+        adam.rate = (0.004 if start else 0.01) * min(1.0, 0.02 + 40 * progress) * max(0.01, min(1.0, 1.5 * (1 - progress)))
+        loss, grads = model.loss_and_gradients(*arrays([rows.one() for _ in range(WIDTH)]))
+        shared[rank, :size] = np.concatenate([grads[n].ravel() for n in Tagger.NAMES])
+        shared[rank, size] = loss
+        shared[rank, size + 1] = (time.time() - began) / seconds
+        barrier.wait()
+        mean_all = shared.mean(0)
+        barrier.wait()
+        at = 0
+        for n in Tagger.NAMES:
+            length = int(np.prod(shapes[n]))
+            mean[n] = mean_all[at : at + length].reshape(shapes[n])
+            at += length
+        adam.step(mean, 3.0)
+        progress = float(mean_all[size + 1])
+        losses.append(float(mean_all[size]))
+        k += 1
+        if progress > 0.6:  # the mean of the late weights is steadier than the last
+            now = {n: getattr(model, n).astype(np.float64) for n in Tagger.NAMES}
+            average = now if average is None else {n: average[n] + 0.01 * (now[n] - average[n]) for n in now}
+        if progress > 0.2 + mined * 0.1:
+            mined += 1
+            count = rows.mine(Finder(model), 1500)
+            if rank == 0:
+                print(f"{progress:.2f} step {k}: loss {np.mean(losses[-200:]):.4f}, {count} hard places", flush=True)
+                model.save(out)
+    if rank == 0:
+        for n in Tagger.NAMES:
+            setattr(model, n, average[n].astype(np.float32))
+        model.constrain()
+        model.save(out)
+
+
+def train(data: str, seconds: float = 600, processes: int = 8, hidden: int = HIDDEN, seed: int = 7, start: str | None = None, out: str | Path = WEIGHTS) -> Tagger:
+    texts, names = read_texts(data)
+    with mp.get_context("fork").Pool(processes) as pool:
+        labels = pool.starmap(rules.find_all, [(t, names) for t in texts], chunksize=500)
+    labelled = list(zip(texts, labels))
+    print(f"{sum(map(bool, labels))} of {len(texts)} texts have items", flush=True)
+    size = sum(getattr(Tagger.fresh(hidden), n).size for n in Tagger.NAMES) + 2
+    context = mp.get_context("fork")
+    slots, barrier = context.RawArray("f", processes * size), context.Barrier(processes)
+    workers = [context.Process(target=_work, args=(r, processes, labelled, seconds, hidden, seed, start, slots, barrier, str(out))) for r in range(processes)]
+    for w in workers:
+        w.start()
+    for w in workers:
+        w.join()
+    return Tagger.load(out)
 
 
 if __name__ == "__main__":
-    train(sys.argv[1], *(float(x) for x in sys.argv[2:3])).save(WEIGHTS)
+    train(sys.argv[1], *(float(x) for x in sys.argv[2:3]), *(int(x) for x in sys.argv[3:4]))

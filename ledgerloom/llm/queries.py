@@ -35,11 +35,11 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(_texts(spark, d), "text_id", "text", table(spark, d, "people")).select("text_id", "pii_type", "start_char").distinct()
+    return pii.found(_texts(spark, d), "text_id", "text").select("text_id", "pii_type", "start_char").distinct()
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(_texts(spark, d), "text_id", "text", table(spark, d, "people"))
+    return pii.redacted(_texts(spark, d), "text_id", "text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
