@@ -3,10 +3,10 @@
 Each text is cut into overlapping windows, the windows of many texts run through the
 tagger side by side, and every character takes its scores from the window in which it
 lies farthest from the border.  The best CRF path is then the one over the whole text.
-It need not be searched everywhere: since no transition gains over O to O, an item of
-the best path has leads (best item tag over outside) whose sum is not negative, so a
-character that lies in no stretch of such a sum is outside, and the search over the
-remaining stretches gives exactly the path over the text.  The items of the path are
+It need not be searched everywhere: since no transition gains over O to O, the leads
+(best item tag over outside, of its first character best B tag) of an item on the best
+path sum to at least the cost of entering an item, so a character that lies in no stretch of such a sum is outside, and
+the search over the remaining stretches gives exactly the path over the text.  The items of the path are
 the result; a last check drops what its kind rules out (``fits``).
 
 Defined results: a null text stays null and has no items; empty and blank texts have
@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .pii_model import PAD, TAGS, K, Tagger, char_ids
 
-WINDOW, MARGIN, WIDTH = 256, 16, 512
+WINDOW, MARGIN, WIDTH = 256, 16, 256
 CHARS_AT_ONCE = 600_000
 MEMO_TEXTS, MEMO_LENGTH = 100_000, 300
 WEIGHTS = Path(__file__).with_name("pii_tagger.npz")
 Item = tuple[int, int, str]
 _KIND = [t[2:] for t in TAGS]
+_BEGIN = [i for i, t in enumerate(TAGS) if t.startswith("B")]
 
 
 def windows(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -92,9 +93,11 @@ class Finder:
         codes = char_ids("".join(texts))
         scores = self.scores(codes, starts, lengths)
         for i, a, b in self._regions(scores, starts, lengths):
-            for j, path in zip(i, self._paths(scores, a, b)):
+            paths = self._paths(scores, a, b)
+            for r in np.flatnonzero(paths.any(1)).tolist():
+                j = i[r]
                 text, at = texts[j[0]], j[1] - int(starts[j[0]])
-                for s, e, kind in _spans(path):
+                for s, e, kind in _spans(paths[r, : b[r] - a[r]]):
                     if fits(kind, text[at + s : at + e]):
                         out[j[0]].append((at + s, at + e, kind))
         return [sorted(x) for x in out]
@@ -103,15 +106,15 @@ class Finder:
         """Batches of stretches outside which every character is provably outside: ((text, begin), begins, ends)."""
         lead = (scores[:, 1:].max(1) - scores[:, 0]).astype(np.float64)
         wall = np.maximum(lead, 0).sum() + 1.0  # no stretch crosses the border of a text
-        step = lead.copy()
-        total = np.concatenate([[0.0], np.cumsum(step)])
+        total = np.concatenate([[0.0], np.cumsum(lead)])
         used = lengths > 0
         walls = np.zeros(len(lead))
         walls[starts[used]] = wall
         walls = np.cumsum(walls)
-        low = np.minimum.accumulate(total[:-1] - walls)  # of the stretches that begin at or before a character
+        opening = (scores[:, _BEGIN].max(1) - scores[:, 0]).astype(np.float64)  # the first character of an item has a B tag
+        low = np.minimum.accumulate(total[1:] - opening - walls)  # of the stretches that begin at or before a character
         high = np.maximum.accumulate((total[1:] - walls)[::-1])[::-1]
-        maybe = np.flatnonzero(high - low > -1e-3)
+        maybe = np.flatnonzero(high - low > -float(self.tagger.trans[0, 1:].max()) - 1e-3)
         if not len(maybe):
             return
         text_of = np.searchsorted(starts, maybe, side="right") - 1
@@ -127,14 +130,13 @@ class Finder:
             k += len(batch)
             yield list(zip(text[batch].tolist(), first[batch].tolist())), first[batch], end[batch]
 
-    def _paths(self, scores: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """The best path of each stretch, which follows on an O."""
+    def _paths(self, scores: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(stretches, T): the best path of each stretch, which follows on an O."""
         at = begin[:, None] + np.arange(int((end - begin).max()))
         grid = scores[np.minimum(at, len(scores) - 1)]
         beyond = at >= end[:, None]
         grid[beyond] = 0.0  # after the end any tag may go on at no cost, so nothing is decided there
-        path = self._viterbi(grid, beyond)
-        return [p[: b - a] for p, a, b in zip(path, begin.tolist(), end.tolist())]
+        return self._viterbi(grid, beyond)
 
     def _viterbi(self, grid: np.ndarray, beyond: np.ndarray) -> np.ndarray:
         """Paths (B, T) of scores (B, T, K); positions ``beyond`` a stretch keep the tag before them."""

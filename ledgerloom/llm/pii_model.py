@@ -22,6 +22,7 @@ PAD = 0
 #: Which tag may follow which: an I tag only the B or I of its kind.
 ALLOWED = np.array([[not b.startswith("I") or a[2:] == b[2:] for b in TAGS] for a in TAGS])
 FORBIDDEN = -1e4
+BLOCK = 32
 _PRINTABLE = [chr(c) for c in range(32, 127)]
 _CLASSES = ["upper", "lower", "other letter", "cjk", "digit", "space", "mark", "format", "dash", "quote", "punct", "symbol", "rest", "newline"]
 _IDS = {c: i + 1 for i, c in enumerate(_PRINTABLE)}
@@ -103,8 +104,14 @@ class Tagger:
         return self.recurrent.shape[2]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(T, B, K) scores of windows ``ids`` (T, B), a window per row of every product."""
-        steps, width = ids.shape
+        """(T, B, K) scores of windows ``ids`` (T, B), a window per row of every product.
+
+        The products go through BLAS in blocks of ``BLOCK`` rows, which it does not share out
+        to threads: the cores are taken by as many tasks already.
+        """
+        steps, given = ids.shape
+        width = -(-given // BLOCK) * BLOCK
+        ids = np.pad(ids, ((0, 0), (0, width - given)), constant_values=PAD)
         n = self.hidden
         states = np.empty((steps, width, 2 * n), np.float32)
         for d in (0, 1):
@@ -113,7 +120,7 @@ class Tagger:
             gates, entering = np.empty((width, 4 * n), np.float32), np.empty((width, 4 * n), np.float32)
             for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
                 np.take(table, ids[t], axis=0, out=entering, mode="clip")
-                np.matmul(h, recurrent, out=gates)
+                np.matmul(h.reshape(-1, BLOCK, n), recurrent, out=gates.reshape(-1, BLOCK, 4 * n))
                 gates += entering
                 soft = gates[:, : 3 * n]
                 np.clip(soft, 0.0, 1.0, out=soft)
@@ -124,7 +131,7 @@ class Tagger:
                 np.tanh(c, out=new)
                 np.multiply(new, gates[:, 2 * n : 3 * n], out=h)
                 states[t, :, d * n : (d + 1) * n] = h
-        return states @ self.out.T + self.bias
+        return (states.reshape(-1, BLOCK, 2 * n) @ self.out.T).reshape(steps, width, K)[:, :given] + self.bias
 
     def constrain(self) -> None:
         """Bring the transitions back under their constraints."""

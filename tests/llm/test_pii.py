@@ -3,15 +3,13 @@ import random
 import numpy as np
 import pytest
 
-from ledgerloom.llm import pii, pii_rules as rules
-from ledgerloom.llm.pii_model import K, TAGS, VOCABULARY, Tagger, char_ids
-
-PEOPLE = [("Mira", "Dulkwick"), ("Jörun", "Veskquist"), ("Kofi", "Ibbelander"), ("Lena", "Stonelight")]
+from ledgerloom.llm import pii, pii_forms as forms
+from ledgerloom.llm.pii_model import FORBIDDEN, K, TAGS, VOCABULARY, Tagger, char_ids
 
 
 @pytest.fixture(scope="module")
 def finder():
-    return pii.Finder(Tagger.load(pii.WEIGHTS), rules.Names([g for g, _ in PEOPLE], [f for _, f in PEOPLE]))
+    return pii.Finder(Tagger.load(pii.WEIGHTS))
 
 
 CASES = [
@@ -29,6 +27,9 @@ CASES = [
     ("Part A900-22-2752-B is out of stock in the mock catalogue.", []),
     ("Clone git@forge:team/window and pin window@5.25.6.", []),
     ("build 2026.03.14-8389 replaced 9.12.8389 and peer 192.0.2.37 answered on port 8527", []),
+    ("Dr. Priya Raghunathan at 12 Elm Grove", [("person_name", "Priya Raghunathan"), ("street_address", "12 Elm Grove")]),
+    ("ask Jennifer Okonkwo or Wei Zhang, then call 020 7946 0958", [("person_name", "Jennifer Okonkwo"), ("person_name", "Wei Zhang"), ("phone", "020 7946 0958")]),
+    ("IBAN DE89 3704 0044 0532 0130 00 of the account", []),
     ("", []), (" \n ", []), ("@", []), ("👩‍🔧 é", []),
 ]
 
@@ -47,8 +48,8 @@ def test_long_text_is_read_whole_and_windows_agree(finder):
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 480, 1000, 12345])
 def test_windows_cover_each_character_once(n):
-    parts = [(a, b) for _, s, e, a, b in pii._windows([n]) if s <= a and b <= e]
-    assert [a for a, _ in parts] == [0] + [b for _, b in parts][:-1] and parts[-1][1] == n
+    parts = sorted((a, b) for s, e, a, b in pii.windows(np.array([7]), np.array([n])).tolist() if s <= a and b <= e)
+    assert [a for a, _ in parts] == [7, *(b for _, b in parts[:-1])][: len(parts)] and (parts[-1][1] == 7 + n if n else not parts)
 
 
 def test_gradients_are_exact():
@@ -71,60 +72,66 @@ def test_gradients_are_exact():
             assert abs((moved[0] - moved[1]) / 2e-4 - grads[name][at]) < 1e-4
 
 
-def test_viterbi_equals_brute_force():
-    import itertools
-
-    rnd = np.random.default_rng(2)
-    model = Tagger.fresh(4)
-    model.trans = rnd.normal(0, 1, (K, K)).astype(np.float32)
-    scores = rnd.normal(0, 1, (3, K, 2)).astype(np.float32)
-    path = model.viterbi(scores)
-    for b in range(2):
-        total = lambda p: sum(scores[t, p[t], b] for t in range(3)) + sum(model.trans[p[t], p[t + 1]] for t in range(2))  # noqa: B023, E731
-        assert tuple(path[:, b]) == max(itertools.product(range(K), repeat=3), key=total)
-
-
-def test_held_out_accuracy(finder):
-    """Items made anew in sentences like the tables', of names that nobody trained on."""
-    rnd, good, total = random.Random(9), 0, 0
-    names = rules.Names(["Mira", "Kofi"], ["Dulkwick"])
-    own = pii.Finder(finder.tagger, names)
-    for _ in range(150):
-        digits = "".join(rnd.choice("0123456789") for _ in range(6))
-        for text, kind in ((f"Call +44 7700 {digits} now.", "phone"), (f"SSN 9{digits[:2]}-{digits[2:4]}-{digits[:4]} was visible in the dump.", "id_number"), (f"mailto:user{digits}@ops.vellum.example", "email"), (f"owner: {rnd.choice(['Mira', 'Kofi'])} Dulkwick", "person_name")):
-            total += 1
-            good += [k for *_, k in own.find([text])[0]] == [kind]
-    assert good >= 0.97 * total
+class Fixed:
+    """Given scores in place of the tagger's."""
+
+    def __init__(self, trans, by_id):
+        self.trans, self.by_id = trans, by_id
+
+    def emissions(self, ids):
+        return self.by_id[ids]
+
+
+def whole_path(scores, trans):
+    """The best path over all of a text at once, one step after another."""
+    best, came = scores[0] + trans[0], []
+    for row in scores[1:]:
+        paths = best[:, None] + trans
+        came.append(paths.argmax(0))
+        best = paths.max(0) + row
+    path = [int(best.argmax())]
+    for back in reversed(came):
+        path.append(int(back[path[-1]]))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_the_search_gives_the_best_path_of_the_whole_text(seed):
+    rnd = np.random.default_rng(seed)
+    model = Tagger.fresh(4, seed)
+    model.trans = model.trans + np.where(model.trans > FORBIDDEN, rnd.normal(0, 1, (K, K)), 0).astype(np.float32)
+    model.constrain()
+    letters = "abcdefghijklmnopqrstuvwxyz 0123456789"
+    by_id = rnd.normal(-2.0, 1.5, (VOCABULARY, K)).astype(np.float32)
+    by_id[:, 0] = 0
+    finder = pii.Finder(Fixed(model.trans, by_id))
+    texts = ["".join(letters[i] for i in rnd.integers(0, len(letters), n)) for n in (1, 5, 300, 40, 0, 900)]
+    for text, found in zip(texts, finder.items(texts)):
+        path = np.array(whole_path(by_id[char_ids(text)], model.trans)) if text else np.zeros(0, int)
+        assert found == [x for x in pii._spans(path) if pii.fits(x[2], text[x[0] : x[1]])]
+        assert all(TAGS[b][2:] == TAGS[a][2:] for a, b in zip(path, path[1:]) if TAGS[b][0] == "I")
+
+
+def test_held_out_rows(finder):
+    """Made sentences of another seed, and forms that training never makes: precision and recall of the tagger alone."""
+    for held, least in ((False, {"recall": 0.98, "precision": 0.98}), (True, {"recall": 0.85, "precision": 0.95})):
+        rnd = random.Random(4711)
+        rows = [forms.sentence(rnd, held) for _ in range(600)]
+        gold = [{(s, k) for s, _, k in spans} for _, spans in rows]
+        found = [{(s, k) for s, _, k in items} for items in finder.find([t for t, _ in rows])]
+        both = sum(len(g & f) for g, f in zip(gold, found))
+        assert both / sum(map(len, gold)) >= least["recall"] and both / sum(map(len, found)) >= least["precision"]
 
 
 def test_frames(spark):
-    people = spark.createDataFrame(PEOPLE, "given_name string, family_name string")
     rows = [("a", "Call +44 (0)7700 900404. Call +44 (0)7700 900404.", 1), ("a", "Call +44 (0)7700 900404. Call +44 (0)7700 900404.", 2), ("b", None, 3), ("c", "", 4), (None, "Call +44 7700 900404.", 5), ("d", "owner: Mira Dulkwick", 6)]
     texts = spark.createDataFrame(rows, "text_id string, text string, pii_type long")
-    found = sorted(tuple(r)[:3] for r in pii.found(texts, "text_id", "text", people).collect())
+    found = sorted(tuple(r)[:3] for r in pii.found(texts, "text_id", "text").collect())
     assert found == [("a", "phone", 5), ("a", "phone", 30), ("d", "person_name", 7)]
-    clean = {r.text_id: (r.text, [tuple(x) for x in r.redactions]) for r in pii.redacted(texts, "text_id", "text", people).collect()}
+    clean = {r.text_id: (r.text, [tuple(x) for x in r.redactions]) for r in pii.redacted(texts, "text_id", "text").collect()}
     assert clean["a"] == ("Call <redacted:phone>. Call <redacted:phone>.", [("phone", 2)]) and clean["b"] == (None, []) and clean["d"] == ("owner: <redacted:person-name>", [("person_name", 1)])
-    assert pii.found(texts.filter("false"), "text_id", "text", people).count() == 0
-    assert pii.found(texts, "text_id", "text", people.filter("false")).count() >= 2
+    assert pii.found(texts.filter("false"), "text_id", "text").count() == 0
 
 
 def test_characters_beyond_ascii():
     assert len(char_ids("aé漢👍\ud800"[:4])) == 4 and char_ids("é")[0] == char_ids("e")[0] and len(TAGS) == 11
-
-
-def test_items_whose_lead_is_within_the_bias_are_proposed(finder):
-    codes = char_ids("a" * 40 + "x" * 20 + "a" * 40)
-
-    class Faint:
-        """One kind half a point below the outside tag on every x, far below it elsewhere."""
-
-        viterbi = staticmethod(finder.tagger.viterbi)
-
-        def emissions(self, ids):
-            found = np.full((*ids.shape, K), -20.0, np.float32)
-            found[:, :, 0] = 0
-            found[ids == codes[45], 1:3] = -0.5
-            return np.ascontiguousarray(found.transpose(0, 2, 1))
-
-    assert [p[:2] for p in pii.Finder(Faint(), finder.names)._proposals([codes])[0]] == [(40, 60)]
