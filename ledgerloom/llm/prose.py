@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Set
+from typing import NamedTuple
 
 #: Forms of lines that are not prose.
 LIST_MARK = re.compile(r"\s*(?:[-*+•‣◦·–]\s|\[[ xX]\]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|[①-⑳])")
@@ -25,17 +26,19 @@ IDENTIFIER = re.compile(r"\w*_\w+|[a-z]+[A-Z]\w*|\S*\w/\w\S*|\S*\w\.(?:py|go|ts|
 MAYBE_IDENTIFIER = re.compile(r"[_\d/]|[a-z][A-Z]|\w\.\w")
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", re.UNICODE)
 CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
-END_MARK = re.compile(r"[.!?…。！？:;]['\"”’)\]»]*\s*$")
-SPEAKER = re.compile(r"\s*(?:\[?\(?\d{1,2}:\d\d(?::\d\d)?\)?\]?\s*[-–]?\s*)?(?:\*{0,2}[^\W\d_][\w .'-]{0,30}\*{0,2}:\s+)?")
+END_MARKS, CLOSERS = tuple(".!?…。！？:;"), "'\"”’)]»"
 SYMBOL = re.compile(r"[^\w\s.,!?;:'\"()。，、！？\-]")
 
 
-def line_kind(line: str, common: Set[str]) -> float:
-    """From 0 (not prose) to 1 (prose) for one line that is not blank."""
-    body = line.strip()
+def ended(body: str) -> bool:
+    """Whether a stripped line ends in punctuation, inside closing quotes and brackets or not."""
+    return body.rstrip(CLOSERS).endswith(END_MARKS)
+
+
+def line_kind(line: str, body: str, words: list[str], known: int, end: bool) -> float:
+    """From 0 (not prose) to 1 (prose) for one line that is not blank: as it is, stripped, its words, how many are common, its end."""
     n = len(body)
     cjk = len(CJK.findall(body)) if not body.isascii() else 0
-    words = WORD.findall(body.lower())
     if cjk > 0.4 * n:
         if LIST_MARK.match(line) or len(DELIMITED.findall(body)) >= 2:
             return 0.0
@@ -48,7 +51,6 @@ def line_kind(line: str, common: Set[str]) -> float:
     count = len(tokens)
     if not words:
         return 0.0
-    known = sum(map(common.__contains__, words))
     letters = sum(map(len, words))
     longest = max(map(len, tokens))
     odd = sum(1 for t in tokens if IDENTIFIER.fullmatch(t.strip(".,;:!?()[]`'\""))) if MAYBE_IDENTIFIER.search(body) else 0
@@ -60,7 +62,7 @@ def line_kind(line: str, common: Set[str]) -> float:
     cells = len(DELIMITED.findall(body))
     if cells >= 2 and known < 0.45 * len(words) and not (len(words) >= 6 * (cells + 1) and known >= 0.15 * len(words)):
         return 0.0
-    if CODE_LINE.match(line) and not (known >= 3 and END_MARK.search(body)):
+    if CODE_LINE.match(line) and not (known >= 3 and end):
         return 0.0
     share = known / len(words)
     if letters < 0.55 * n:
@@ -72,19 +74,42 @@ def line_kind(line: str, common: Set[str]) -> float:
     return 0.6 if (share > 0 and odd == 0) else 0.4 if odd == 0 and count >= 2 else 0.1
 
 
-def prose_share(text: str, common: Set[str]) -> float:
-    """The share of the characters of non-blank lines that are in lines of prose."""
+class Tally(NamedTuple):
+    share: float
+    words: int
+    letters: int
+    common: list[str]
+    lines: int
+    ended: int
+
+
+def tally(text: str, common: Set[str]) -> Tally:
+    """One pass over the lines: the share of the characters of non-blank lines that are in lines of prose, and counts of words and lines."""
     total = good = 0.0
-    before, pending = 0.0, 0.0
+    before, n_words, letters, lines, ends = 0.0, 0, 0, 0, 0
+    plain: list[str] = []
     for line in text.splitlines():
-        if not line or line.isspace():
+        body = line.strip()
+        if not body:
             before = 0.0
             continue
-        n = len(line.strip())
-        kind = line_kind(line, common)
+        n = len(body)
+        words = WORD.findall(body.lower())
+        own = list(filter(common.__contains__, words))
+        end = ended(body)
+        kind = line_kind(line, body, words, len(own), end)
         if 0.1 < kind < 1.0:  # a short or doubtful line goes with the line before it
             kind = 1.0 if before >= 1.0 or kind >= 0.6 else 0.0
         before = kind
         total += n
         good += n * kind
-    return good / total if total else 0.0
+        n_words += len(words)
+        letters += sum(map(len, words))
+        plain += own
+        lines += 1
+        ends += end
+    return Tally(good / total if total else 0.0, n_words, letters, plain, lines, ends)
+
+
+def prose_share(text: str, common: Set[str]) -> float:
+    return tally(text, common).share

@@ -8,13 +8,16 @@
    its range, however uneven the values.  The ranks are joined back by value; a value
    that very many texts share is one row of the ranks and a skewed left side.
 3. A text's tail probabilities, P(X <= x) and P(X >= x) within its language, are
-   combined into an outlier score: the weighted sum of their negative logarithms, with
-   weights fitted by logistic regression on a bounded sample of labelled documents.
+   combined into an outlier score: the weighted sum of their negative logarithms and of
+   the logit of the rank between them, with an offset for the language; weights and
+   offsets are fitted by logistic regression on a bounded sample of labelled documents.
+   The score alone decides which documents are found.
 
 Defined results: null, empty and blank texts have zero words, null ratios and no score
 and are never found; of several labels the most frequent counts, on a tie the text is
-not used for fitting; null labels are ignored; without labels of both kinds all weights
-are one; repeated rows each get their row.
+not used for fitting; null labels are ignored; without labels of both kinds the score is
+the plain sum of both tails, nothing tells what it means, and no document is found;
+repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ from . import prose
 #: The statistics that are ranked.
 STATISTICS = ("log_words", "mean_word_len", "symbol_ratio", "digit_ratio", "line_end_share", "common_share", "prose_share")
 LABELS_AT_MOST = 20_000
-CANDIDATE_AT = 0.02
+#: The probability from which a text is found, and the ridge on the weights and on the languages' offsets.
+FOUND_AT, RIDGE, OFFSET_RIDGE = 0.5, 1.0, 0.25
 _DIGIT = re.compile(r"\d")
 
 
@@ -44,22 +48,17 @@ def measure(text: str | None, by_lang: dict[str, frozenset[str]], common: frozen
     if text is None or not text.strip():
         return None
     n = len(text)
-    words = prose.WORD.findall(text.lower())
-    plain = list(filter(common.__contains__, words))
-    known = len(plain)
+    t = prose.tally(text, common)
     cjk = 0 if text.isascii() else len(prose.CJK.findall(text))
     if cjk > 0.2 * n:
         group = "cjk"
     else:
-        hits = {lang: sum(map(own.__contains__, plain)) for lang, own in by_lang.items()} if known else {}
+        hits = {lang: sum(map(own.__contains__, t.common)) for lang, own in by_lang.items()} if t.common else {}
         group = max(sorted(hits), key=hits.get) if hits else "und"
-    lines = [x for x in text.splitlines() if x and not x.isspace()]
-    ended = sum(1 for x in lines if prose.END_MARK.search(x[-40:]))
-    mean = sum(map(len, words)) / len(words) if words else 0.0
     values = (
-        np.log2(len(words) + 1), mean, len(prose.SYMBOL.findall(text)) / n, len(_DIGIT.findall(text)) / n, ended / max(1, len(lines)), known / max(1, len(words)), prose.prose_share(text, common)
+        np.log2(t.words + 1), t.letters / max(1, t.words), len(prose.SYMBOL.findall(text)) / n, len(_DIGIT.findall(text)) / n, t.ended / max(1, t.lines), len(t.common) / max(1, t.words), t.share
     )
-    return group, len(words), *map(float, values)
+    return group, t.words, *map(float, values)
 
 
 def statistics(texts: DataFrame, key_col: str, text_col: str, words: dict[str, list[str]]) -> DataFrame:
@@ -99,22 +98,23 @@ def ranks(stats: DataFrame) -> DataFrame:
 
 
 def tails(stats: DataFrame) -> DataFrame:
-    """``stats``, which needs a unique ``row_id``, with ``x``: the negative logarithms of both tail probabilities of every statistic."""
+    """``stats``, which needs a unique ``row_id``, with ``x``: of every statistic the negative logarithms of both tail probabilities and the logit of the middle rank."""
     own = [c for c in stats.columns if c not in STATISTICS]
     each = stats.filter("lang_group is not null").select(*own, _listed()).select(*own, "v.stat", "v.value").join(ranks(stats), ["lang_group", "stat", "value"])
     left, right = -F.log((F.col("below") + F.col("n")) / F.col("total")), -F.log((F.col("total") - F.col("below")) / F.col("total"))
+    middle = F.log((F.col("below") + F.col("n") / 2) / (F.col("total") - F.col("below") - F.col("n") / 2))
     of = lambda s, c: F.max(F.when(F.col("stat") == s, c))
-    wide = each.groupBy(*own).agg(*[of(s, F.col("value")).alias(s) for s in STATISTICS], F.array(*[of(s, c) for s in STATISTICS for c in (left, right)]).alias("x"))
+    wide = each.groupBy(*own).agg(*[of(s, F.col("value")).alias(s) for s in STATISTICS], F.array(*[of(s, c) for s in STATISTICS for c in (left, right, middle)]).alias("x"))
     return wide.unionByName(stats.filter("lang_group is null").withColumn("x", F.lit(None).cast("array<double>")))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic regression with a quadratic penalty (Newton steps)."""
+def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float | np.ndarray = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic regression with a quadratic penalty, one for all or one a weight (Newton steps)."""
     if len(set(y.tolist())) < 2:
         return np.ones(x.shape[1]), 0.0
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
-    ridge = np.diag([penalty] * x.shape[1] + [1e-6])
+    ridge = np.diag(np.append(np.broadcast_to(penalty, x.shape[1]), 1e-6))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
@@ -135,13 +135,21 @@ def scored(texts: DataFrame, labels: DataFrame, words: dict[str, list[str]], key
     stats = cut(statistics(texts, key_col, text_col, words).withColumn("row_id", F.monotonically_increasing_id()))
     ranked = cut(tails(stats))
     known = labelled(labels).withColumnRenamed("doc_id", key_col)
-    sample = ranked.filter("x is not null").join(F.broadcast(known), key_col).select("x", "junk").toPandas()  # at most LABELS_AT_MOST labels
-    weights, offset = fit_weights(np.array(sample["x"].tolist()), sample["junk"].to_numpy(dtype=float)) if len(sample) else (np.ones(2 * len(STATISTICS)), 0.0)
-    score = sum((F.col("x")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0)) + F.lit(float(offset))
+    sample = ranked.filter("x is not null").join(F.broadcast(known), key_col).select("x", "lang_group", "junk").toPandas()  # at most LABELS_AT_MOST labels
+    groups = sorted({*words, "cjk", "und"})
+    fitted = sample["junk"].nunique() == 2
+    if fitted:
+        x = np.hstack([np.array(sample["x"].tolist()), np.array([[g == own for g in groups] for own in sample["lang_group"]], float)])
+        weights, offset = fit_weights(x, sample["junk"].to_numpy(dtype=float), np.repeat([RIDGE, OFFSET_RIDGE], [3 * len(STATISTICS), len(groups)]))
+    else:
+        weights, offset = np.array([1.0, 1.0, 0.0] * len(STATISTICS) + [0.0] * len(groups)), 0.0
+    score = sum((F.col("x")[i] * float(w) for i, w in enumerate(weights[: 3 * len(STATISTICS)])), F.lit(float(offset)))
+    own = F.create_map(*[F.lit(v) for g, w in zip(groups, weights[3 * len(STATISTICS) :]) for v in (g, float(w))])[F.col("lang_group")]
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("score")))))
-    return ranked.withColumn("score", score).withColumn("p_junk", F.when(F.col("score").isNotNull(), p)).select(key_col, "lang_group", "words", *STATISTICS, "score", "p_junk")
+    both = ranked.withColumn("score", score + own).withColumn("p_junk", F.when(F.col("score").isNotNull() & F.lit(fitted), p))
+    return both.select(key_col, "lang_group", "words", *STATISTICS, "score", "p_junk")
 
 
-def not_prose(scores: DataFrame, key_col: str = "doc_id", at: float = CANDIDATE_AT) -> DataFrame:
-    """Outliers by score of which, checked exactly, less than half of the characters are in lines of prose."""
-    return scores.filter((F.col("p_junk") >= at) & (F.col("prose_share") < 0.5)).select(key_col)
+def not_prose(scores: DataFrame, key_col: str = "doc_id", at: float = FOUND_AT) -> DataFrame:
+    """The outliers: texts that are more likely than not no prose by their score."""
+    return scores.filter(F.col("p_junk") >= at).select(key_col)

@@ -49,19 +49,31 @@ def test_ranks_are_exact(spark):
         assert (np.searchsorted(values, mine["value"].to_numpy()) == mine["below"].to_numpy()).all()
 
 
-def test_found_equals_the_exact_check(spark):
+def test_the_score_decides(spark):
+    """What is found follows from the combined tails alone; it agrees with the lines counted one by one."""
     rows, docs, labels = frames(spark)
     scores = quality.scored(docs, labels, WORDS)
-    found = sorted(r.doc_id for r in quality.not_prose(scores).collect())
-    assert found == sorted(i for i, t, _ in rows if t and t.strip() and prose.prose_share(t, COMMON) <= 0.5)
+    found = {r.doc_id for r in quality.not_prose(scores).collect()}
     out = scores.toPandas()
+    assert found == set(out[out.score >= 0].doc_id)
+    junk = {i for i, t, _ in rows if t and t.strip() and prose.prose_share(t, COMMON) < 0.5}
+    assert len(found & junk) >= 0.95 * len(junk) and len(found & junk) >= 0.95 * len(found)
     assert len(out) == len(rows) and out[out.words == 0].score.isna().sum() == 3
-    assert out[out.doc_id % 2 == 1].score.mean() < out[(out.doc_id % 2 == 0) & out.score.notna()].score.mean()
+
+
+def test_other_labels_give_other_results(spark):
+    """With the labels turned round the same statistics find the other texts: no rule stands beside the score."""
+    rows, docs, labels = frames(spark)
+    turned = labels.selectExpr("doc_id", "case label when 'prose' then 'junk' when 'junk' then 'prose' end label", "rater")
+    found = {r.doc_id for r in quality.not_prose(quality.scored(docs, turned, WORDS)).collect()}
+    prose_ids = {i for i, t, _ in rows if t and t.strip() and prose.prose_share(t, COMMON) >= 0.5}
+    assert len(found & prose_ids) >= 0.95 * len(prose_ids)
 
 
 def test_without_labels_and_empty(spark):
     _, docs, labels = frames(spark, 40)
-    assert quality.scored(docs, labels.filter("false"), WORDS).count() == 44
+    unlabelled = quality.scored(docs, labels.filter("false"), WORDS)
+    assert unlabelled.count() == 44 and quality.not_prose(unlabelled).count() == 0
     assert quality.scored(docs.filter("false"), labels, WORDS).count() == 0
 
 
@@ -92,6 +104,7 @@ def test_values_are_ranked_unrounded_and_uncapped(spark):
         assert got[i].score == pytest.approx(-np.log(left + right).sum())
 
 
-def test_half_prose_is_not_found(spark):
-    shares = spark.createDataFrame([(1, 0.9, 0.5), (2, 0.9, 0.50004), (3, 0.9, 0.49996), (4, 0.9, None)], "doc_id long, p_junk double, prose_share double")
-    assert [r.doc_id for r in quality.not_prose(shares).collect()] == [3]
+def test_line_ends(spark):
+    for line, end in (("It is so." + " " * 60, True), ("It is so" + ")" * 50, False), ("(It is so.)" + ")" * 50, True), ("so,", False), ("何です。」", False), ("何です。", True)):
+        assert prose.ended(line.strip()) is end
+    assert quality.measure("It is so." + " " * 60, {"en": frozenset(WORDS["en"])}, COMMON)[6] == 1.0
