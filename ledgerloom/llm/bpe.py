@@ -44,10 +44,10 @@ def default_vocabulary() -> str:
 class BytePairs:
     """The vocabulary of one tokenizer with its encoder."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: bytes):
         import ahocorasick
 
-        lines = (line.split() for line in Path(vocabulary).read_bytes().splitlines() if line.strip())
+        lines = (line.split() for line in vocabulary.splitlines() if line.strip())
         self.rank = {base64.b64decode(token).decode("latin-1"): int(rank) for token, rank in lines}
         self.text = {rank: token for token, rank in self.rank.items()}
         self.automaton = ahocorasick.Automaton()
@@ -150,12 +150,12 @@ class Words(dict):
 _loaded: dict[str, tuple] = {}
 
 
-def encoder(vocabulary: str):
-    """text -> array of ids; the tables are built once in each Python worker."""
+def encoder(vocabulary: str, content: bytes | None = None):
+    """text -> array of ids; the tables are built once in each Python worker, of the file or of its ``content``."""
     if vocabulary not in _loaded:
         import regex
 
-        words = Words(BytePairs(vocabulary))
+        words = Words(BytePairs(Path(vocabulary).read_bytes() if content is None else content))
         _loaded[vocabulary] = (words.__getitem__, re.compile(ASCII_PATTERN, re.ASCII).findall, regex.compile(PATTERN).findall)
     lookup, ascii_words, all_words = _loaded[vocabulary]
 
@@ -176,9 +176,10 @@ def encoded(rows: DataFrame, key_col: str, text_col: str, vocabulary: str | None
     """(key, ids) of every row, or (key, n_tokens): a map over Arrow batches, without a shuffle."""
     vocabulary = vocabulary or default_vocabulary()
     kind = rows.schema[key_col].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # the vocabulary file, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, shared.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             if sizes_only:

@@ -100,9 +100,9 @@ def _unanswered(positions: DataFrame) -> DataFrame:
     return inner.withColumn("bad", F.coalesce(F.col("bad"), F.lit(False)) | open_end).groupBy("session_id").agg(F.max("bad").alias("unanswered"))
 
 
-def session_faults(entries: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per session the faults found: broken order, no text, broken links, no reply."""
-    positions = _positions(messages(entries, segments))
+def session_faults(msgs: DataFrame) -> DataFrame:
+    """Per session of ``messages`` the faults found: broken order, no text, broken links, no reply."""
+    positions = _positions(msgs)
     own = positions.filter("n > 0 or is_target or bad")
     faults = own.groupBy("session_id").agg(
         F.sum("n").alias("n"), F.min(F.when(F.col("n") > 0, F.col("ordinal"))).alias("low"), F.max(F.when(F.col("n") > 0, F.col("ordinal"))).alias("high"),
@@ -115,8 +115,13 @@ def session_faults(entries: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def faulty(msgs: DataFrame) -> DataFrame:
+    """The sessions of ``messages`` with any fault."""
+    return session_faults(msgs).filter("broken_order or no_text or broken_links or no_reply").select("session_id")
+
+
 def left_out(entries: DataFrame, segments: DataFrame) -> DataFrame:
-    return session_faults(entries, segments).filter("broken_order or no_text or broken_links or no_reply").select("session_id")
+    return faulty(messages(entries, segments))
 
 
 def gap_limits(msgs: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def conversations(entries: DataFrame, segments: DataFrame) -> DataFrame:
     deleted ones are left out here.
     """
     msgs = messages(entries, segments)
-    kept = cut(msgs.join(left_out(entries, segments), "session_id", "left_anti"))  # without texts; read several times
+    kept = cut(msgs.join(faulty(msgs), "session_id", "left_anti"))  # without texts; read several times
     paused = _pauses(kept).join(gap_limits(kept), "source_kind", "left")
     chunk = chunk_of(F.col("ordinal"))
     new = F.coalesce((F.col("pause_s") > F.col("limit_s")).cast("long"), F.lit(0))

@@ -9,8 +9,8 @@ histogram of sizes (at most ``capacity`` counts, whatever the number of texts):
 containers with the same content so far are one group, and a size class is dealt to
 whole groups at a time.  The plan is a list of runs "texts of rank a..b of size s go
 to containers c..": each text finds its run by its rank in its size class.  Ranks come
-from counts per (size, hash bucket), so a size that a third of all texts have is
-ranked in many tasks.
+from counts per (size, hash bucket), with as many buckets as the size's count asks for,
+so a size that a third of all texts have is ranked in many tasks.
 
 Defined results: a text larger than the capacity is cut into full containers and a
 rest, and only such a text is cut; null and empty texts (no tokens) go to container 0
@@ -33,7 +33,8 @@ from ..session import cut
 from .bpe import encoded
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-BUCKETS = 64
+#: Texts of one size that are ranked in one task, on average.
+BUCKET_TEXTS = 100_000
 
 
 def cost(size: int) -> float:
@@ -104,41 +105,47 @@ def sized_pieces(sizes: DataFrame, key_col: str, capacity: int) -> DataFrame:
 
 
 def packed(sizes: DataFrame, key_col: str, capacity: int) -> DataFrame:
-    """(key, piece, first_token, n_tokens, container) for every text.  ``sizes`` is (key, n_tokens), read twice."""
+    """(key, piece, first_token, n_tokens, container) for every text.  ``sizes`` is (key, n_tokens), read three times."""
+    spark = sizes.sparkSession
     pieces = sized_pieces(sizes, key_col, capacity)
-    bucket = F.pmod(F.xxhash64(f"`{key_col}`", "piece"), F.lit(BUCKETS))
-    placed = pieces.withColumn("bucket", bucket)
-    held = placed.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("c")).toPandas()  # at most capacity x BUCKETS rows
-    held = held.sort_values(["n_tokens", "bucket"])
-    held["offset"] = held.groupby("n_tokens")["c"].cumsum() - held["c"]
-    counts = held.groupby("n_tokens")["c"].sum()
-    runs, _ = plan_runs({int(s): int(c) for s, c in counts.items()}, capacity)
-    offsets = {(int(s), int(b)): int(o) for s, b, o in zip(held["n_tokens"], held["bucket"], held["offset"])}
-    by_size: dict[int, np.ndarray] = {}
+    counts = {r[0]: r[1] for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1))).collect()}  # at most capacity + 1 rows
+    runs, _ = plan_runs(counts, capacity)
+    by_size: dict[int, list] = {}
     for size, rank, _, first, each in runs:
         by_size.setdefault(size, []).append((rank, first, each))
-    by_size = {s: np.array(v, dtype=np.int64) for s, v in by_size.items()}
-    shared = sizes.sparkSession.sparkContext.broadcast((offsets, by_size))
-    order = W.partitionBy("n_tokens", "bucket").orderBy(F.col(f"`{key_col}`"), "piece")
-    ranked = placed.withColumn("place", F.row_number().over(order) - 1)
+    shared = spark.sparkContext.broadcast({s: np.array(v, dtype=np.int64) for s, v in by_size.items()})  # grows with the sizes, not with the texts
+    split = spark.createDataFrame([(s, -(-c // BUCKET_TEXTS)) for s, c in counts.items()], "n_tokens long, __buckets long")
+    key = F.col(f"`{key_col}`")
+    placed = pieces.join(F.broadcast(split), "n_tokens").withColumn("bucket", F.pmod(F.xxhash64(key, "piece"), "__buckets")).drop("__buckets")
+    held = placed.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(W.partitionBy("n_tokens").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    offsets = held.select("n_tokens", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
+    place = F.row_number().over(W.partitionBy("n_tokens", "bucket").orderBy(key, "piece")) - 1
+    ranked = placed.withColumn("place", place).join(offsets, ["n_tokens", "bucket"])
+    ranked = ranked.select(key, "piece", "first_token", "n_tokens", (F.col("place") + F.col("offset")).alias("rank"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        offsets_, runs_ = shared.value
+        runs_ = shared.value
         for pdf in batches:
             container = np.zeros(len(pdf), dtype=np.int64)
-            for (size, where), rows in pdf.groupby(["n_tokens", "bucket"]).indices.items():
-                if size <= 0:
-                    continue
-                rank = pdf["place"].to_numpy()[rows] + offsets_[(size, where)]
-                table = runs_[size]
-                at = np.searchsorted(table[:, 0], rank, side="right") - 1
-                container[rows] = table[at, 1] + (rank - table[at, 0]) // table[at, 2]
+            for size, rows in pdf.groupby("n_tokens").indices.items():
+                if size > 0:
+                    rank, table = pdf["rank"].to_numpy()[rows], runs_[size]
+                    at = np.searchsorted(table[:, 0], rank, side="right") - 1
+                    container[rows] = table[at, 1] + (rank - table[at, 0]) // table[at, 2]
             yield pdf[[key_col, "piece", "first_token", "n_tokens"]].assign(container=container)
 
     kind = sizes.schema[key_col].dataType.simpleString()
     return ranked.mapInPandas(run, f"`{key_col}` {kind}, piece long, first_token long, n_tokens long, container long")
 
 
+def fill(placed: DataFrame, capacity: int) -> DataFrame:
+    """One row: texts' pieces, tokens, containers used, the least number any packing needs, and the share left unused."""
+    each = placed.groupBy("container").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    held = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_tokens"), F.count(F.when(F.col("t") > 0, 1)).alias("containers"), F.coalesce(F.max("t"), F.lit(0)).alias("fullest"))
+    return held.select("*", F.ceil(F.col("n_tokens") / capacity).alias("least_containers"), F.when(F.col("containers") > 0, 1 - F.col("n_tokens") / (F.col("containers") * capacity)).alias("unused_share"))
+
+
 def pack_texts(texts: DataFrame, key_col: str, text_col: str, capacity: int, vocabulary: str | None = None) -> DataFrame:
     """Tokenise once (the sizes are checkpointed in the shared folder), then pack."""
     return packed(cut(encoded(texts, key_col, text_col, vocabulary, sizes_only=True)), key_col, capacity)

@@ -68,6 +68,11 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text", limits(spark, d)["container_tokens"])
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of p8_packed are, against the least number any packing needs."""
+    return packing.fill(p8_packed(spark, d), limits(spark, d)["container_tokens"])
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     words: dict[str, list[str]] = {}
     for r in table(spark, d, "common_words").collect():  # a fixed table of 210 rows
@@ -123,4 +128,4 @@ ORACLE = {
       having count(distinct ordinal) > (select limit_value from size_limits where limit_name = 'session_entries')""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_messages, p2_found, p2_redacted, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_messages, p2_found, p2_redacted, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed, p8_fill, p9_found, p9_statistics)}

@@ -13,7 +13,8 @@ added beforehand.
 
 Defined results: null, empty and blank texts are one piece, as are items at the limit;
 a cut never falls inside a code point and, where the text allows it, not before a
-combining mark or joiner; an overlap that would begin inside a code point begins up to
+combining mark or joiner; where balanced targets leave no room between code points, the
+pieces are cut in turn; an overlap that would begin inside a code point begins up to
 three bytes earlier; a session's length is its number of distinct ordinals, rows with
 null ordinals or sessions are left aside; an overlap not below the limit is an error.
 """
@@ -72,18 +73,35 @@ def _snap(data: bytes, target: int, radius: int, low: int) -> int:
         offset += len(before.encode("utf-8"))
         if offset > low and not _joins(before, after) and (best is None or abs(offset - target) < abs(best - target)):
             best = offset
-    return best if best is not None else max(low + 1, _char_start(data, target))
+    if best is not None:
+        return best
+    at = _char_start(data, target)
+    if at <= low:  # the character that holds the target begins before: cut after it
+        at = low + 1
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at += 1
+    return at
+
+
+def _in_turn(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Pieces cut one after the other, each as long as whole characters allow: where balanced targets leave no room."""
+    spans, start = [], 0
+    while len(data) - start > limit:
+        end = _char_start(data, start + limit)
+        spans.append((start, end))
+        start = _char_start(data, end - overlap)
+    return [*spans, (start, len(data))]
 
 
 def cut_points(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of each piece in bytes."""
-    if not 0 <= overlap < limit - 4:
+    if overlap < 0 or limit < (overlap + 7 if overlap else 4):  # a code point and an overlap moved to a code point's start must fit
         raise ValueError("the overlap must be below the limit")
     n = len(data)
     if n <= limit:
         return [(0, n)]
-    pieces = max(2, -(-(n - overlap) // (limit - overlap)))
-    while True:
+    least = pieces = max(2, -(-(n - overlap) // (limit - overlap)))
+    while pieces <= 2 * least + 16:
         radius = min(n // pieces // 4, max(1, (limit - overlap - n // pieces) // 2 + 64))
         cuts, low = [], 0
         for i in range(1, pieces):
@@ -94,6 +112,7 @@ def cut_points(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
         if all(0 < e - s <= limit for s, e in spans) and all(a < b for a, b in zip([0, *cuts], [*cuts, n])):
             return spans
         pieces += 1
+    return _in_turn(data, limit, overlap)
 
 
 def text_pieces(texts: DataFrame, id_col: str, text_col: str, limit: int, overlap: int) -> DataFrame:
@@ -105,7 +124,7 @@ def text_pieces(texts: DataFrame, id_col: str, text_col: str, limit: int, overla
             out = []
             for key, text in zip(pdf["text_id"], pdf["text"]):
                 data = text.encode("utf-8")
-                out += [(key, i, s, e, data[s:e].decode("utf-8", "replace")) for i, (s, e) in enumerate(cut_points(data, limit, overlap))]
+                out += [(key, i, s, e, data[s:e].decode("utf-8")) for i, (s, e) in enumerate(cut_points(data, limit, overlap))]
             yield pd.DataFrame(out, columns=["text_id", "piece", "start_byte", "end_byte", "text"])
 
     small = rows.filter(F.coalesce("n", F.lit(0)) <= limit)

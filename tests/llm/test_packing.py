@@ -56,3 +56,15 @@ def test_packed_cuts_only_oversized(spark):
     assert (got[got.n_tokens == 0].container == 0).all()
     empty = packing.packed(spark.createDataFrame([], "id long, n_tokens long"), "id", 16)
     assert empty.count() == 0
+
+
+def test_many_buckets_of_one_size_and_fill(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_TEXTS", 10)
+    rows = [(i % 700, 5 if i % 3 else 7) for i in range(2000)]  # repeated keys
+    got = packing.packed(spark.createDataFrame(rows, "id long, n_tokens long"), "id", 20)
+    filled = got.groupBy("container").sum("n_tokens").toPandas()["sum(n_tokens)"]
+    assert filled.max() <= 20 and filled.sum() == sum(n for _, n in rows) and got.count() == 2000
+    row = packing.fill(got, 20).first()
+    assert (row.n_pieces, row.n_tokens, row.containers, row.fullest) == (2000, filled.sum(), len(filled), filled.max())
+    assert row.least_containers <= row.containers <= 667
+    assert packing.fill(got.filter("false"), 20).first().containers == 0

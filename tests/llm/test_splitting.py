@@ -29,6 +29,18 @@ def test_text_pieces_cover_overlap_and_fit(seed):
         assert len(spans) >= -(-(len(data) - overlap) // (limit - overlap))
 
 
+@pytest.mark.parametrize("limit,overlap", [(4, 0), (8, 0), (8, 1), (12, 5), (16, 9), (40, 33)])
+def test_no_cut_inside_a_code_point_at_small_limits(limit, overlap):
+    rnd = random.Random(limit)
+    for _ in range(200):
+        text = "".join(rnd.choice("a é漢👍🏽.\n") for _ in range(rnd.randint(1, 200)))
+        data, spans = pieces_of(text, limit, overlap)
+        assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(e - s <= limit for s, e in spans)
+        assert [data[s:e].decode() for s, e in spans]
+        assert all(overlap <= e - s <= overlap + 3 for (_, e), (s, _) in zip(spans, spans[1:]))
+        assert all(a < b for (_, a), (_, b) in zip(spans, spans[1:]))
+
+
 def test_cuts_at_paragraphs():
     text = ("word " * 30 + "\n\n") * 6
     data, spans = pieces_of(text, 400, 20)
