@@ -109,7 +109,7 @@ def cut_points(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
             cuts.append(low)
         starts = [0, *(_char_start(data, max(0, c - overlap)) for c in cuts)]
         spans = list(zip(starts, [*cuts, n]))
-        if all(0 < e - s <= limit for s, e in spans) and all(a < b for a, b in zip([0, *cuts], [*cuts, n])):
+        if all(0 < e - s <= limit for s, e in spans) and all(a < b for a, b in zip([0, *cuts], [*cuts, n])) and all(c > overlap for c in cuts):
             return spans
         pieces += 1
     return _in_turn(data, limit, overlap)
