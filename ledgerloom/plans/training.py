@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_clean_id
 from ..operators import dedup, nested, references
-from ..session import table
+from ..session import scratch, table
 
 DELIVERY_ORDER = ("received_at", "delivery_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.children(table(spark, d, "session_exports"), table(spark, d, "semantic_details"))
+    return nested.children(spark, _tables(spark, d))
+
+
+def _tables(spark: SparkSession, d: str) -> str:
+    """The tagged rows written as tables in the shared folder."""
+    path = scratch(spark, "nested")
+    nested.write_tables(nested.emitted(table(spark, d, "session_exports"), table(spark, d, "semantic_details")), path)
+    return path
+
+
+def p3_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Each table read under its schema: rows, rows without a parent's key, and fields filled in all rows together."""
+    path, out = _tables(spark, d), None
+    for tag, schema in nested.SCHEMAS.items():
+        rows = nested.read_table(spark, path, tag, schema)
+        fields = [c for c in rows.columns if c not in ("row_key", "parent_key", "root_key", "pos", "n_fields")]
+        filled = reduce(add, [F.count(f"`{c}`") for c in fields])
+        own = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("parent_key").isNull(), 1)).alias("n_roots"), filled.alias("n_filled")).select(F.lit(tag).alias("tag"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def p3_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -105,4 +127,4 @@ ORACLE = {
     "p5_events": _P5_RANKED + "select delivery_id, event_id, batch_id, event_type, subject_type, subject_id, payload_json from r where id is null or k = 1",
 }
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rows, p3_orphan_rows, p4_found, p4_report, p4_timeline, p5_found, p5_events)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rows, p3_tables, p3_orphan_rows, p4_found, p4_report, p4_timeline, p5_found, p5_events)}

@@ -39,6 +39,17 @@ def test_keep_one_and_later_copies(spark):
     assert rest == {r[0] for r in rows} - {eval(k)[0] for k in kept}
 
 
+def test_both_ways_agree_and_singles_are_not_shuffled(spark, monkeypatch):
+    df = frame(spark, rows_of(5))
+    few = dedup.keep_one(df, "id", ["at", "delivery"])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(dedup, "BROADCAST_IDS", 0)
+    many = dedup.keep_one(df, "id", ["at", "delivery"])
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert dedup.later_copies(df, "id", ["at", "delivery"]).count() == df.count() - few.count()
+
+
 def test_identical_rows_and_empty(spark):
     rows = [(1, "a", 1, "x")] * 5 + [(2, None, 1, "x")] * 2
     assert dedup.keep_one(frame(spark, rows), "id", ["at"]).count() == 3
