@@ -51,23 +51,27 @@ def p3_orphan_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(known, "parent_key", "left").groupBy("tag").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(lost, 1)).alias("n_orphans"))
 
 
-def _probed(spark: SparkSession, d: str) -> DataFrame:
+def _state(spark: SparkSession, d: str) -> references.OrphanState:
+    """The orphan state after the tables came in, in three spans of their time."""
     candidates = table(spark, d, "claim_candidates")
     refs = references.project_refs(candidates, table(spark, d, "domain_events"))
     parents = references.project_parents(table(spark, d, "evidence_segments"), table(spark, d, "facts"), table(spark, d, "semantic_details"), candidates)
-    return references.probe(references.merge_refs(refs), parents)
+    return references.folded(references.OrphanState(spark, scratch(spark, "orphans")), refs, parents)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _probed(spark, d).filter("state is not null").select("ref_table", "row_id", "ref_field", "ref_id", "state")
+    return _state(spark, d).current().filter("state is not null").select("ref_table", "row_id", "ref_field", "ref_id", "state")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return references.report(_probed(spark, d)).withColumn("period", F.date_format("period", "yyyy-MM"))
+    """The last snapshot of the counts."""
+    state = _state(spark, d)
+    last = state.snapshots().filter(F.col("after") == state.version)
+    return last.select("ref_table", "ref_field", F.date_format("period", "yyyy-MM").alias("period"), "state", "n")
 
 
 def p4_timeline(spark: SparkSession, d: str) -> DataFrame:
-    return references.timeline(_probed(spark, d)).withColumn("period", F.date_format("period", "yyyy-MM"))
+    return references.timeline(_state(spark, d).current()).withColumn("period", F.date_format("period", "yyyy-MM"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
