@@ -7,6 +7,8 @@ escaped.  Values are built from columns, so fingerprints stay in whole-stage cod
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -85,15 +87,104 @@ def event_fingerprint(version: Column, kind: Column, subject_type: Column, subje
     return fingerprint(record([("SchemaVersion", number(version)), ("Type", string(kind)), ("SubjectType", string(subject_type)), ("SubjectID", string(subject_id)), ("Payload", payload), ("References", refs)]))
 
 
-def revision(fields: dict[str, Column]) -> Column:
+def digest(scheme: Column, value: Column) -> Column:
+    return record([("scheme", string(scheme)), ("digest", string(value))])
+
+
+#: The kind of source whose documents these are, and the digest schemes of documents and texts.
+SOURCE_KIND, DOCUMENT_SCHEME, TEXT_SCHEME = "sessions", "sha256-sessions-document-jcs-v1", "sha256-utf8-v1"
+
+
+def revision(doc: Column, native_kind: Column, instance: Column, native_id: Column, scheme: Column, document_digest: Column) -> Column:
     """The six-field identity of a document revision, keys in declared order."""
-    return record([(k, v) for k, v in fields.items()])
+    text = lambda c: string(F.coalesce(c, F.lit("")))
+    return record([
+        ("sourceKind", string(F.lit(SOURCE_KIND))), ("canonicalId", text(doc)), ("nativeSourceKind", text(native_kind)), ("sourceInstanceId", text(instance)), ("nativeId", text(native_id)), ("documentDigest", digest(scheme, document_digest)),
+    ])
+
+
+#: The keys of a reference that vanish where they are empty.
+REFERENCE_OPTIONAL = ("documentDigestScheme", "segmentOrdinal", "entryKind", "actor", "origin", "originConfidence", "relatedEntryOrdinal", "toolCallId", "toolName", "toolNamespace", "contentHashScheme")
+
+
+def evidence_ref(reference_id: Column, doc: Column, scheme: Column, document_digest: Column, entry: Column, segment: Column, fields: dict[str, Column], hash_scheme: Column, content_hash: Column) -> Column:
+    """A whole reference; ``fields``: entryKind, actor, origin, originConfidence, relatedEntryOrdinal, toolCallId, toolName, toolNamespace."""
+    text = lambda c: string(F.coalesce(c, F.lit("")))
+    f = fields
+    return record([
+        ("id", string(reference_id)), ("sourceKind", string(F.lit(SOURCE_KIND))), ("sourceIdentity", text(doc)), ("documentDigestScheme", text(scheme)), ("documentDigest", text(document_digest)), ("entryOrdinal", number(entry)),
+        ("segmentOrdinal", number(segment)), ("entryKind", text(f["entryKind"])), ("actor", text(f["actor"])), ("origin", text(f["origin"])), ("originConfidence", text(f["originConfidence"])), ("relatedEntryOrdinal", number(f["relatedEntryOrdinal"])),
+        ("toolCallId", text(f["toolCallId"])), ("toolName", text(f["toolName"])), ("toolNamespace", text(f["toolNamespace"])), ("contentHashScheme", text(hash_scheme)), ("contentHash", text(content_hash)), ("excerpt", string(F.lit(""))),
+    ], optional=REFERENCE_OPTIONAL)
+
+
+def counted(selected: Column, total: Column, truncated: Column) -> Column:
+    return record([("selected", number(selected)), ("total", number(total)), ("truncated", boolean(truncated))])
+
+
+def evidence_selection(mode: Column, relations: Column, entries: tuple[Column, Column, Column, Column, Column], segments: Column, text: tuple[Column, Column, Column], omitted: Column, truncated: Column, coverage: Column) -> Column:
+    """The selection of a run: ``entries`` (selected, total, truncated, first, last), ``text`` (emitted, original, truncated)."""
+    selected, total, cut, first, last = entries
+    emitted, original, text_cut = text
+    return record([
+        ("mode", string(mode)), ("relations", relations),
+        ("entries", record([("selected", number(selected)), ("total", number(total)), ("truncated", boolean(cut)), ("firstOrdinal", number(first)), ("lastOrdinal", number(last))])), ("segments", segments),
+        ("segmentText", record([("emittedUtf8Bytes", number(emitted)), ("originalUtf8Bytes", number(original)), ("truncated", boolean(text_cut))])),
+        ("canonicalOmittedSegments", number(omitted)), ("truncatedTextSegments", number(truncated)), ("coverage", string(coverage)),
+    ])
 
 
 def fact_fingerprint(rev: Column, kind: Column, value: Column, outcome: Column, rule: Column, extractor: Column, version: Column, schema: Column, evidence: Column) -> Column:
-    """The identity of a fact; ``rev`` and ``value`` are canonical JSON, ``evidence`` an array of ids."""
+    """The identity of a fact; ``rev`` and ``value`` are canonical JSON, ``evidence`` an array of whole references as JSON."""
     names = ("Revision", "Kind", "Value", "Outcome", "Rule", "Extractor", "Version", "Schema", "Evidence")
-    return fingerprint(record(list(zip(names, (rev, string(kind), value, string(outcome), string(rule), string(extractor), string(version), number(schema), strings(evidence))))))
+    return fingerprint(record(list(zip(names, (rev, string(kind), value, string(outcome), string(rule), string(extractor), string(version), number(schema), array(evidence))))))
+
+
+def fact_key(rev: Column, selection: Column, extractor: Column, version: Column, schema: Column) -> Column:
+    """The processing key of a fact run."""
+    return fingerprint(record([("Revision", rev), ("Selection", selection), ("Extractor", string(extractor)), ("Version", string(version)), ("Schema", number(schema))]))
+
+
+def schema_identity(name: Column, version: Column, mark: Column) -> Column:
+    return record([("name", string(name)), ("version", number(version)), ("disposition", string(F.lit("strict"))), ("digest", string(mark))])
+
+
+#: The fields of a requested route.
+ROUTE_FIELDS = ("alias", "gateway", "model", "provider", "routeVersion", "privacyPolicyVersion")
+
+
+def route(fields: Column) -> Column:
+    """A requested route (a struct of ROUTE_FIELDS)."""
+    return record([(f, string(F.coalesce(fields[f], F.lit("")))) for f in ROUTE_FIELDS])
+
+
+#: The components of a claim run's processing key, in order.
+KEY_PARTS = ("Revision", "Selection", "InputFactIDs", "InputDigest", "Extractor", "ExtractorVersion", "Schema", "PromptVersion", "Route", "RouteConfig", "PrivacyVersion")
+
+
+def claim_key(parts: dict[str, Column]) -> Column:
+    """The processing key of a claim run from the canonical JSON of its components."""
+    if tuple(parts) != KEY_PARTS:
+        raise ValueError("a processing key needs exactly its components, in order")
+    return fingerprint(record(list(parts.items())))
+
+
+def compact_json(text: str) -> str:
+    """A JSON document in the canonical form, its keys in the order given."""
+    out = json.dumps(json.loads(text), separators=(",", ":"), ensure_ascii=False)
+    for ch, escape in _ESCAPES.items():
+        out = out.replace(ch, escape)
+    return out
+
+
+def document_fingerprint(text: str) -> str:
+    """The digest of a JSON document, such as an output schema or a route's configuration."""
+    return hashlib.sha256(compact_json(text).encode()).hexdigest()
+
+
+def same(left: Column, right: Column) -> Column:
+    """Whether two canonical values are one: their fingerprints are equal and both are given."""
+    return F.coalesce(fingerprint(left) == fingerprint(right), F.lit(False))
 
 
 #: The components of a claim's identity, in order.

@@ -171,6 +171,32 @@ def preflight(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "redactions", "blocked"])
 
 
+MANY = T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), *REPORT.fields[1:]])
+
+
+@F.pandas_udf(MANY)
+def preflight_all(lists: pd.Series) -> pd.DataFrame:
+    """All fields of a record at once: the clean texts in place, and one report; nulls stay."""
+    memo: dict[str, tuple] = {}  # within a batch short fields (kinds, actors, tools) repeat
+    out = []
+    for fields in lists:
+        clean, counts, blocked = [], Counter(), set()
+        for t in fields if fields is not None else ():
+            if t is None:
+                clean.append(None)
+                continue
+            found = memo.get(t)
+            if found is None:
+                found = check(t)
+                if len(t) <= 64:
+                    memo[t] = found
+            clean.append(found[0])
+            counts.update(found[1])
+            blocked |= found[2]
+        out.append((clean, [{"category": c, "count": n} for c, n in sorted(counts.items())], sorted(blocked)))
+    return pd.DataFrame(out, columns=["texts", "redactions", "blocked"])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def postflight(texts: pd.Series) -> pd.Series:
     """Categories for which generated text is rejected: anything that would be blocked or redacted."""

@@ -6,6 +6,8 @@ _LEFT, _RIGHT = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
 #: Result lines.
 EXIT_CODE = r"(?md)^Process exited with code ([0-9]+)[\t\n\f\r ]*$"
+#: The same, or the form "exit code: N" in which this project's tables write it.
+TABLE_EXIT_CODE = r"(?md)^(?:Process exited with code |exit code: )([0-9]+)[\t\n\f\r ]*$"
 PASSED, FAILED, SKIPPED = (rf"(?iu){_LEFT}([0-9]+) {word}{_RIGHT}" for word in ("passed", "failed", "skipped"))
 
 #: Words for actors that free text of a claim may not hold.

@@ -96,8 +96,12 @@ def _source_check(claimed: Column, seen: Column, allowed: tuple[str, ...]) -> Co
     return F.max(claims & (~claimed.isin(*allowed) | F.coalesce(known & (seen != claimed), F.lit(False)))) | (F.max(claims) & ~F.max(F.coalesce(known & (seen == claimed), F.lit(False))))
 
 
+_EVIDENCE = ("evidence_id", "doc", "ordinal", "related", "call_id", "actor", "origin")
+
+
 def judge(candidates: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataFrame:
     """Each candidate with the category of its first failing check, or null."""
+    evidence = evidence.select(*_EVIDENCE)
     base = candidates.withColumn("scalar", scalar_failure(candidates))
     support = cited(candidates, evidence, "supporting")
     s = support.groupBy("candidate_id").agg(
@@ -137,6 +141,7 @@ def judge(candidates: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataF
 
 def linked_outcomes(candidates: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataFrame:
     """Per candidate with an outcome: does a linked result fact conflict, and does one that is not cited as contradicting."""
+    evidence = evidence.select(*_EVIDENCE)
     keys = link_keys(F.col("ordinal"), F.col("related"), F.col("call_id"))
     place = evidence.select("evidence_id", "doc", F.explode(keys).alias("key"))
     judged = candidates.filter(F.col("claim_type").isin("failed-attempt", "verification") & F.col("outcome").isNotNull()).select("candidate_id", "doc", F.col("outcome").alias("claimed"), "supporting", "contradicting", "fact_ids")

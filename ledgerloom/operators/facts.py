@@ -31,13 +31,18 @@ TEST_PREFIXES = (
     ("go test", "go-test"), ("pytest", "pytest"), ("python -m pytest", "pytest"), ("npm test", "npm-test"), ("npm run test", "npm-test"),
     ("pnpm test", "pnpm-test"), ("yarn test", "yarn-test"), ("cargo test", "cargo-test"), ("make test", "make-test"),
 )
+_PLAIN = json.JSONDecoder(parse_constant=lambda name: _refuse(name))
 _SPACE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
 def _command_of(text: str | None) -> str | None:
     """The command of a JSON object with exactly one of the two keys, a non-empty string."""
     try:
-        value = json.loads(text, strict=True) if text else None
+        value = _PLAIN.decode(text) if text else None
     except (ValueError, RecursionError):
         return None
     if not isinstance(value, dict) or ("cmd" in value) == ("command" in value):
@@ -59,9 +64,10 @@ def compound(command: Column) -> Column:
     """Whether a command has an operator outside quotes, or ends inside a quote or after a backslash.
 
     What is quoted or escaped is taken out first, from left to right in one alternation; a
-    quote or backslash that remains was never closed.
+    quote or backslash that remains was never closed.  The repetitions are possessive, which
+    the pattern engine runs as loops: the length of a quoted part costs no stack.
     """
-    bare = F.regexp_replace(command, r"""(?s)\\.|'[^']*'|"(?:[^"\\]|\\.)*\"""", "")
+    bare = F.regexp_replace(command, r"""(?s)\\.|'[^']*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\"""", "")
     return bare.rlike(r"""[;|&\n`'"\\]""")
 
 
@@ -74,8 +80,8 @@ def framework(command: Column) -> Column:
     return F.when(~compound(text), out)
 
 
-def exit_code(text: Column) -> Column:
-    return F.regexp_extract(text, regexes.EXIT_CODE, 1).try_cast("bigint")
+def exit_code(text: Column, pattern: str = regexes.EXIT_CODE) -> Column:
+    return F.regexp_extract(text, pattern, 1).try_cast("bigint")
 
 
 def error_line(text: Column) -> Column:
@@ -111,8 +117,8 @@ def commands(entries: DataFrame, segments: DataFrame) -> DataFrame:
     return first.select("doc", "ordinal", "c.segment", "c.command", framework(F.col("c.command")).alias("framework"), ref.alias("ref"))
 
 
-def extract(entries: DataFrame, segments: DataFrame) -> DataFrame:
-    """All facts before the text budget: one row each, ``value`` whole."""
+def extract(entries: DataFrame, segments: DataFrame, exit_pattern: str = regexes.EXIT_CODE) -> DataFrame:
+    """All facts before the text budget: one row each, ``value`` whole.  ``exit_pattern``: how a result states its exit code."""
     tool = entries.filter(F.col("kind").isin("tool-call", "tool-result"))
     own = evidence_id(F.col("doc"), F.col("digest"), F.col("ordinal"), F.lit(None), F.lit(""))
     tools = _facts(tool, step=F.lit(0), kind=F.col("kind"), outcome=F.lit("not-applicable"), parse_rule=F.concat(F.lit("sessions-entry-"), "kind", F.lit("-v1")), evidence=F.array(own))
@@ -124,7 +130,7 @@ def extract(entries: DataFrame, segments: DataFrame) -> DataFrame:
     )
     results = entries.filter("kind = 'tool-result'").select("doc", "digest", "ordinal", "related").join(segments, ["doc", "ordinal"])
     text = F.col("text")
-    read = results.withColumns({"exit_code": exit_code(text), "error": error_line(text)}).filter("exit_code is not null or error is not null")
+    read = results.withColumns({"exit_code": exit_code(text, exit_pattern), "error": error_line(text)}).filter("exit_code is not null or error is not null")
     read = read.withColumn("ref", evidence_id(F.col("doc"), F.col("digest"), F.col("ordinal"), F.col("segment"), F.sha2("text", 256)))
     coded = read.filter("exit_code is not null")
     codes = _facts(coded, segment=F.col("segment"), step=F.lit(1), kind=F.lit("exit-code"), exit_code=F.col("exit_code"), outcome=F.when(F.col("exit_code") == 0, "success").otherwise("failure"), parse_rule=F.lit("process-exit-code-v1"), evidence=F.array("ref"))
@@ -142,24 +148,24 @@ def extract(entries: DataFrame, segments: DataFrame) -> DataFrame:
     return out
 
 
-def _fold(texts: Column) -> Column:
+def _fold(texts: Column, value_bytes: int, document_bytes: int) -> Column:
     """The budget fold over a document's first texts in order: struct(key, text) -> struct(key, emitted)."""
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<key:struct<ordinal:bigint,segment:bigint,step:int>,emitted:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        left = F.lit(MAX_DOCUMENT_BYTES) - acc["used"]
-        emitted = F.when(left <= 0, F.lit(None)).otherwise(utf8.cut(x["text"], F.least(F.lit(MAX_VALUE_BYTES), left)))
+        left = F.lit(document_bytes) - acc["used"]
+        emitted = F.when(left <= 0, F.lit(None)).otherwise(utf8.cut(x["text"], F.least(F.lit(value_bytes), left)))
         return F.struct((acc["used"] + F.coalesce(F.octet_length(emitted), F.lit(0))).alias("used"), F.concat(acc["out"], F.array(F.struct(x["key"].alias("key"), emitted.alias("emitted")))).alias("out"))
 
     return F.aggregate(texts, start, step, lambda acc: acc["out"])
 
 
-def budgeted(facts: DataFrame) -> DataFrame:
+def budgeted(facts: DataFrame, value_bytes: int = MAX_VALUE_BYTES, values: int = MAX_VALUES, document_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
     """Adds to each fact with a text what of it is emitted, whether it is cut, and whether it is an omission."""
     key = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.coalesce(F.col("segment"), F.lit(-1)).cast("long").alias("segment"), F.col("step").cast("int").alias("step"))
-    texts = facts.filter("value is not null").select("doc", key.alias("key"), utf8.cut(F.col("value"), MAX_VALUE_BYTES).alias("text"))
-    first = texts.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy("key"))).filter(F.col("k") <= MAX_VALUES)
-    kept = first.groupBy("doc").agg(_fold(F.array_sort(F.collect_list(F.struct("key", "text")))).alias("out")).select("doc", F.explode("out").alias("o")).select("doc", "o.key", "o.emitted")
+    texts = facts.filter("value is not null").select("doc", key.alias("key"), utf8.cut(F.col("value"), value_bytes).alias("text"))
+    first = texts.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy("key"))).filter(F.col("k") <= values)
+    kept = first.groupBy("doc").agg(_fold(F.array_sort(F.collect_list(F.struct("key", "text"))), value_bytes, document_bytes).alias("out")).select("doc", F.explode("out").alias("o")).select("doc", "o.key", "o.emitted")
     joined = facts.withColumn("key", key).join(kept, ["doc", "key"], "left").drop("key")
     size = F.octet_length("value")
     has = F.col("value").isNotNull()
@@ -167,17 +173,32 @@ def budgeted(facts: DataFrame) -> DataFrame:
     return joined.withColumns({"emitted": F.when(has, F.coalesce("emitted", F.lit(""))), "original_bytes": size, "truncated": F.when(has, F.octet_length(F.coalesce("emitted", F.lit(""))) < size), "omitted": omitted})
 
 
-def omissions(facts: DataFrame) -> DataFrame:
-    """Per document its omitted text values and their bytes."""
-    return facts.groupBy("doc").agg(F.count(F.when(F.col("omitted"), 1)).alias("omitted_values"), F.coalesce(F.sum(F.when(F.col("omitted"), F.col("original_bytes"))), F.lit(0)).alias("omitted_bytes"))
+def omissions(facts: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per document its omitted text values, their bytes, and the segments whose text was left out at the source."""
+    held = facts.groupBy("doc").agg(F.count(F.when(F.col("omitted"), 1)).alias("omitted_values"), F.coalesce(F.sum(F.when(F.col("omitted"), F.col("original_bytes"))), F.lit(0)).alias("omitted_bytes"))
+    source = segments.filter("segment_kind = 'omitted'").groupBy("doc").agg(F.count(F.lit(1)).alias("canonical_segments"))
+    return held.join(source, "doc", "full").fillna(0)
+
 
+#: Where a fact's value holds a text.
+_VALUE = "command struct<text:string>, error struct<text:string>, test struct<command:struct<text:string>>"
 
-def violations(facts: DataFrame, entries: DataFrame) -> DataFrame:
-    """Facts that break their contract: unknown entry, text over its limits, no evidence."""
-    known = entries.select("doc", F.col("ordinal").cast("long").alias("ordinal"), F.lit(True).alias("there")).distinct()
-    checked = facts.withColumn("ordinal", F.col("ordinal").cast("long")).join(known, ["doc", "ordinal"], "left")
+
+def stored_violations(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(fact_id, violation): stored facts by the first rule they break, against the evidence they name.
+
+    The rules in order: kind and rule given; a known outcome; a value that is a JSON object
+    with at most one text, within its limit; evidence given, each id once, all of it known
+    and of one document.
+    """
+    ids = F.coalesce("evidence_ids", F.array().cast("array<string>"))
+    cites = facts.select("fact_id", F.explode(ids).alias("evidence_id")).join(evidence.select("evidence_id", "doc"), "evidence_id", "left")
+    known = cites.groupBy("fact_id").agg(F.max(F.col("doc").isNull()).alias("unknown"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    value = F.from_json("value_json", _VALUE)
+    texts = F.array_compact(F.array(value["command"]["text"], value["error"]["text"], value["test"]["command"]["text"]))
     code = (
-        F.when(F.col("there").isNull(), "unknown entry").when(F.octet_length("emitted") > MAX_VALUE_BYTES, "value too long")
-        .when(F.size("evidence") == 0, "no evidence").when(~F.col("outcome").isin("success", "failure", "unknown", "not-applicable"), "outcome")
+        F.when((F.coalesce("kind", F.lit("")) == "") | (F.coalesce("parse_rule", F.lit("")) == ""), "fields").when(~F.coalesce(F.col("outcome").isin("success", "failure", "unknown", "not-applicable"), F.lit(False)), "outcome")
+        .when(F.json_object_keys("value_json").isNull(), "value").when(F.size(texts) > 1, "texts").when(F.exists(texts, lambda t: F.octet_length(t) > MAX_VALUE_BYTES), "text-size").when(F.size(ids) == 0, "no-evidence")
+        .when(F.size(F.array_distinct(ids)) != F.size(ids), "repeated-evidence").when(F.col("unknown"), "unknown-evidence").when(F.col("low") != F.col("high"), "several-documents")
     )
-    return checked.withColumn("violation", code).filter("violation is not null").select("doc", "ordinal", "kind", "violation")
+    return facts.join(known, "fact_id", "left").select("fact_id", code.alias("violation")).filter("violation is not null")

@@ -6,38 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy
-from ..operators import admission, resolve, selection
+from ..functions import identity
+from ..operators import admission, resolve, workflow
+from ..session import table
 from . import adapters
 
-EVIDENCE = f"""
-select s.evidence_id, s.doc, s.ordinal, s.segment, e.related, e.call_id, e.actor, s.origin, s.text
-from (select evidence_id, session_id as doc, entry_ordinal as ordinal, segment_ordinal as segment, origin, text,
-        row_number() over (partition by evidence_id order by recorded_at, entry_ordinal) as rk from evidence_segments) s
-left join ({adapters.ENTRIES}) e on s.doc = e.doc and s.ordinal = e.ordinal
-where rk = 1
-"""
-FACTS = """
-select fact_id, fact_kind as kind, outcome, evidence_ids, analysis_run_id, ordinal
-from (select *, row_number() over (partition by fact_id order by recorded_at, ordinal) as rk from facts) t where rk = 1
-"""
-CANDIDATES = """
-select c.candidate_id, c.analysis_id as batch, d.session_id as doc, c.ordinal, claim_type, c.status, statement, subject, scope, confidence, attribution, actor, origin, outcome,
-  supporting_evidence_ids as supporting, contradicting_evidence_ids as contradicting, supporting_fact_ids as fact_ids, claim_id
-from (select *, row_number() over (partition by candidate_id order by recorded_at, ordinal) as rk from claim_candidates) c
-join semantic_details d on c.analysis_id = d.analysis_id where rk = 1
-"""
-
-
-def evidence(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.run(spark, d, EVIDENCE, "evidence_segments", "evidence_entries")
-
-
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.run(spark, d, FACTS, "facts")
-
-
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.run(spark, d, CANDIDATES, "claim_candidates", "semantic_details")
+EVIDENCE, FACTS, CANDIDATES = adapters.EVIDENCE, adapters.FACTS, adapters.CANDIDATES
+evidence, facts, candidates = adapters.evidence, adapters.facts, adapters.candidates
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -65,39 +40,66 @@ def adm_privacy(spark: SparkSession, d: str) -> DataFrame:
     return fields.select("field_path", F.explode(privacy.postflight("value")).alias("category")).groupBy("field_path", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-RANGES = """
-select analysis_id as analysis, session_id as doc, {first} as first, {last} as last from semantic_details where {sound}
-"""
-
-
 def ranges(spark: SparkSession, d: str) -> DataFrame:
-    from ..session import table
-
+    """What each analysis asks for: its range, route, schema and prompt, from its stored details."""
     chosen = F.from_json("semantic_selection_json", "mode string, firstOrdinal bigint, lastOrdinal bigint")
-    rows = table(spark, d, "semantic_details").select(F.col("analysis_id").alias("analysis"), F.col("session_id").alias("doc"), chosen.alias("s"))
+    model = F.from_json("model_json", "requestedRoute struct<" + ",".join(f"{f}:string" for f in identity.ROUTE_FIELDS) + ">, promptVersion string")
+    rows = table(spark, d, "semantic_details").withColumns({"s": chosen, "m": model}).filter("s.mode is not null")
     ranged = F.col("s.mode") == "range"
-    return rows.filter("s.mode is not null").select("analysis", "doc", F.when(ranged, F.col("s.firstOrdinal")).alias("first"), F.when(ranged, F.col("s.lastOrdinal")).alias("last"))
+    schema = identity.schema_identity(F.col("schema_name"), F.col("schema_version"), F.col("schema_digest"))
+    return rows.select(
+        F.col("analysis_id").alias("analysis"), F.col("session_id").alias("doc"), F.when(ranged, F.col("s.firstOrdinal")).alias("first"), F.when(ranged, F.col("s.lastOrdinal")).alias("last"),
+        F.col("m.requestedRoute").alias("route"), F.coalesce("m.promptVersion", F.lit("")).alias("prompt"), schema.alias("schema"),
+    )
+
+
+def _selected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resolved ranges, and the encoded input of those within the limit of entries, before the policy."""
+    entries, segments, evidence_ = adapters.entries(spark, d), adapters.segments(spark, d), evidence(spark, d)
+    r = workflow.resolved(ranges(spark, d), workflow.documents(entries, segments))
+    sound = r.filter("problem is null")
+    e, s = workflow.chosen_content(sound, entries, segments)
+    f = workflow.chosen_facts(sound, e, facts(spark, d), workflow.fact_homes(facts(spark, d), evidence_))
+    per_doc = facts(spark, d).select("fact_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence_.select("evidence_id", "doc"), "evidence_id").groupBy("doc").agg(F.count_distinct("fact_id").alias("doc_facts"))
+    return r, e, workflow.encoded(sound, e, s, f, per_doc)
 
 
-def sel_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """SEL-1, 3, 7 to 10: each analysis' selection, its sizes, coverage and first broken limit."""
-    return selection.statistics(ranges(spark, d), adapters.entries(spark, d), adapters.segments(spark, d))
+def sel_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """SEL-1, 2, 10: each analysis' range against its document, with the first problem that counts alone show."""
+    r = workflow.resolved(ranges(spark, d), workflow.documents(adapters.entries(spark, d), adapters.segments(spark, d)))
+    return r.select("analysis", "explicit", "low", "high", "n_entries", "total", "problem")
+
+
+def sel_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """SEL-3, 5 to 10: the canonical input of each range within the limit of entries: counts, sizes, coverage and digests of its sections."""
+    rows = _selected(spark, d)[2]
+    marks = [F.sha2(c, 256).alias(c.replace("json", "digest")) for c in ("entries_json", "facts_json", "selection_json")]
+    return rows.select("analysis", "n_entries", "n_segments", "n_facts", "excluded", "original", "emitted", "cut", "omitted", "coverage", "entries_bytes", "facts_bytes", "input_bytes", workflow.over_limits().alias("over"), *marks)
 
 
 def sel_references(spark: SparkSession, d: str) -> DataFrame:
-    """SEL-4: distinct references of each selection."""
-    refs = selection.references(ranges(spark, d), adapters.entries(spark, d), adapters.segments(spark, d))
-    return refs.groupBy("analysis").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("contents") > 1, 1)).alias("collisions"))
+    """SEL-4: distinct references of each selection, and ids with more than one content."""
+    _, e, _ = _selected(spark, d)
+    refs = e.select("analysis", "doc", "ordinal").join(adapters.segments(spark, d).select("doc", "ordinal", "segment", "evidence_id"), ["doc", "ordinal"])
+    each = refs.groupBy("analysis", "evidence_id").agg(F.count(F.lit(1)).alias("contents"))
+    return each.groupBy("analysis").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("contents") > 1, 1)).alias("collisions"))
+
+
+def prepared(spark: SparkSession, d: str) -> DataFrame:
+    return workflow.prepare(ranges(spark, d), adapters.entries(spark, d), adapters.segments(spark, d), facts(spark, d), evidence(spark, d))
 
 
-def sel_facts(spark: SparkSession, d: str) -> DataFrame:
-    """SEL-5: facts kept or left out by each selection."""
-    return selection.facts_within(ranges(spark, d), adapters.entries(spark, d), adapters.segments(spark, d), facts(spark, d))
+def run_claims(spark: SparkSession, d: str) -> DataFrame:
+    """SEL-11, 12, 14, 15, PRV-17, 19, IDN-8, RUN-2, 3, ADM-17: every analysis prepared or failed, with the lineage it reached."""
+    columns = ("analysis", "problem", "n_entries", "n_segments", "n_facts", "coverage", "request_bytes", "input_digest", "processing_key")
+    return prepared(spark, d).select(*columns, F.size("fact_ids").alias("input_facts"), F.sha2("run_selection_json", 256).alias("run_selection"), F.array_join("blocked", ",").alias("blocked"), F.to_json("redactions").alias("redactions"))
 
 
-def sel_digests(spark: SparkSession, d: str) -> DataFrame:
-    """SEL-9, 15: the canonical input of each sound selection, as digest and size."""
-    return selection.encoded(ranges(spark, d), adapters.entries(spark, d), adapters.segments(spark, d))
+def run_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """SEL-13, 16, RUN-4, STO-19: prepared rows by what does not follow from the rest of them, and a third of them after one field was changed."""
+    rows = prepared(spark, d).withColumn("changed", F.conv(F.substring("analysis", -1, 1), 16, 10).cast("int") % 3)
+    bent = rows.withColumns({"input_digest": F.when(F.col("changed") == 1, F.sha2("input_digest", 256)).otherwise(F.col("input_digest")), "prompt": F.when(F.col("changed") == 2, "other").otherwise(F.col("prompt"))})
+    return bent.select("changed", workflow.lineage_problem().alias("problem"), F.col("problem").alias("category")).groupBy("changed", "category", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def res_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +142,7 @@ sa as (select candidate_id, bool_or(eid is null) unk,
 co as (select candidate_id, doc, unnest({_IDS("contradicting")}) evidence_id from ca),
 cx as (select candidate_id, bool_or(not exists (select 1 from ev where ev.evidence_id = co.evidence_id and ev.doc = co.doc)) unk from co group by 1),
 fe as (select fact_id, kind, outcome, unnest(evidence_ids) evidence_id from fa),
-fh as (select fe.fact_id, kind, outcome, min(doc) lo, max(doc) hi, bool_or(doc is null) lost from fe left join ev using (evidence_id) group by all),
+fh as (select fe.fact_id, fe.kind, outcome, min(doc) lo, max(doc) hi, bool_or(doc is null) lost from fe left join ev using (evidence_id) group by all),
 fc as (select candidate_id, doc, unnest({_IDS("fact_ids")}) fact_id from ca),
 fx as (select candidate_id, bool_or(lo is null or lost or lo <> doc or hi <> doc) bad, bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'success', false)) s,
     bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'failure', false)) f, bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'unknown', false)) u
@@ -166,40 +168,59 @@ ju as (select sc.candidate_id, batch, ordinal, case when k is not null then k
   from sc left join sa using (candidate_id) left join cx using (candidate_id) left join fx using (candidate_id) left join cf using (candidate_id)),
 jn as (select candidate_id, batch, ordinal, [{_LIST(admission.CATEGORIES)}][code + 1] category from ju)
 """
+_J = lambda x: f"replace(replace(replace(to_json({x})::varchar, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
+_OPT = lambda k, x: f"""coalesce(',"{k}":' || {_J(f"nullif({x}, '')")}, '')"""
 _SEL = f"""
-with en as ({adapters.ENTRIES}), sg as ({adapters.SEGMENTS}),
+with en as ({adapters.ENTRIES}), sg as ({adapters.SEGMENTS}), ev as ({EVIDENCE}), fa as ({FACTS}),
 ra as (select analysis_id analysis, session_id doc, case when m = 'range' then f end first, case when m = 'range' then l end last from (
     select *, json_extract_string(semantic_selection_json, '$.mode') m, json_extract(semantic_selection_json, '$.firstOrdinal')::bigint f, json_extract(semantic_selection_json, '$.lastOrdinal')::bigint l
     from semantic_details where json_valid(semantic_selection_json)) where m is not null),
-rv as (select * from ra where (first is null and last is null) or (first >= 0 and first <= last)),
-se as (select analysis, en.*, first from rv join en using (doc) where first is null or ordinal between first and last),
-ss as (select se.analysis, se.first, se.kind, se.actor, sg.* from se join sg using (doc, ordinal))
+gp as (select distinct doc from (select doc, ordinal, count(*) n, count(distinct segment) u, min(segment) lo, max(segment) hi from sg group by all) where lo <> 0 or hi <> n - 1 or u <> n),
+dc as (select doc, count(*) total, min(ordinal) = 0 and max(ordinal) = count(*) - 1 and doc not in (from gp) whole from en group by doc),
+rs as (select analysis, ra.doc, first is not null or last is not null explicit, total,
+    case when first is not null or last is not null then first when total > 0 then 0 end low, case when first is not null or last is not null then last when total > 0 then total - 1 end high,
+    case when total is null then '{workflow.UNAVAILABLE}' when not whole then '{workflow.INVALID}' when (first is null) <> (last is null) then '{workflow.INVALID}'
+      when first is not null and not (first >= 0 and last >= first and last < total) then '{workflow.INVALID}' when coalesce(case when first is null then total else last - first + 1 end, 0) > {workflow.MAX_ENTRIES} then '{workflow.TOO_LARGE}' end problem
+  from ra left join dc using (doc)),
+ok as (select * from rs where problem is null),
+se as (select ok.analysis, en.* from ok join en on en.doc = ok.doc and en.ordinal between low and high),
+ss as (select se.analysis, sg.* from se join sg using (doc, ordinal)),
+sj as (select analysis, ordinal, count(*) n, sum(strlen(text)) bytes, count(case when segment_kind = 'omitted' then 1 end) om, string_agg('{{"evidenceId":' || {_J("evidence_id")} || ',"ordinal":' || segment || ',"kind":' || {_J("coalesce(segment_kind, '')")}
+    || ',"origin":' || {_J("coalesce(origin, '')")} || ',"originConfidence":' || {_J("coalesce(origin_confidence, '')")}
+    || case when text is null then '' else ',"text":{{"text":' || {_J("text")} || ',"truncated":false,"originalUtf8Bytes":' || strlen(text) || ',"emittedUtf8Bytes":' || strlen(text) || '}}' end
+    || {_OPT("contentClass", "content_class")} || {_OPT("sourceType", "source_type")} || '}}', ',' order by segment) j from ss group by all),
+ej as (select analysis, count(*) ne, coalesce(sum(n), 0)::bigint ns, coalesce(sum(bytes), 0)::bigint bytes, coalesce(sum(om), 0)::bigint om, '[' || string_agg('{{"evidenceId":"' || 'eref_' || left(sha256(sha256('{{"Source":"' || doc || '","Digest":"' || digest || '","Entry":' || ordinal || ',"Segment":null,"Hash":""}}')), 32)
+    || '","ordinal":' || ordinal || ',"kind":' || {_J("coalesce(kind, '')")} || ',"actor":' || {_J("coalesce(actor, '')")} || coalesce(',"timestamp":"' || rtrim(rtrim(strftime(timezone('UTC', entry_ts), '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.') || 'Z"', '')
+    || coalesce(',"relatedEntryOrdinal":' || related, '') || {_OPT("toolName", "tool_name")} || {_OPT("toolNamespace", "tool_namespace")} || ',"segments":[' || coalesce(j, '') || ']}}', ',' order by ordinal) || ']' j
+  from se left join sj using (analysis, ordinal) group by analysis),
+ci as (select fact_id, ev.doc, ev.ordinal from (select fact_id, unnest(evidence_ids) evidence_id from fa) left join ev using (evidence_id)),
+fh as (select fact_id, min(doc) doc, min(ordinal) lo, max(ordinal) hi from ci group by 1 having not bool_or(doc is null) and min(doc) = max(doc)),
+fs as (select ok.analysis, fa.*, fh.lo, case when json_valid(value_json) then value_json end v from ok join fh on fh.doc = ok.doc and fh.lo >= ok.low and fh.hi <= ok.high join fa using (fact_id)),
+fj as (select analysis, count(*) nf, '[' || string_agg('{{"id":' || {_J("fact_id")} || ',"kind":' || {_J("kind")} || ',"outcome":' || {_J("outcome")} || ',"value":{{' || trim(
+      case when json_exists(v, '$.tool') then ',"tool":{{"kind":' || {_J("coalesce(json_extract_string(v, '$.tool.kind'), '')")} || {_OPT("name", "json_extract_string(v, '$.tool.name')")} || {_OPT("namespace", "json_extract_string(v, '$.tool.namespace')")} || coalesce(',"relatedEntryOrdinal":' || json_extract_string(v, '$.tool.relatedEntryOrdinal'), '') || '}}' else '' end
+      || coalesce(',"command":{{"text":' || {_J("json_extract_string(v, '$.command.text')")} || ',"truncated":false,"originalUtf8Bytes":' || strlen(json_extract_string(v, '$.command.text')) || ',"emittedUtf8Bytes":' || strlen(json_extract_string(v, '$.command.text')) || '}}', '')
+      || case when json_exists(v, '$.test') then ',"test":{{"framework":' || {_J("coalesce(json_extract_string(v, '$.test.framework'), '')")} || coalesce(',"command":{{"text":' || {_J("json_extract_string(v, '$.test.command.text')")} || ',"truncated":false,"originalUtf8Bytes":' || strlen(json_extract_string(v, '$.test.command.text')) || ',"emittedUtf8Bytes":' || strlen(json_extract_string(v, '$.test.command.text')) || '}}', '')
+        || coalesce(',"passed":' || json_extract_string(v, '$.test.passed'), '') || coalesce(',"failed":' || json_extract_string(v, '$.test.failed'), '') || coalesce(',"skipped":' || json_extract_string(v, '$.test.skipped'), '') || '}}' else '' end
+      || coalesce(',"exitCode":' || json_extract_string(v, '$.exitCode'), '')
+      || coalesce(',"error":{{"text":' || {_J("json_extract_string(v, '$.error.text')")} || ',"truncated":false,"originalUtf8Bytes":' || strlen(json_extract_string(v, '$.error.text')) || ',"emittedUtf8Bytes":' || strlen(json_extract_string(v, '$.error.text')) || '}}', ''), ',')
+    || '}},"evidenceIds":[' || list_aggregate(list_transform(evidence_ids, lambda x: '"' || x || '"'), 'string_agg', ',') || ']}}', ',' order by ordinal, fact_id) || ']' j from fs group by analysis),
+dn as (select doc, count(distinct fact_id) n from ci where doc is not null group by 1),
+si as (select ok.analysis, coalesce(ne, 0) ne, coalesce(ns, 0) ns, coalesce(nf, 0) nf, coalesce(dn.n, 0) - coalesce(nf, 0) ex, coalesce(bytes, 0) bytes, coalesce(om, 0) om, coalesce(ej.j, '[]') e, coalesce(fj.j, '[]') f, explicit, total, low, high,
+    case when coalesce(ne, 0) <> total then 'partial' else 'complete-retained-snapshot' end cov from ok left join ej using (analysis) left join fj using (analysis) left join dn using (doc)),
+sx as (select *, '{{"mode":"' || case when explicit then 'range' else 'complete' end || '","selectedEntries":' || ne || ',"totalEntries":' || total || ',"firstOrdinal":' || low || ',"lastOrdinal":' || high || ',"originalTextUtf8Bytes":' || bytes || ',"emittedTextUtf8Bytes":' || bytes
+    || ',"truncatedTextSegments":0,"truncatedFactTexts":0,"canonicalOmittedSegments":' || om || ',"excludedFactCount":' || ex || ',"coverage":"' || cov || '"}}' s from si),
+sy as (select *, strlen('{{"schemaVersion":1,"disposition":"untrusted-evidence","selection":' || s || ',"entries":' || e || ',"facts":' || f || ',"omissions":{{"factAnalysis":{{"canonicalSegments":' || om || ',"omittedTextFactCount":0,"omittedTextOriginalUtf8Bytes":0,"unknownLineage":false}}}}}}') w from sx)
 """
 ORACLE = {
     "adm_candidates": ADM + "select candidate_id, batch, ordinal, category from jn",
     "adm_batches": ADM + f"""select batch, count(*) candidates, count(category) rejected, count(*) <= {admission.MAX_CANDIDATES} and count(category) = 0 admitted,
       case when count(*) > {admission.MAX_CANDIDATES} then 'candidate-count' else arg_min(category, (ordinal, candidate_id)) filter (where category is not null) end category from jn group by batch""",
     "adm_linked": ADM + "select candidate_id, uncited from cf",
-    "sel_statistics": _SEL + f"""
-      select a.analysis, a.doc, selected_entries, total_entries, low, high, coalesce(ns, 0) selected_segments, coalesce(nb, 0)::bigint text_bytes, coalesce(nt, 0) truncated_texts,
-        case when selected_entries = total_entries then 'complete-retained-snapshot' else 'partial-range' end coverage,
-        case when selected_entries > {selection.MAX_ENTRIES} then 'entries' when selected_entries + coalesce(ns, 0) > {selection.MAX_REFERENCES} then 'references'
-          when implicit and coalesce(nt, 0) > 0 then 'truncated-snapshot' when coalesce(nb, 0) > {selection.MAX_EVIDENCE_BYTES} then 'evidence-bytes' end broken_limit
-      from (select analysis, doc, count(*) selected_entries, min(ordinal) low, max(ordinal) high, bool_or(first is null) implicit from se group by all) a
-      join (select doc, count(*) total_entries from en group by 1) t using (doc)
-      left join (select analysis, count(*) ns, sum(case when text is not null then least(strlen(text), {selection.MAX_TEXT}) end) nb, count(case when strlen(text) > {selection.MAX_TEXT} then 1 end) nt from ss group by 1) s using (analysis)""",
-    "sel_references": _SEL + "select analysis, count(*) n, count(case when k > 1 then 1 end) collisions from (select analysis, evidence_id, count(distinct (doc, ordinal, segment)) k from ss group by all) group by 1",
-    "sel_facts": _SEL + f""", fa as ({FACTS}), ci as (select fact_id, len(evidence_ids) n, unnest(evidence_ids) evidence_id from fa),
-      pl as (select rv.analysis, ci.fact_id, ci.n, exists (select 1 from ss where ss.analysis = rv.analysis and ss.evidence_id = ci.evidence_id) ok from ci join sg on sg.evidence_id = ci.evidence_id join rv on rv.doc = sg.doc),
-      f as (select analysis, fact_id, n, count(case when ok then 1 end) k from pl group by all)
-      select analysis, count(case when k = n then 1 end) included_facts, count(case when k <> n then 1 end) excluded_facts from f group by 1""",
-    "sel_digests": _SEL + f""", st as (select analysis, bool_or(first is null) implicit, count(*) n from se group by 1),
-      sb as (select analysis, count(*) ns, sum(case when text is not null then least(strlen(text), {selection.MAX_TEXT}) end) nb, count(case when strlen(text) > {selection.MAX_TEXT} then 1 end) nt from ss group by 1),
-      ok as (select analysis from st join sb using (analysis) where n <= {selection.MAX_ENTRIES} and n + ns <= {selection.MAX_REFERENCES} and not (implicit and nt > 0) and coalesce(nb, 0) <= {selection.MAX_EVIDENCE_BYTES}),
-      j as (select analysis, ordinal, segment, '{{"ordinal":' || ordinal || ',"segment":' || segment || ',"kind":"' || kind || '",' || coalesce('"actor":"' || nullif(actor, '') || '",', '') || '"text":'
-        || coalesce(replace(replace(replace(to_json(text)::varchar, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026'), 'null') || '}}' b from ss where analysis in (from ok)),
-      d as (select analysis, '[' || string_agg(b, ',' order by ordinal, segment) || ']' x from j group by 1)
-      select analysis, sha256(x) input_digest, strlen(x) bytes from d""",
+    "sel_ranges": _SEL + "select analysis, explicit, low, high, coalesce(high - low + 1, 0) n_entries, total, problem from rs",
+    "sel_inputs": _SEL + f"""select analysis, ne n_entries, ns n_segments, nf n_facts, ex excluded, bytes original, bytes emitted, 0 cut, om omitted, cov coverage, strlen(e) entries_bytes, strlen(f) facts_bytes, w input_bytes,
+      ne + ns > {workflow.MAX_REFERENCES} or nf > {workflow.MAX_FACTS} or strlen(e) > {workflow.MAX_EVIDENCE_BYTES} or strlen(f) > {workflow.MAX_FACT_BYTES} or w > {workflow.MAX_INPUT_BYTES} "over",
+      sha256(e) entries_digest, sha256(f) facts_digest, sha256(s) selection_digest from sy""",
+    "sel_references": _SEL + "select analysis, count(*) n, count(case when k > 1 then 1 end) collisions from (select analysis, evidence_id, count(*) k from ss group by all) group by 1",
     "res_claims": f"""with ev as ({EVIDENCE}), ca as ({CANDIDATES}), ids as (select candidate_id, doc, unnest(l) evidence_id, generate_subscripts(l, 1) - 1 place from (select candidate_id, doc, list_concat({_IDS("supporting")}, {_IDS("contradicting")}) l from ca)),
       fi as (select candidate_id, doc, evidence_id, min(place) place from ids group by all), j as (select fi.*, ev.evidence_id is not null ok, ev.text from fi left join ev on ev.evidence_id = fi.evidence_id and ev.doc = fi.doc)
       select candidate_id, place, evidence_id, sha256(text) text, coalesce(strlen(text) > {resolve.MAX_TEXT}, false) truncated from j where candidate_id not in (select candidate_id from j where not ok)""",
@@ -207,4 +228,4 @@ ORACLE = {
       select fact_id, count(*) missing from e where not exists (select 1 from ev where ev.evidence_id = e.evidence_id and ev.doc = e.doc) group by 1""",
 }
 
-QUERIES = {f.__name__: f for f in (adm_candidates, adm_batches, adm_linked, adm_privacy, sel_statistics, sel_references, sel_facts, sel_digests, res_claims, res_facts)}
+QUERIES = {f.__name__: f for f in (adm_candidates, adm_batches, adm_linked, adm_privacy, sel_ranges, sel_inputs, sel_references, run_claims, run_lineage, res_claims, res_facts)}

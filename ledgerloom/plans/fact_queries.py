@@ -13,7 +13,7 @@ _COLUMNS = ["doc", "ordinal", "segment", "kind", "value", "framework", "passed",
 
 
 def _all(spark: SparkSession, d: str) -> DataFrame:
-    return op.extract(adapters.entries(spark, d), adapters.segments(spark, d).filter("text is not null"))
+    return op.extract(adapters.entries(spark, d), adapters.segments(spark, d).filter("text is not null"), op.regexes.TABLE_EXIT_CODE)
 
 
 def fct_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def fct_results(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     results = adapters.entries(spark, d).filter("kind = 'tool-result'").select("doc", "ordinal")
     read = results.join(adapters.segments(spark, d).filter("text is not null"), ["doc", "ordinal"])
-    code = op.exit_code(text)
+    code = op.exit_code(text, op.regexes.TABLE_EXIT_CODE)
     return read.select(
         "doc", "ordinal", "segment", code.alias("exit_code"), F.when(code == 0, "success").when(code.isNotNull(), "failure").alias("outcome"), op.error_line(text).alias("error_line"),
         *[op.count_of(text, p).alias(n) for n, p in (("passed", op.regexes.PASSED), ("failed", op.regexes.FAILED), ("skipped", op.regexes.SKIPPED))],
@@ -51,14 +51,23 @@ def fct_budget(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("doc", "ordinal", "segment", "kind", "emitted", "original_bytes", "truncated", "omitted")
 
 
+SMALL = {"value_bytes": 12, "values": 6, "document_bytes": 40}
+
+
+def fct_small_budget(spark: SparkSession, d: str) -> DataFrame:
+    """FCT-14, 15 under limits that the tables' documents pass: per document the values kept, cut and left out."""
+    cut = op.budgeted(_all(spark, d), **SMALL).filter("value is not null")
+    return cut.groupBy("doc").agg(F.sum(F.octet_length("emitted")).alias("emitted_bytes"), F.count(F.when(F.col("truncated"), 1)).alias("truncated"), F.count(F.when(F.col("omitted"), 1)).alias("omitted"))
+
+
 def fct_omissions(spark: SparkSession, d: str) -> DataFrame:
-    """FCT-16: omitted values and bytes by document."""
-    return op.omissions(op.budgeted(_all(spark, d))).filter("omitted_values > 0")
+    """FCT-16: omitted values and bytes, and omitted segments, by document."""
+    return op.omissions(op.budgeted(_all(spark, d)), adapters.segments(spark, d))
 
 
 def fct_violations(spark: SparkSession, d: str) -> DataFrame:
-    """FCT-17: facts that break their contract (none)."""
-    return op.violations(op.budgeted(_all(spark, d)), adapters.entries(spark, d))
+    """FCT-17: stored facts that break their contract."""
+    return op.stored_violations(adapters.facts(spark, d), adapters.evidence(spark, d))
 
 
 def idn_references(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +97,8 @@ with en as ({adapters.ENTRIES}), sg as ({adapters.SEGMENTS}),
 held as (
   select e.doc, e.digest, e.ordinal, s.segment, s.text,
     coalesce(json_extract_string(s.text, '$.cmd'), json_extract_string(s.text, '$.command')) command
-  from en e join sg s using (doc, ordinal)
-  where e.kind = 'tool-call' and e.tool_name in ({_TOOLS}) and json_valid(s.text) and left(trim(s.text), 1) = '{{'
+  from en e join (select doc, ordinal, segment, case when json_valid(text) then text end text from sg) s using (doc, ordinal)
+  where e.kind = 'tool-call' and e.tool_name in ({_TOOLS}) and s.text is not null and left(trim(s.text), 1) = '{{'
     and (json_exists(s.text, '$.cmd') <> json_exists(s.text, '$.command'))
     and coalesce(json_type(s.text, '$.cmd'), json_type(s.text, '$.command')) = 'VARCHAR'),
 cm as (
@@ -98,7 +107,7 @@ cm as (
 cmds as (select *, case when regexp_matches({_BARE}, '[;|&\\n`''"\\\\]') then null else case {_PREFIXES} end end framework from cm),
 rs as (
   select e.doc, e.digest, e.ordinal, e.related, s.segment, s.text,
-    try_cast(regexp_extract(s.text, '(?m)^Process exited with code ([0-9]+)\\s*$', 1) as bigint) exit_code,
+    try_cast(regexp_extract(s.text, '(?m)^(?:Process exited with code |exit code: )([0-9]+)\\s*$', 1) as bigint) exit_code,
     try_cast(regexp_extract(s.text, '(?i)\\b([0-9]+) passed\\b', 1) as bigint) passed,
     try_cast(regexp_extract(s.text, '(?i)\\b([0-9]+) failed\\b', 1) as bigint) failed,
     try_cast(regexp_extract(s.text, '(?i)\\b([0-9]+) skipped\\b', 1) as bigint) skipped,
@@ -123,17 +132,38 @@ _BUDGET = CTE + f""", ranked as (select *, row_number() over (partition by doc o
 select doc, ordinal, segment, kind, case when k <= {op.MAX_VALUES} then "value" else '' end emitted, strlen("value") original_bytes, k > {op.MAX_VALUES} and strlen("value") > 0 truncated, k > {op.MAX_VALUES} omitted from ranked
 """
 
+_BUDGET_ALL = _BUDGET + " union all select doc, null, null, kind, null, null, false, false from fa where \"value\" is null"
+#: The fold step by step in recursive SQL; commands and error lines of the tables are cut by bytes where that is a character's border.
+_SMALL = "with recursive" + CTE.strip()[4:] + f""",
+o as (select doc, "value" v, row_number() over (partition by doc order by ordinal, coalesce(segment, -1), step) k from fa where "value" is not null),
+w as (select doc, k, v, list_filter(range(0, {SMALL["value_bytes"]} + 1), lambda n: n <= strlen(v) and (n = strlen(v) or substring(hex(encode(v)), 2 * n + 1, 1) not in ('8', '9', 'A', 'B'))) cuts from o where k <= {SMALL["values"]}),
+r as (
+  select doc, k, v, list_max(cuts) e, list_max(cuts) used from w where k = 1
+  union all select w.doc, w.k, w.v, case when r.used < {SMALL["document_bytes"]} then list_max(list_filter(w.cuts, lambda n: n <= {SMALL["document_bytes"]} - r.used)) end,
+    r.used + case when r.used < {SMALL["document_bytes"]} then list_max(list_filter(w.cuts, lambda n: n <= {SMALL["document_bytes"]} - r.used)) else 0 end from r join w on w.doc = r.doc and w.k = r.k + 1)
+select o.doc, coalesce(sum(e), 0)::bigint emitted_bytes, count(case when coalesce(e, 0) < strlen(o.v) then 1 end) truncated, count(case when e is null then 1 end) omitted from o left join r using (doc, k) group by 1
+"""
+
 ORACLE = {
     "fct_facts": CTE + 'select doc, ordinal, segment, kind, "value", framework, passed, failed, skipped, exit_code, outcome, parse_rule, evidence from fa',
     "fct_commands": CTE + "select doc, ordinal, segment, command, framework from cmds",
     "fct_results": CTE + "select doc, ordinal, segment, exit_code, case when exit_code = 0 then 'success' when exit_code is not null then 'failure' end outcome, error_line, passed, failed, skipped from rs",
     "fct_outcomes": CTE + "select framework, outcome, count(*) n, sum(passed)::bigint passed, sum(failed)::bigint failed from fa where kind = 'test-result' group by all",
     "fct_budget": _BUDGET,
-    "fct_omissions": f"select doc, count(*) omitted_values, sum(original_bytes)::bigint omitted_bytes from ({_BUDGET}) where omitted group by doc",
-    "fct_violations": "select ''::varchar doc, 0::bigint ordinal, '' kind, '' violation where false",
+    "fct_small_budget": _SMALL,
+    "fct_omissions": f"""select doc, coalesce(v, 0) omitted_values, coalesce(b, 0)::bigint omitted_bytes, coalesce(n, 0) canonical_segments
+      from (select doc, count(case when omitted then 1 end) v, sum(case when omitted then original_bytes end) b from ({_BUDGET_ALL}) group by doc)
+      full join (select doc, count(*) n from ({adapters.SEGMENTS}) where segment_kind = 'omitted' group by doc) using (doc)""",
+    "fct_violations": f"""with f as ({adapters.FACTS}), ev as ({adapters.EVIDENCE}), c as (select fact_id, unnest(evidence_ids) evidence_id from f),
+      k as (select fact_id, bool_or(doc is null) lost, min(doc) lo, max(doc) hi from c left join ev using (evidence_id) group by 1),
+      j as (select *, case when json_valid(value_json) and json_type(value_json) = 'OBJECT' then value_json end o, coalesce(evidence_ids, []::varchar[]) ids from f left join k using (fact_id)),
+      t as (select *, list_filter([json_extract_string(o, '$.command.text'), json_extract_string(o, '$.error.text'), json_extract_string(o, '$.test.command.text')], lambda x: x is not null) ts from j)
+      select fact_id, violation from (select fact_id, case when coalesce(kind, '') = '' or coalesce(parse_rule, '') = '' then 'fields' when not coalesce(outcome in ('success', 'failure', 'unknown', 'not-applicable'), false) then 'outcome'
+        when o is null then 'value' when len(ts) > 1 then 'texts' when len(list_filter(ts, lambda x: strlen(x) > {op.MAX_VALUE_BYTES})) > 0 then 'text-size' when len(ids) = 0 then 'no-evidence'
+        when len(list_distinct(ids)) <> len(ids) then 'repeated-evidence' when lost then 'unknown-evidence' when lo <> hi then 'several-documents' end violation from t) where violation is not null""",
     "idn_references": f"""with en as ({adapters.ENTRIES}), sg as ({adapters.SEGMENTS}),
       u as (select doc, digest, ordinal, null::bigint segment, null::varchar h from en union all select e.doc, digest, e.ordinal, segment, sha256(text) from en e join sg using (doc, ordinal))
       select doc, ordinal, segment, {_ref("doc", "digest", "ordinal", "segment", "h")} reference_id from u""",
 }
 
-QUERIES = {f.__name__: f for f in (fct_facts, fct_commands, fct_results, fct_outcomes, fct_budget, fct_omissions, fct_violations, idn_references)}
+QUERIES = {f.__name__: f for f in (fct_facts, fct_commands, fct_results, fct_outcomes, fct_budget, fct_small_budget, fct_omissions, fct_violations, idn_references)}

@@ -15,7 +15,7 @@ from .claim_queries import CANDIDATES, FACTS, candidates
 
 def idn_facts(spark: SparkSession, d: str) -> DataFrame:
     """IDN-6: facts by an identity of their content, and those stored under an id that another content has too."""
-    rows = adapters.run(spark, d, FACTS.replace("fact_id, fact_kind", "fact_id, value_json, parse_rule, extractor_name, extractor_version, schema_version, fact_kind"), "facts")
+    rows = adapters.facts(spark, d)
     mark = identity.fact_fingerprint(F.lit("null"), F.col("kind"), identity.string("value_json"), F.col("outcome"), F.col("parse_rule"), F.col("extractor_name"), F.col("extractor_version"), F.col("schema_version"), F.col("evidence_ids"))
     return rows.select("fact_id", mark.alias("fingerprint"), identity.derived_id("fact_", mark).alias("derived_id"))
 
@@ -79,7 +79,7 @@ def _l(x: str) -> str:
 _N = lambda x: f"nullif(regexp_replace({x}::varchar, '\\.0$', ''), 'nan')"
 _J = "json_extract_string(model_json, '$.{}')"
 ORACLE = {
-    "idn_facts": f"""with f as ({FACTS.replace("fact_id, fact_kind", "fact_id, value_json, parse_rule, extractor_name, extractor_version, schema_version, fact_kind")}),
+    "idn_facts": f"""with f as ({FACTS}),
       g as (select fact_id, sha256('{{"Revision":null,"Kind":' || {_s("kind")} || ',"Value":' || {_s("value_json")} || ',"Outcome":' || {_s("outcome")} || ',"Rule":' || {_s("parse_rule")} || ',"Extractor":' || {_s("extractor_name")}
         || ',"Version":' || {_s("extractor_version")} || ',"Schema":' || schema_version || ',"Evidence":' || {_l("evidence_ids")} || '}}') fingerprint from f)
       select fact_id, fingerprint, 'fact_' || left(sha256(fingerprint), 32) derived_id from g""",

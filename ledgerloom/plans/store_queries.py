@@ -16,9 +16,7 @@ from .commit import RunStore
 #: The run store, beside the tables.
 RUN_STORE = "run_store"
 #: The first delivery of each event; its outbox record follows from the delivery's number (some records are invalid).
-EVENTS = """
-select * from (select *, row_number() over (partition by lower(trim(event_id)) order by received_at, delivery_id) as rk from domain_events where event_id is not null and trim(event_id) <> '') t where rk = 1
-"""
+EVENTS = adapters.EVENTS
 OUTBOX = f"""
 select event_id, case when delivery_id % 3 = 0 then 'delivered' when delivery_id % 97 = 1 then 'lost' else 'pending' end as status, delivery_id % 4 as attempt_count,
   case when delivery_id % 3 <> 0 and delivery_id % 4 > 0 and delivery_id % 5 > 0 then 'timeout' end as last_failure,
@@ -28,11 +26,16 @@ from ({EVENTS}) e
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.run(spark, d, EVENTS, "domain_events")
+    return adapters.events(spark, d)
 
 
 def outbox(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.run(spark, d, OUTBOX, "domain_events")
+    n = F.col("delivery_id")
+    pending, delivered = n % 3 != 0, n % 3 == 0
+    return events(spark, d).select(
+        "event_id", F.when(delivered, "delivered").when(n % 97 == 1, "lost").otherwise("pending").alias("status"), (n % 4).alias("attempt_count"), F.when(pending & (n % 4 > 0) & (n % 5 > 0), "timeout").alias("last_failure"),
+        F.when(delivered & (n % 7 > 0), F.col("received_at")).alias("delivered_at"), F.lit(None).cast("string").alias("acknowledgement"),
+    )
 
 
 def sto_events(spark: SparkSession, d: str) -> DataFrame:
