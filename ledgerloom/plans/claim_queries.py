@@ -16,12 +16,32 @@ evidence, facts, candidates = adapters.evidence, adapters.facts, adapters.candid
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return admission.judge(candidates(spark, d), evidence(spark, d), facts(spark, d))
+    """Candidates judged against their analysis' selection; those of an analysis without a sound one carry its category."""
+    r, refs, chosen = _scope(spark, d)
+    judged = admission.judge(candidates(spark, d), refs, chosen)
+    out = judged.join(r, judged["batch"] == r["analysis"], "left")
+    failed = F.when(F.col("analysis").isNull(), workflow.INVALID).otherwise(F.col("problem"))
+    return out.select("candidate_id", "batch", "ordinal", F.coalesce(failed, "category").alias("category"))
+
+
+def _scope(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per analysis its problem if it has no sound selection, the references of its selection, and its facts."""
+    entries, segments, evidence_ = adapters.entries(spark, d), adapters.segments(spark, d), evidence(spark, d)
+    r = workflow.resolved(ranges(spark, d), workflow.documents(entries, segments))
+    sound = r.filter("problem is null")
+    e = workflow.spread_entries(sound, entries)
+    own = identity.evidence_id(F.col("doc"), F.col("digest"), F.col("ordinal"), F.lit(None), F.lit(""))
+    columns = (F.col("analysis").alias("batch"), "evidence_id", "ordinal", "related", "call_id", "actor", "origin")
+    whole = e.withColumns({"evidence_id": own, "origin": F.lit(None).cast("string")}).select(*columns)
+    parts = e.select("analysis", "doc", "ordinal", "related", "call_id", "actor").join(segments.select("doc", "ordinal", "evidence_id", "origin"), ["doc", "ordinal"]).select(*columns)
+    refs = whole.unionByName(parts).dropDuplicates(["batch", "evidence_id"])
+    chosen = workflow.chosen_facts(sound, e, facts(spark, d), workflow.fact_homes(facts(spark, d), evidence_)).select(F.col("analysis").alias("batch"), "fact_id", "kind", "outcome", "evidence_ids")
+    return r.select("analysis", "problem"), refs, chosen
 
 
 def adm_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """ADM-2 to ADM-16: the first failing check of every candidate."""
-    return _judged(spark, d).select("candidate_id", "batch", "ordinal", "category")
+    """ADM-2 to ADM-17: the category of the first failing check of every candidate."""
+    return _judged(spark, d)
 
 
 def adm_batches(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +51,8 @@ def adm_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def adm_linked(spark: SparkSession, d: str) -> DataFrame:
     """ADM-11 to ADM-14: candidates against which a linked result fact speaks."""
-    return admission.linked_outcomes(candidates(spark, d), evidence(spark, d), facts(spark, d)).select("candidate_id", "uncited")
+    _, refs, chosen = _scope(spark, d)
+    return admission.linked_outcomes(candidates(spark, d), refs, chosen).select("candidate_id", "uncited")
 
 
 def adm_privacy(spark: SparkSession, d: str) -> DataFrame:
@@ -119,55 +140,6 @@ _T = "chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(133)||chr(160)"
 _WORDS = r"(?i)\b(?:users?|humans?|agents?|assistants?|models?|environments?|developers?|operators?|you|your|yours|we|us|our|ours|i|me|my|mine)\b"
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _IDS = lambda c: f"coalesce({c}, []::varchar[])"
-_BAD = lambda c, n: f"(len({_IDS(c)}) > {n} or len({_IDS(c)}) <> len(list_distinct({_IDS(c)})) or len(list_filter({_IDS(c)}, lambda x: x is null or x = '')) > 0)"
-_LINKED = "(a.ordinal = b.ordinal or (a.call_id <> '' and a.call_id = b.call_id) or a.related = b.ordinal or b.related = a.ordinal or a.related = b.related)"
-
-ADM = f"""
-with ev as ({EVIDENCE}), fa as ({FACTS}), ca as ({CANDIDATES}),
-sc as (select *, case
-    when not (claim_type in ({_LIST(admission.TYPES)}) and status in ({_LIST(admission.STATUSES)})) then 0
-    when strlen(coalesce(trim(statement, {_T}), '')) not between 1 and {admission.MAX_STATEMENT} then 1
-    when strlen(coalesce(trim(subject, {_T}), '')) > {admission.MAX_SUBJECT} or strlen(coalesce(trim(scope, {_T}), '')) > {admission.MAX_SCOPE} then 2
-    when confidence is null or isnan(confidence) or confidence < 0 or confidence > 1 then 3
-    when coalesce(attribution, '') not in ('', 'unknown') then 4
-    when regexp_matches(coalesce(statement, ''), '{_WORDS}') or regexp_matches(coalesce(subject, ''), '{_WORDS}') or regexp_matches(coalesce(scope, ''), '{_WORDS}') then 5 end k from ca),
-su as (select candidate_id, doc, actor cact, origin cori, unnest({_IDS("supporting")}) evidence_id from ca),
-sj as (select su.candidate_id, ev.evidence_id eid, cact, cori, ev.actor, ev.origin from su left join ev on ev.evidence_id = su.evidence_id and ev.doc = su.doc),
-sa as (select candidate_id, bool_or(eid is null) unk,
-    bool_or(coalesce(cact, '') <> '' and (cact not in ({_LIST(admission.ACTORS)}) or coalesce(actor not in ('', 'unknown') and actor <> cact, false)))
-      or (bool_or(coalesce(cact, '') <> '') and not bool_or(coalesce(actor not in ('', 'unknown') and actor = cact, false))) bad_actor,
-    bool_or(coalesce(cori, '') <> '' and (cori not in ({_LIST(admission.ORIGINS)}) or coalesce(origin not in ('', 'unknown') and origin <> cori, false)))
-      or (bool_or(coalesce(cori, '') <> '') and not bool_or(coalesce(origin not in ('', 'unknown') and origin = cori, false))) bad_origin
-  from sj group by 1),
-co as (select candidate_id, doc, unnest({_IDS("contradicting")}) evidence_id from ca),
-cx as (select candidate_id, bool_or(not exists (select 1 from ev where ev.evidence_id = co.evidence_id and ev.doc = co.doc)) unk from co group by 1),
-fe as (select fact_id, kind, outcome, unnest(evidence_ids) evidence_id from fa),
-fh as (select fe.fact_id, fe.kind, outcome, min(doc) lo, max(doc) hi, bool_or(doc is null) lost from fe left join ev using (evidence_id) group by all),
-fc as (select candidate_id, doc, unnest({_IDS("fact_ids")}) fact_id from ca),
-fx as (select candidate_id, bool_or(lo is null or lost or lo <> doc or hi <> doc) bad, bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'success', false)) s,
-    bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'failure', false)) f, bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'unknown', false)) u
-  from fc left join fh using (fact_id) group by 1),
-jc as (select * from ca where claim_type in ('failed-attempt', 'verification') and outcome is not null),
-an as (select distinct candidate_id, doc, evidence_id from (
-    select candidate_id, doc, evidence_id from su union all select fc.candidate_id, fc.doc, fe.evidence_id from fc join fe using (fact_id))),
-ln as (select distinct j.candidate_id, r.fact_id, r.outcome observed, j.outcome claimed, j.contradicting
-  from jc j join an on an.candidate_id = j.candidate_id join ev a on a.evidence_id = an.evidence_id and a.doc = j.doc
-  join ev b on b.doc = a.doc and {_LINKED} join fe r on r.evidence_id = b.evidence_id and r.kind in ('exit-code', 'test-result')),
-cf as (select candidate_id, bool_or(not list_has_any(fa.evidence_ids, {_IDS("contradicting")})) uncited from ln join fa using (fact_id)
-  where claimed <> 'unknown' and (observed = 'unknown' or (claimed = 'success' and observed = 'failure') or (claimed = 'failure' and observed = 'success')) group by 1),
-ju as (select sc.candidate_id, batch, ordinal, case when k is not null then k
-    when {_BAD("supporting", admission.MAX_EVIDENCE)} or len({_IDS("supporting")}) = 0 or coalesce(sa.unk, false) then 6
-    when {_BAD("contradicting", admission.MAX_EVIDENCE)} or coalesce(cx.unk, false) then 7
-    when list_has_any({_IDS("supporting")}, {_IDS("contradicting")}) then 8
-    when {_BAD("fact_ids", admission.MAX_FACTS)} or coalesce(fx.bad, false) then 9
-    when coalesce(bad_actor, false) then 10 when coalesce(bad_origin, false) then 11
-    when case when claim_type = 'failed-attempt' then coalesce(outcome, '') <> 'failure' when claim_type = 'verification' then coalesce(outcome, '') not in ('success', 'failure', 'unknown') else coalesce(outcome, '') <> '' end then 12
-    when claim_type in ('failed-attempt', 'verification') and case when status = 'observed' then
-      not coalesce(case outcome when 'success' then fx.s when 'failure' then fx.f when 'unknown' then fx.u or (fx.s and fx.f) end, false) or cf.candidate_id is not null
-      else coalesce(cf.uncited, false) end then 12 end code
-  from sc left join sa using (candidate_id) left join cx using (candidate_id) left join fx using (candidate_id) left join cf using (candidate_id)),
-jn as (select candidate_id, batch, ordinal, [{_LIST(admission.CATEGORIES)}][code + 1] category from ju)
-"""
 _J = lambda x: f"replace(replace(replace(to_json({x})::varchar, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
 _OPT = lambda k, x: f"""coalesce(',"{k}":' || {_J(f"nullif({x}, '')")}, '')"""
 _SEL = f"""
@@ -211,10 +183,60 @@ sx as (select *, '{{"mode":"' || case when explicit then 'range' else 'complete'
     || ',"truncatedTextSegments":0,"truncatedFactTexts":0,"canonicalOmittedSegments":' || om || ',"excludedFactCount":' || ex || ',"coverage":"' || cov || '"}}' s from si),
 sy as (select *, strlen('{{"schemaVersion":1,"disposition":"untrusted-evidence","selection":' || s || ',"entries":' || e || ',"facts":' || f || ',"omissions":{{"factAnalysis":{{"canonicalSegments":' || om || ',"omittedTextFactCount":0,"omittedTextOriginalUtf8Bytes":0,"unknownLineage":false}}}}}}') w from sx)
 """
+_LINKED = "(a.ordinal = b.ordinal or (a.call_id <> '' and a.call_id = b.call_id) or a.related = b.ordinal or b.related = a.ordinal or a.related = b.related)"
+_AT = lambda c: f"list_min(list_filter(list_transform(range(1, len({_IDS(c)}) + 1), lambda i: case when coalesce({_IDS(c)}[i], '') = '' or list_position({_IDS(c)}, {_IDS(c)}[i]) < i then i end), lambda i: i is not null))"
+_CHECKS = lambda c, n, u, names: f"when len({_IDS(c)}) > {n} then '{names[0]}' when rep_{c} is not null and rep_{c} <= coalesce({u}, 1000000) then '{names[1]}' when {u} is not null then '{names[2]}'"
+_A = admission
+ADM = _SEL + f""",
+ca as ({CANDIDATES}),
+rf as (select distinct on (analysis, evidence_id) * from (
+  select analysis, 'eref_' || left(sha256(sha256('{{"Source":"' || doc || '","Digest":"' || digest || '","Entry":' || ordinal || ',"Segment":null,"Hash":""}}')), 32) evidence_id, ordinal, related, call_id, actor, null::varchar origin from se
+  union all select se.analysis, sg.evidence_id, se.ordinal, related, call_id, actor, sg.origin from se join sg using (doc, ordinal))),
+sc as (select *, {_AT("supporting")} rep_supporting, {_AT("contradicting")} rep_contradicting, {_AT("fact_ids")} rep_fact_ids, case
+    when not coalesce(claim_type in ({_LIST(_A.TYPES)}) and status in ({_LIST(_A.STATUSES)}), false) then '{_A.VALUE}'
+    when strlen(coalesce(trim(statement, {_T}), '')) not between 1 and {_A.MAX_STATEMENT} then '{_A.VALUE}'
+    when strlen(coalesce(trim(subject, {_T}), '')) > {_A.MAX_SUBJECT} or strlen(coalesce(trim(scope, {_T}), '')) > {_A.MAX_SCOPE} then '{_A.VALUE}'
+    when confidence is null or isnan(confidence) or confidence < 0 or confidence > 1 then '{_A.VALUE}'
+    when coalesce(attribution, '') not in ('', 'unknown') then '{_A.PROVENANCE}'
+    when regexp_matches(coalesce(statement, ''), '{_WORDS}') or regexp_matches(coalesce(subject, ''), '{_WORDS}') or regexp_matches(coalesce(scope, ''), '{_WORDS}') then '{_A.WORDS}' end k from ca),
+su as (select candidate_id, batch, actor cact, origin cori, unnest({_IDS("supporting")}) evidence_id, generate_subscripts({_IDS("supporting")}, 1) i from ca),
+sq as (select su.candidate_id, rf.evidence_id eid, i, cact, cori, rf.actor, rf.origin from su left join rf on rf.evidence_id = su.evidence_id and rf.analysis = su.batch),
+sa as (select candidate_id, min(case when eid is null then i end) u_s,
+    bool_or(coalesce(cact, '') <> '' and (cact not in ({_LIST(_A.ACTORS)}) or coalesce(actor not in ('', 'unknown') and actor <> cact, false)))
+      or (bool_or(coalesce(cact, '') <> '') and not bool_or(coalesce(actor not in ('', 'unknown') and actor = cact, false))) bad_actor,
+    bool_or(coalesce(cori, '') <> '' and (cori not in ({_LIST(_A.ORIGINS)}) or coalesce(origin not in ('', 'unknown') and origin <> cori, false)))
+      or (bool_or(coalesce(cori, '') <> '') and not bool_or(coalesce(origin not in ('', 'unknown') and origin = cori, false))) bad_origin
+  from sq group by 1),
+co as (select candidate_id, batch, unnest({_IDS("contradicting")}) evidence_id, generate_subscripts({_IDS("contradicting")}, 1) i from ca),
+cx as (select candidate_id, min(case when not exists (select 1 from rf where rf.evidence_id = co.evidence_id and rf.analysis = co.batch) then i end) u_c from co group by 1),
+fc as (select candidate_id, batch, unnest({_IDS("fact_ids")}) fact_id, generate_subscripts({_IDS("fact_ids")}, 1) i from ca),
+fx as (select candidate_id, min(case when fs.fact_id is null then i end) u_f, bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'success', false)) s,
+    bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'failure', false)) f, bool_or(coalesce(kind in ('exit-code', 'test-result') and outcome = 'unknown', false)) u
+  from fc left join fs on fs.fact_id = fc.fact_id and fs.analysis = fc.batch group by 1),
+fe as (select analysis, fact_id, kind, outcome, evidence_ids, unnest(evidence_ids) evidence_id from fs),
+jc as (select * from ca where claim_type in ('failed-attempt', 'verification') and outcome is not null),
+an as (select distinct candidate_id, batch, evidence_id from (
+    select candidate_id, batch, evidence_id from su union all select fc.candidate_id, fc.batch, fe.evidence_id from fc join fe on fe.fact_id = fc.fact_id and fe.analysis = fc.batch)),
+ln as (select distinct j.candidate_id, r.fact_id, r.evidence_ids, r.outcome observed, j.outcome claimed, j.contradicting
+  from jc j join an on an.candidate_id = j.candidate_id join rf a on a.evidence_id = an.evidence_id and a.analysis = j.batch
+  join rf b on b.analysis = a.analysis and {_LINKED} join fe r on r.analysis = b.analysis and r.evidence_id = b.evidence_id and r.kind in ('exit-code', 'test-result')),
+cf as (select candidate_id, bool_or(not list_has_any(evidence_ids, {_IDS("contradicting")})) uncited from ln
+  where claimed <> 'unknown' and (observed = 'unknown' or (claimed = 'success' and observed = 'failure') or (claimed = 'failure' and observed = 'success')) group by 1),
+ju as (select sc.*, case when k is not null then k when len({_IDS("supporting")}) = 0 then '{_A.REQUIRED}' {_CHECKS("supporting", _A.MAX_EVIDENCE, "u_s", (_A.LIMIT, _A.REPEATED, _A.UNKNOWN))}
+    {_CHECKS("contradicting", _A.MAX_EVIDENCE, "u_c", (_A.LIMIT, _A.REPEATED, _A.UNKNOWN))} when list_has_any({_IDS("supporting")}, {_IDS("contradicting")}) then '{_A.OVERLAP}'
+    {_CHECKS("fact_ids", _A.MAX_FACTS, "u_f", (_A.FACT_LIMIT, _A.FACT_REPEATED, _A.FACT_UNKNOWN))} when coalesce(bad_actor, false) or coalesce(bad_origin, false) then '{_A.PROVENANCE}'
+    when case when claim_type = 'failed-attempt' then coalesce(outcome, '') <> 'failure' when claim_type = 'verification' then coalesce(outcome, '') not in ('success', 'failure', 'unknown') else coalesce(outcome, '') <> '' end then '{_A.OUTCOME_TYPE}'
+    when claim_type in ('failed-attempt', 'verification') and status = 'observed' and not coalesce(case outcome when 'success' then fx.s when 'failure' then fx.f when 'unknown' then fx.u or (fx.s and fx.f) end, false) then '{_A.UNESTABLISHED}'
+    when claim_type in ('failed-attempt', 'verification') and case when status = 'observed' then cf.candidate_id is not null else coalesce(cf.uncited, false) end then '{_A.CONFLICT}' end c1
+  from sc left join sa using (candidate_id) left join cx using (candidate_id) left join fx using (candidate_id) left join cf using (candidate_id)),
+jd as (select *, case when c1 is null then row_number() over (partition by c1 is null, batch, claim_type, trim(statement, {_T}), status, confidence, {_IDS("supporting")}, {_IDS("contradicting")}, {_IDS("fact_ids")}, coalesce(outcome, ''), coalesce(actor, ''), coalesce(origin, ''),
+    coalesce(trim(subject, {_T}), ''), coalesce(trim(scope, {_T}), ''), coalesce(attribution, '') order by ordinal, candidate_id) end k2 from ju),
+jn as (select candidate_id, batch, jd.ordinal, case when rs.analysis is null then '{workflow.INVALID}' when problem is not null then problem when k2 > 1 then '{_A.DUPLICATE}' else c1 end category from jd left join rs on rs.analysis = jd.batch)
+"""
 ORACLE = {
     "adm_candidates": ADM + "select candidate_id, batch, ordinal, category from jn",
     "adm_batches": ADM + f"""select batch, count(*) candidates, count(category) rejected, count(*) <= {admission.MAX_CANDIDATES} and count(category) = 0 admitted,
-      case when count(*) > {admission.MAX_CANDIDATES} then 'candidate-count' else arg_min(category, (ordinal, candidate_id)) filter (where category is not null) end category from jn group by batch""",
+      case when count(*) > {admission.MAX_CANDIDATES} then '{admission.VALUE}' else arg_min(category, (ordinal, candidate_id)) filter (where category is not null) end category from jn group by batch""",
     "adm_linked": ADM + "select candidate_id, uncited from cf",
     "sel_ranges": _SEL + "select analysis, explicit, low, high, coalesce(high - low + 1, 0) n_entries, total, problem from rs",
     "sel_inputs": _SEL + f"""select analysis, ne n_entries, ns n_segments, nf n_facts, ex excluded, bytes original, bytes emitted, 0 cut, om omitted, cov coverage, strlen(e) entries_bytes, strlen(f) facts_bytes, w input_bytes,

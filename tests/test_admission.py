@@ -2,24 +2,25 @@ import pytest
 
 from ledgerloom.operators import admission as op, evaluation, resolve
 
-EVIDENCE = "evidence_id string, doc string, ordinal long, related long, call_id string, actor string, origin string, text string"
-FACTS = "fact_id string, kind string, outcome string, evidence_ids array<string>"
-CANDIDATE = "candidate_id string, batch string, doc string, ordinal long, claim_type string, status string, statement string, subject string, scope string, confidence double, attribution string, actor string, origin string, outcome string, supporting array<string>, contradicting array<string>, fact_ids array<string>"
+EVIDENCE = "evidence_id string, batch string, ordinal long, related long, call_id string, actor string, origin string, text string"
+FACTS = "batch string, fact_id string, kind string, outcome string, evidence_ids array<string>"
+CANDIDATE = "candidate_id string, batch string, ordinal long, claim_type string, status string, statement string, subject string, scope string, confidence double, attribution string, actor string, origin string, outcome string, supporting array<string>, contradicting array<string>, fact_ids array<string>"
 BASE = {
-    "candidate_id": "c", "batch": "b", "doc": "d", "ordinal": 0, "claim_type": "verification", "status": "observed", "statement": "The suite passed.", "subject": None, "scope": None, "confidence": 0.9, "attribution": None, "actor": None, "origin": None,
+    "candidate_id": "c", "batch": "b", "ordinal": 0, "claim_type": "verification", "status": "observed", "statement": "The suite passed.", "subject": None, "scope": None, "confidence": 0.9, "attribution": None, "actor": None, "origin": None,
     "outcome": "success", "supporting": ["e1"], "contradicting": [], "fact_ids": ["ok"],
 }
-ROWS = [("e0", "d", 0, None, "k", "model", "model", "call"), ("e1", "d", 1, 0, "k", "tool", "tool", "good"), ("e2", "d", 2, 0, "k", "tool", "tool", "bad"), ("e3", "d", 3, None, None, "human", "human", "far"), ("x1", "other", 1, None, None, "tool", "tool", "x")]
-FACT_ROWS = [("ok", "exit-code", "success", ["e1"]), ("bad", "exit-code", "failure", ["e2"]), ("far", "exit-code", "failure", ["e3"]), ("note", "command", "not-applicable", ["e0"]), ("out", "exit-code", "success", ["e1", "x1"])]
+ROWS = [("e0", "b", 0, None, "k", "model", "model", "call"), ("e1", "b", 1, 0, "k", "tool", "tool", "good"), ("e2", "b", 2, 0, "k", "tool", "tool", "bad"), ("e3", "b", 3, None, None, "human", "human", "far"), ("x1", "b2", 1, None, None, "tool", "tool", "x")]
+FACT_ROWS = [("b", "ok", "exit-code", "success", ["e1"]), ("b", "bad", "exit-code", "failure", ["e2"]), ("b", "far", "exit-code", "failure", ["e3"]), ("b", "note", "command", "not-applicable", ["e0"]), ("b2", "out", "exit-code", "success", ["x1"])]
 CASES = [
-    ({}, "outcome"),  # the failing fact of the same call is linked and speaks against it
-    ({"status": "inferred"}, "outcome"), ({"status": "inferred", "contradicting": ["e2"]}, None), ({"status": "inferred", "contradicting": None, "outcome": "unknown"}, None), ({"outcome": "unknown", "fact_ids": ["ok", "bad"]}, None),
-    ({"supporting": ["e3"], "fact_ids": ["far"], "outcome": "failure"}, None), ({"supporting": ["e3"], "fact_ids": ["far"], "outcome": "failure", "claim_type": "failed-attempt"}, None), ({"claim_type": "failed-attempt"}, "outcome"),
-    ({"claim_type": "decision"}, "outcome"), ({"claim_type": "decision", "outcome": None}, None), ({"claim_type": "nope"}, "type-or-status"), ({"status": None}, "type-or-status"), ({"statement": " "}, "statement"), ({"statement": "x" * 2049}, "statement"),
-    ({"scope": "x" * 513}, "subject-or-scope"), ({"confidence": 1.5}, "confidence"), ({"confidence": float("nan")}, "confidence"), ({"confidence": None}, "confidence"), ({"attribution": "actor"}, "attribution"), ({"attribution": "unknown", "claim_type": "lesson", "outcome": None}, None),
-    ({"statement": "We passed."}, "actor-in-text"), ({"statement": "The modelled suite passed.", "claim_type": "lesson", "outcome": None}, None), ({"supporting": []}, "supporting-evidence"), ({"supporting": None}, "supporting-evidence"), ({"supporting": ["e1", "e1"]}, "supporting-evidence"),
-    ({"supporting": ["e1", None]}, "supporting-evidence"), ({"supporting": ["x1"]}, "supporting-evidence"), ({"contradicting": ["zz"]}, "contradicting-evidence"), ({"contradicting": ["e1"]}, "evidence-overlap"), ({"fact_ids": ["zz"]}, "supporting-facts"),
-    ({"fact_ids": ["out"]}, "supporting-facts"), ({"fact_ids": ["ok", "ok"]}, "supporting-facts"), ({"actor": "tool", "claim_type": "lesson", "outcome": None}, None), ({"actor": "human"}, "actor"), ({"actor": "robot"}, "actor"), ({"origin": "human"}, "origin"),
+    ({}, "claim-outcome-conflict"),  # the failing fact of the same call is linked and speaks against it
+    ({"status": "inferred"}, "claim-outcome-conflict"), ({"status": "inferred", "contradicting": ["e2"]}, None), ({"status": "inferred", "contradicting": None, "outcome": "unknown"}, None), ({"outcome": "unknown", "fact_ids": ["ok", "bad"]}, None),
+    ({"supporting": ["e3"], "fact_ids": ["far"], "outcome": "failure"}, None), ({"supporting": ["e3"], "fact_ids": ["far"], "outcome": "failure", "claim_type": "failed-attempt"}, None), ({"claim_type": "failed-attempt"}, "claim-outcome-type-invalid"),
+    ({"claim_type": "decision"}, "claim-outcome-type-invalid"), ({"claim_type": "decision", "outcome": None}, None), ({"claim_type": "decision", "outcome": None, "statement": " The suite passed. "}, "claim-duplicate"), ({"claim_type": "nope"}, "claim-value-invalid"), ({"status": None}, "claim-value-invalid"), ({"statement": " "}, "claim-value-invalid"), ({"statement": "x" * 2049}, "claim-value-invalid"),
+    ({"scope": "x" * 513}, "claim-value-invalid"), ({"confidence": 1.5}, "claim-value-invalid"), ({"confidence": float("nan")}, "claim-value-invalid"), ({"confidence": None}, "claim-value-invalid"), ({"attribution": "actor"}, "claim-provenance-invalid"), ({"attribution": "unknown", "claim_type": "lesson", "outcome": None}, None),
+    ({"statement": "We passed."}, "claim-free-text-attribution-invalid"), ({"statement": "The modelled suite passed.", "claim_type": "lesson", "outcome": None}, None), ({"supporting": []}, "claim-evidence-required"), ({"supporting": None}, "claim-evidence-required"), ({"supporting": ["e1", "e1"]}, "claim-evidence-duplicate"),
+    ({"supporting": ["e1", None]}, "claim-evidence-duplicate"), ({"supporting": ["x1"]}, "claim-evidence-unknown"), ({"supporting": ["zz", "zz"]}, "claim-evidence-unknown"), ({"supporting": ["e1", "e1", "zz"]}, "claim-evidence-duplicate"), ({"supporting": [f"z{i}" for i in range(513)]}, "claim-evidence-limit"),
+    ({"contradicting": ["zz"]}, "claim-evidence-unknown"), ({"contradicting": ["e1"]}, "claim-evidence-overlap"), ({"fact_ids": ["zz"]}, "claim-fact-unknown"), ({"fact_ids": [f"z{i}" for i in range(257)]}, "claim-fact-limit"), ({"fact_ids": ["note"], "supporting": ["e3"]}, "claim-outcome-unsupported"),
+    ({"fact_ids": ["out"]}, "claim-fact-unknown"), ({"fact_ids": ["ok", "ok"]}, "claim-fact-duplicate"), ({"actor": "tool", "claim_type": "lesson", "outcome": None}, None), ({"actor": "human"}, "claim-provenance-invalid"), ({"actor": "robot"}, "claim-provenance-invalid"), ({"origin": "human"}, "claim-provenance-invalid"),
 ]
 
 
@@ -33,11 +34,11 @@ def test_first_failing_check(spark):
     got = {r.candidate_id: r.category for r in judged.collect()}
     assert [(c, got[f"c{i}"]) for i, (c, want) in enumerate(CASES) if got[f"c{i}"] != want] == []
     batch = op.batches(judged).collect()[0]
-    assert not batch.admitted and batch.category == "outcome" and batch.candidates == len(CASES)
-    good = op.batches(op.judge(candidates(spark, [c for c, w in CASES if w is None]), evidence, facts)).collect()[0]
+    assert not batch.admitted and batch.category == "claim-outcome-conflict" and batch.candidates == len(CASES)
+    good = op.batches(op.judge(candidates(spark, [c | {"subject": f"s{i}"} for i, (c, w) in enumerate(CASES) if w is None]), evidence, facts)).collect()[0]
     assert good.admitted and good.category is None
     many = op.batches(op.judge(candidates(spark, [{"claim_type": "lesson", "outcome": None}] * 65), evidence, facts)).collect()[0]
-    assert not many.admitted and many.category == "candidate-count"
+    assert not many.admitted and many.category == "claim-value-invalid"
     assert op.judge(candidates(spark, []), evidence, facts).count() == 0
 
 
@@ -54,8 +55,8 @@ def test_link_keys_equal_the_predicate(spark):
 
 
 def test_resolution_is_all_or_nothing(spark):
-    evidence = spark.createDataFrame(ROWS, EVIDENCE)
-    rows = spark.createDataFrame([("a", "d", ["e2", "e1", "e2"], ["e0"]), ("b", "d", ["e1", "x1"], []), ("c", "d", None, None)], "id string, doc string, s array<string>, t array<string>")
+    evidence = spark.createDataFrame(ROWS, EVIDENCE.replace("batch", "doc"))
+    rows = spark.createDataFrame([("a", "b", ["e2", "e1", "e2"], ["e0"]), ("b", "b", ["e1", "x1"], []), ("c", "b", None, None)], "id string, doc string, s array<string>, t array<string>")
     got = [(r.id, r.place, r.text) for r in resolve.resolve(rows, "id", ["s", "t"], evidence).orderBy("place").collect()]
     assert got == [("a", 0, "bad"), ("a", 1, "good"), ("a", 3, "call")]
     assert [tuple(r) for r in resolve.unresolved(rows, "id", ["s", "t"], evidence).collect()] == [("b", 1)]
