@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions import identity as idn
 from ..functions import regexes, utf8
-from ..functions.identity import evidence_id
+from ..functions.identity import evidence_id, number, record, string
 
 #: Limits of extracted text, tools that take a command, and test commands by prefix in order.
 MAX_VALUE_BYTES, MAX_VALUES, MAX_DOCUMENT_BYTES = 2048, 128, 65536
+#: The extractor's name, version and schema version.
+EXTRACTOR = ("sessions-deterministic-facts", "1", 1)
 COMMAND_TOOLS = ("exec_command", "shell_command", "run_command", "terminal")
 TEST_PREFIXES = (
     ("go test", "go-test"), ("pytest", "pytest"), ("python -m pytest", "pytest"), ("npm test", "npm-test"), ("npm run test", "npm-test"),
@@ -202,3 +205,53 @@ def stored_violations(facts: DataFrame, evidence: DataFrame) -> DataFrame:
         .when(F.size(F.array_distinct(ids)) != F.size(ids), "repeated-evidence").when(F.col("unknown"), "unknown-evidence").when(F.col("low") != F.col("high"), "several-documents")
     )
     return facts.join(known, "fact_id", "left").select("fact_id", code.alias("violation")).filter("violation is not null")
+
+
+def reference_rows(entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """(doc, ordinal, segment, reference_id, reference): the whole reference of every entry and segment (IDN-4)."""
+    whole = entries.select("doc", "digest", "ordinal", "kind", "actor", "related", "call_id", "tool_name", "tool_namespace")
+    none = {c: F.lit(None).cast("string") for c in ("origin", "origin_confidence", "hash")}
+    parts = whole.join(segments.select("doc", "ordinal", "segment", "origin", "origin_confidence", F.sha2("text", 256).alias("hash")), ["doc", "ordinal"])
+    rows = whole.withColumns({"segment": F.lit(None).cast("long"), **none}).unionByName(parts)
+    mark = evidence_id(F.col("doc"), F.col("digest"), F.col("ordinal"), F.col("segment"), F.col("hash"))
+    fields = {k: F.col(c) for k, c in (("entryKind", "kind"), ("actor", "actor"), ("origin", "origin"), ("originConfidence", "origin_confidence"), ("relatedEntryOrdinal", "related"), ("toolCallId", "call_id"), ("toolName", "tool_name"), ("toolNamespace", "tool_namespace"))}
+    scheme = F.when(F.col("hash").isNotNull(), idn.TEXT_SCHEME)
+    body = idn.evidence_ref(F.col("reference_id"), F.col("doc"), F.lit(idn.DOCUMENT_SCHEME), F.col("digest"), F.col("ordinal"), F.col("segment"), fields, scheme, F.col("hash"))
+    return rows.withColumn("reference_id", mark).select("doc", "ordinal", "segment", "reference_id", body.alias("reference"))
+
+
+def stored_references(evidence: DataFrame) -> DataFrame:
+    """(evidence_id, problem): stored references by how they differ from the rebuilt ones (IDN-5)."""
+    mark = evidence_id(F.col("doc"), F.col("digest"), F.col("ordinal"), F.col("segment"), F.sha2("text", 256))
+    problem = (
+        F.when(F.col("digest").isNull(), "no-entry").when(~F.col("content_hash").eqNullSafe(F.sha2("text", 256)), "content-hash").when(~F.coalesce(mark == F.col("evidence_id"), F.lit(False)), "id").otherwise("equal")
+    )
+    return evidence.select("evidence_id", problem.alias("problem"))
+
+
+def _selected(emitted: Column, original: Column, truncated: Column) -> Column:
+    return record([
+        ("text", string(emitted)), ("truncated", idn.boolean(truncated)), ("originalUtf8Bytes", number(F.octet_length(original))), ("emittedUtf8Bytes", number(F.octet_length(emitted))),
+        ("contentHash", idn.digest(F.lit(idn.TEXT_SCHEME), F.sha2(original, 256))),
+    ])
+
+
+def identified(facts: DataFrame, entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """Budgeted facts with their canonical value, fingerprint and id (IDN-6)."""
+    tool = entries.select("doc", F.col("ordinal").cast("long").alias("ordinal"), F.struct("tool_name", "tool_namespace", "call_id", "related").alias("tool"), idn.revision(*(F.col(c) for c in ("doc", "source_kind", "source_instance_id", "native_id")), F.lit(idn.DOCUMENT_SCHEME), F.col("digest")).alias("revision"))
+    rows = facts.withColumn("ordinal", F.col("ordinal").cast("long")).join(tool, ["doc", "ordinal"]).withColumn("fact", F.struct("ordinal", "segment", "step"))
+    t, kind = F.col("tool"), F.col("kind")
+    text = _selected(F.col("emitted"), F.col("value"), F.col("truncated"))
+    called = record([("kind", string(F.regexp_replace("kind", "^tool-", ""))), ("name", string(t["tool_name"])), ("namespace", string(t["tool_namespace"])), ("callId", string(t["call_id"])), ("relatedEntryOrdinal", number(t["related"]))], optional=("name", "namespace", "callId", "relatedEntryOrdinal"))
+    counts = record([("framework", string("framework")), ("passed", number("passed")), ("failed", number("failed")), ("skipped", number("skipped"))], optional=("passed", "failed", "skipped"))
+    value = (
+        F.when(kind.isin("tool-call", "tool-result"), record([("tool", called)])).when(kind == "command", record([("command", text)])).when(kind == "test-command", record([("test", record([("framework", string("framework")), ("command", text)]))]))
+        .when(kind == "exit-code", record([("exitCode", number("exit_code"))])).when(kind == "test-result", record([("test", counts), ("exitCode", number("exit_code"))])).otherwise(record([("error", text)]))
+    )
+    rows = rows.withColumn("value_json", value)
+    refs = reference_rows(entries, segments).select("reference_id", "reference")
+    cites = rows.select("doc", "fact", F.posexplode("evidence").alias("place", "reference_id")).join(refs, "reference_id")
+    listed = cites.groupBy("doc", "fact").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "reference"))), lambda x: x["reference"]).alias("references"))  # at most two
+    name, version, schema = map(F.lit, EXTRACTOR)
+    mark = idn.fact_fingerprint(F.col("revision"), kind, F.col("value_json"), F.col("outcome"), F.col("parse_rule"), name, version, schema, F.col("references"))
+    return rows.join(listed, ["doc", "fact"]).withColumn("fingerprint", mark).withColumn("fact_id", idn.derived_id("fact_", F.col("fingerprint"))).drop("fact", "tool")

@@ -27,6 +27,7 @@ from ..functions import identity as idn
 from ..functions import privacy, utf8
 from ..functions.identity import array, boolean, number, record, string
 from ..session import cut
+from .facts import EXTRACTOR as EXTRACTOR_OF_FACTS
 
 #: Limits, names and labels of the claim stage.
 MAX_ENTRIES, MAX_REFERENCES, MAX_FACTS = 50, 512, 256
@@ -67,7 +68,7 @@ def fact_runs(docs: DataFrame) -> DataFrame:
         F.lit("full"), idn.counted(F.lit(0), F.lit(0), no), (F.col("total"), F.col("total"), no, F.when(F.col("total") > 0, 0), last), idn.counted(F.col("segments"), F.col("segments"), no),
         (F.col("text_bytes"), F.col("text_bytes"), no), F.col("doc_omitted"), F.lit(0), F.lit(COMPLETE),
     )
-    return docs.select("doc", idn.fact_key(F.col("revision"), chosen, F.lit("session-facts"), F.lit("1"), F.lit(1)).alias("processing_key"))
+    return docs.select("doc", idn.fact_key(F.col("revision"), chosen, *map(F.lit, EXTRACTOR_OF_FACTS)).alias("processing_key"))
 
 
 def resolved(ranges: DataFrame, docs: DataFrame) -> DataFrame:

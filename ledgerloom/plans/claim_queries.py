@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import privacy
 from ..functions import identity
 from ..operators import admission, resolve, workflow
-from ..session import table
+from ..session import cut, table
 from . import adapters
 
 EVIDENCE, FACTS, CANDIDATES = adapters.EVIDENCE, adapters.FACTS, adapters.CANDIDATES
@@ -27,16 +27,16 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 def _scope(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per analysis its problem if it has no sound selection, the references of its selection, and its facts."""
     entries, segments, evidence_ = adapters.entries(spark, d), adapters.segments(spark, d), evidence(spark, d)
-    r = workflow.resolved(ranges(spark, d), workflow.documents(entries, segments))
+    r = cut(workflow.resolved(ranges(spark, d), workflow.documents(entries, segments)))
     sound = r.filter("problem is null")
-    e = workflow.spread_entries(sound, entries)
+    e = cut(workflow.spread_entries(sound, entries))
     own = identity.evidence_id(F.col("doc"), F.col("digest"), F.col("ordinal"), F.lit(None), F.lit(""))
     columns = (F.col("analysis").alias("batch"), "evidence_id", "ordinal", "related", "call_id", "actor", "origin")
     whole = e.withColumns({"evidence_id": own, "origin": F.lit(None).cast("string")}).select(*columns)
     parts = e.select("analysis", "doc", "ordinal", "related", "call_id", "actor").join(segments.select("doc", "ordinal", "evidence_id", "origin"), ["doc", "ordinal"]).select(*columns)
-    refs = whole.unionByName(parts).dropDuplicates(["batch", "evidence_id"])
+    refs = cut(whole.unionByName(parts).dropDuplicates(["batch", "evidence_id"]))  # bounded for each analysis, read many times
     chosen = workflow.chosen_facts(sound, e, facts(spark, d), workflow.fact_homes(facts(spark, d), evidence_)).select(F.col("analysis").alias("batch"), "fact_id", "kind", "outcome", "evidence_ids")
-    return r.select("analysis", "problem"), refs, chosen
+    return r.select("analysis", "problem"), refs, cut(chosen)
 
 
 def adm_candidates(spark: SparkSession, d: str) -> DataFrame:

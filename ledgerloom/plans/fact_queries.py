@@ -79,6 +79,22 @@ def idn_references(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc", "ordinal", "segment", evidence_id(F.col("doc"), F.col("digest"), F.col("ordinal"), F.col("segment"), F.col("hash")).alias("reference_id"))
 
 
+def idn_stored(spark: SparkSession, d: str) -> DataFrame:
+    """IDN-5: stored references by how they differ from the rebuilt ones."""
+    return op.stored_references(adapters.evidence(spark, d)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def facts_of(entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """The identified facts of the given documents."""
+    return op.identified(op.budgeted(op.extract(entries, segments.filter("text is not null"), op.regexes.TABLE_EXIT_CODE)), entries, segments)
+
+
+def idn_facts(spark: SparkSession, d: str) -> DataFrame:
+    """IDN-6: every extracted fact with its canonical value's digest, fingerprint and id."""
+    rows = facts_of(adapters.entries(spark, d), adapters.segments(spark, d))
+    return rows.select("doc", "ordinal", "segment", "kind", F.sha2("value_json", 256).alias("value_digest"), "fingerprint", "fact_id")
+
+
 _TRIM = "chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(133)||chr(160)"
 
 
@@ -144,6 +160,35 @@ r as (
 select o.doc, coalesce(sum(e), 0)::bigint emitted_bytes, count(case when coalesce(e, 0) < strlen(o.v) then 1 end) truncated, count(case when e is null then 1 end) omitted from o left join r using (doc, k) group by 1
 """
 
+_S = lambda x: f"replace(replace(replace(to_json({x})::varchar, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"
+_O = lambda k, x: f"""coalesce(',"{k}":' || {_S(f"nullif({x}, '')")}, '')"""
+_EMPTY = lambda x: _S(f"coalesce({x}, '')")
+_TEXT = f"""'{{"text":' || {_S("emitted")} || ',"truncated":' || truncated || ',"originalUtf8Bytes":' || original_bytes || ',"emittedUtf8Bytes":' || strlen(emitted) || ',"contentHash":{{"scheme":"sha256-utf8-v1","digest":"' || sha256("value") || '"}}}}'"""
+_WHOLE = lambda seg: f"""'{{"id":"' || id || '","sourceKind":"sessions","sourceIdentity":' || {_S("doc")} || ',"documentDigestScheme":"sha256-sessions-document-jcs-v1","documentDigest":' || {_EMPTY("digest")} || ',"entryOrdinal":' || ordinal || {seg} || {_O("entryKind", "kind")} || {_O("actor", "actor")}"""
+_TAIL = f"""coalesce(',"relatedEntryOrdinal":' || related, '') || {_O("toolCallId", "call_id")} || {_O("toolName", "tool_name")} || {_O("toolNamespace", "tool_namespace")}"""
+#: Every fact with its value and its references written out by the templates.
+_IDN = CTE + f""",
+rk as (select *, case when "value" is not null then row_number() over (partition by doc, "value" is not null order by ordinal, coalesce(segment, -1), step) end k from fa),
+bu as (select *, case when "value" is null then null when k <= {op.MAX_VALUES} then "value" else '' end emitted, strlen("value") original_bytes, k > {op.MAX_VALUES} and strlen("value") > 0 truncated from rk),
+er as (select *, {_ref("doc", "digest", "ordinal", "null", "''")} id from en),
+ws as (
+  select id, {_WHOLE("''")} || {_TAIL} || ',"contentHash":"","excerpt":""}}' w from er
+  union all select id, {_WHOLE("',\"segmentOrdinal\":' || segment")} || {_O("origin", "origin")} || {_O("originConfidence", "origin_confidence")} || {_TAIL} || coalesce(',"contentHashScheme":"sha256-utf8-v1","contentHash":"' || sha256(text) || '"', ',"contentHash":""') || ',"excerpt":""}}'
+    from (select en.*, segment, origin, origin_confidence, text, {_ref("en.doc", "en.digest", "en.ordinal", "segment", "sha256(text)")} id from en join sg using (doc, ordinal))),
+wd as (select distinct id, w from ws),
+vs as (select bu.*, case when bu.kind in ('tool-call', 'tool-result') then '{{"tool":{{"kind":"' || bu.kind[6:] || '"' || {_O("name", "tool_name")} || {_O("namespace", "tool_namespace")} || {_O("callId", "call_id")} || coalesce(',"relatedEntryOrdinal":' || related, '') || '}}}}'
+    when bu.kind = 'command' then '{{"command":' || {_TEXT} || '}}' when bu.kind = 'test-command' then '{{"test":{{"framework":"' || framework || '","command":' || {_TEXT} || '}}}}' when bu.kind = 'exit-code' then '{{"exitCode":' || exit_code || '}}'
+    when bu.kind = 'test-result' then '{{"test":{{"framework":"' || framework || '"' || coalesce(',"passed":' || passed, '') || coalesce(',"failed":' || failed, '') || coalesce(',"skipped":' || skipped, '') || '}},"exitCode":' || exit_code || '}}'
+    else '{{"error":' || {_TEXT} || '}}' end v,
+    '{{"sourceKind":"sessions","canonicalId":' || {_S("doc")} || ',"nativeSourceKind":' || {_EMPTY("source_kind")} || ',"sourceInstanceId":' || {_EMPTY("source_instance_id")} || ',"nativeId":' || {_EMPTY("native_id")}
+      || ',"documentDigest":{{"scheme":"sha256-sessions-document-jcs-v1","digest":' || {_EMPTY("digest")} || '}}}}' rev
+  from bu join (select doc, ordinal, digest, tool_name, tool_namespace, call_id, related, source_kind, source_instance_id, native_id from en) using (doc, ordinal)),
+fp as (select vs.*, sha256('{{"Revision":' || rev || ',"Kind":"' || kind || '","Value":' || v || ',"Outcome":"' || outcome || '","Rule":"' || parse_rule || '","Extractor":"sessions-deterministic-facts","Version":"1","Schema":1,"Evidence":['
+    || a.w || coalesce(',' || b.w, '') || ']}}') f
+  from vs join wd a on a.id = split_part(evidence, ',', 1) left join wd b on b.id = nullif(split_part(evidence, ',', 2), ''))
+select doc, ordinal, segment, kind, sha256(v) value_digest, f fingerprint, 'fact_' || left(sha256(f), 32) fact_id from fp
+"""
+
 ORACLE = {
     "fct_facts": CTE + 'select doc, ordinal, segment, kind, "value", framework, passed, failed, skipped, exit_code, outcome, parse_rule, evidence from fa',
     "fct_commands": CTE + "select doc, ordinal, segment, command, framework from cmds",
@@ -161,9 +206,12 @@ ORACLE = {
       select fact_id, violation from (select fact_id, case when coalesce(kind, '') = '' or coalesce(parse_rule, '') = '' then 'fields' when not coalesce(outcome in ('success', 'failure', 'unknown', 'not-applicable'), false) then 'outcome'
         when o is null then 'value' when len(ts) > 1 then 'texts' when len(list_filter(ts, lambda x: strlen(x) > {op.MAX_VALUE_BYTES})) > 0 then 'text-size' when len(ids) = 0 then 'no-evidence'
         when len(list_distinct(ids)) <> len(ids) then 'repeated-evidence' when lost then 'unknown-evidence' when lo <> hi then 'several-documents' end violation from t) where violation is not null""",
+    "idn_stored": f"""with ev as ({adapters.EVIDENCE}) select case when digest is null then 'no-entry' when content_hash is distinct from sha256(text) then 'content-hash'
+      when {_ref("doc", "digest", "ordinal", "segment", "sha256(text)")} is distinct from evidence_id then 'id' else 'equal' end problem, count(*) n from ev group by 1""",
+    "idn_facts": _IDN,
     "idn_references": f"""with en as ({adapters.ENTRIES}), sg as ({adapters.SEGMENTS}),
       u as (select doc, digest, ordinal, null::bigint segment, null::varchar h from en union all select e.doc, digest, e.ordinal, segment, sha256(text) from en e join sg using (doc, ordinal))
       select doc, ordinal, segment, {_ref("doc", "digest", "ordinal", "segment", "h")} reference_id from u""",
 }
 
-QUERIES = {f.__name__: f for f in (fct_facts, fct_commands, fct_results, fct_outcomes, fct_budget, fct_small_budget, fct_omissions, fct_violations, idn_references)}
+QUERIES = {f.__name__: f for f in (fct_facts, fct_commands, fct_results, fct_outcomes, fct_budget, fct_small_budget, fct_omissions, fct_violations, idn_references, idn_stored, idn_facts)}

@@ -13,13 +13,6 @@ from .claim_queries import CANDIDATES, FACTS, candidates
 
 
 
-def idn_facts(spark: SparkSession, d: str) -> DataFrame:
-    """IDN-6: facts by an identity of their content, and those stored under an id that another content has too."""
-    rows = adapters.facts(spark, d)
-    mark = identity.fact_fingerprint(F.lit("null"), F.col("kind"), identity.string("value_json"), F.col("outcome"), F.col("parse_rule"), F.col("extractor_name"), F.col("extractor_version"), F.col("schema_version"), F.col("evidence_ids"))
-    return rows.select("fact_id", mark.alias("fingerprint"), identity.derived_id("fact_", mark).alias("derived_id"))
-
-
 def _key() -> Column:
     return identity.fingerprint(identity.record([("Batch", identity.string("batch")), ("Document", identity.string("doc"))]))
 
@@ -79,10 +72,6 @@ def _l(x: str) -> str:
 _N = lambda x: f"nullif(regexp_replace({x}::varchar, '\\.0$', ''), 'nan')"
 _J = "json_extract_string(model_json, '$.{}')"
 ORACLE = {
-    "idn_facts": f"""with f as ({FACTS}),
-      g as (select fact_id, sha256('{{"Revision":null,"Kind":' || {_s("kind")} || ',"Value":' || {_s("value_json")} || ',"Outcome":' || {_s("outcome")} || ',"Rule":' || {_s("parse_rule")} || ',"Extractor":' || {_s("extractor_name")}
-        || ',"Version":' || {_s("extractor_version")} || ',"Schema":' || schema_version || ',"Evidence":' || {_l("evidence_ids")} || '}}') fingerprint from f)
-      select fact_id, fingerprint, 'fact_' || left(sha256(fingerprint), 32) derived_id from g""",
     "idn_claims": f"""with ca as ({CANDIDATES}), k as (select *, sha256('{{"Batch":"' || batch || '","Document":"' || doc || '"}}') pk from ca),
       g as (select candidate_id, sha256('{{"ProcessingKey":"' || pk || '","Type":' || {_s("claim_type")} || ',"Statement":' || {_s("statement")} || ',"Status":' || {_s("status")} || ',"Confidence":' || coalesce({_N("round(confidence, 3)")}, 'null')
         || ',"SupportingEvidence":' || {_l("coalesce(supporting, []::varchar[])")} || ',"ContradictingEvidence":' || {_l("coalesce(contradicting, []::varchar[])")} || ',"SupportingFactIDs":' || case when len(fact_ids) > 0 then {_l("fact_ids")} else 'null' end
@@ -100,4 +89,4 @@ ORACLE = {
       select case when model_json is null then 'no-object' when rm is null then 'route' when m is null or p is null then 'unresolved' when m <> rm or p <> rp then 'rewritten' when i < 0 or o < 0 or t < 0 or i + o <> t then 'usage' when la < 0 then 'latency'
         when not regexp_matches(c, '^[0-9]+(\\.[0-9]+)?$') then 'cost' when length(r) > 256 then 'request-id' else 'sound' end problem, count(*) n from x group by 1""",
 }
-QUERIES = {f.__name__: f for f in (idn_facts, idn_claims, sel_projection, adm_models)}
+QUERIES = {f.__name__: f for f in (idn_claims, sel_projection, adm_models)}
