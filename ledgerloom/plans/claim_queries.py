@@ -112,8 +112,12 @@ def prepared(spark: SparkSession, d: str) -> DataFrame:
 
 def run_claims(spark: SparkSession, d: str) -> DataFrame:
     """SEL-11, 12, 14, 15, PRV-17, 19, IDN-8, RUN-2, 3, ADM-17: every analysis prepared or failed, with the lineage it reached."""
-    columns = ("analysis", "problem", "n_entries", "n_segments", "n_facts", "coverage", "request_bytes", "input_digest", "processing_key")
-    return prepared(spark, d).select(*columns, F.size("fact_ids").alias("input_facts"), F.sha2("run_selection_json", 256).alias("run_selection"), F.array_join("blocked", ",").alias("blocked"), F.to_json("redactions").alias("redactions"))
+    return prepared(spark, d).select("analysis", "problem", "n_segments", "n_facts", "coverage", "request_bytes", "input_digest", "processing_key")
+
+
+def run_policies(spark: SparkSession, d: str) -> DataFrame:
+    """SEL-12, PRV-16, 17: the run's view of each prepared selection, and what the policy did to its input."""
+    return prepared(spark, d).select("analysis", F.sha2("run_selection_json", 256).alias("run_selection"), F.array_join("blocked", ",").alias("blocked"), F.to_json("redactions").alias("redactions"))
 
 
 def run_lineage(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +187,24 @@ sx as (select *, '{{"mode":"' || case when explicit then 'range' else 'complete'
     || ',"truncatedTextSegments":0,"truncatedFactTexts":0,"canonicalOmittedSegments":' || om || ',"excludedFactCount":' || ex || ',"coverage":"' || cov || '"}}' s from si),
 sy as (select *, strlen('{{"schemaVersion":1,"disposition":"untrusted-evidence","selection":' || s || ',"entries":' || e || ',"facts":' || f || ',"omissions":{{"factAnalysis":{{"canonicalSegments":' || om || ',"omittedTextFactCount":0,"omittedTextOriginalUtf8Bytes":0,"unknownLineage":false}}}}}}') w from sx)
 """
+_RJ = lambda f: _J(f"coalesce(json_extract_string(j, '$.requestedRoute.{f}'), '')")
+#: Prepared analyses of texts in which the policy finds nothing.
+PREPARED = _SEL + f""",
+dt as (select analysis_id, schema_name, schema_version, schema_digest, case when json_valid(model_json) and json_type(model_json) = 'OBJECT' then model_json end j from semantic_details),
+rt as (select analysis_id, coalesce(json_extract_string(j, '$.promptVersion'), '') prompt, '{{"name":' || {_J("schema_name")} || ',"version":' || schema_version || ',"disposition":"strict","digest":"' || schema_digest || '"}}' sch,
+    coalesce({" and ".join(f"length(json_extract_string(j, '$.requestedRoute.{f}')) > 0" for f in identity.ROUTE_FIELDS)} and json_extract_string(j, '$.requestedRoute.privacyPolicyVersion') = '{workflow.POLICY}', false) good,
+    '{{{",".join(f""""{f}":' || {_RJ(f)} || '""" for f in identity.ROUTE_FIELDS)}}}' route from dt),
+en1 as (select distinct on (doc) doc, coalesce(digest, '') dg, coalesce(source_kind, '') sk, coalesce(source_instance_id, '') si, coalesce(native_id, '') ni from en order by doc, dg, sk, si, ni),
+sz as (select sy.*, sx2.wj from sy join (select analysis, '{{"schemaVersion":1,"disposition":"untrusted-evidence","selection":' || s || ',"entries":' || e || ',"facts":' || f || ',"omissions":{{"factAnalysis":{{"canonicalSegments":' || om || ',"omittedTextFactCount":0,"omittedTextOriginalUtf8Bytes":0,"unknownLineage":false}}}}}}' wj from sx) sx2 using (analysis)),
+fi as (select analysis, '[' || string_agg('"' || fact_id || '"', ',' order by ordinal, fact_id) || ']' ids, count(*) n from fs group by 1),
+p0 as (select rs.analysis, rs.doc, case when not good then '{workflow.INVALID}' when problem is not null then problem when ne + ns > {workflow.MAX_REFERENCES} or nf > {workflow.MAX_FACTS} or strlen(e) > {workflow.MAX_EVIDENCE_BYTES} or strlen(f) > {workflow.MAX_FACT_BYTES} or w > {workflow.MAX_INPUT_BYTES} then '{workflow.TOO_LARGE}' end problem,
+    ne, ns, nf, cov, wj, s, prompt, sch, route, coalesce(ids, '[]') ids, dg, sk, si, ni
+  from rs join rt on rt.analysis_id = rs.analysis left join sz using (analysis) left join fi using (analysis) left join en1 on en1.doc = rs.doc),
+pr as (select *, sha256(wj) input_digest, strlen('{{"instructions":"","promptVersion":' || {_J("prompt")} || ',"schema":' || sch || ',"route":' || route || ',"input":' || wj || '}}') request_bytes,
+    sha256('{{"Revision":{{"sourceKind":"sessions","canonicalId":' || {_J("doc")} || ',"nativeSourceKind":' || {_J("sk")} || ',"sourceInstanceId":' || {_J("si")} || ',"nativeId":' || {_J("ni")} || ',"documentDigest":{{"scheme":"sha256-sessions-document-jcs-v1","digest":' || {_J("dg")}
+      || '}}}},"Selection":' || s || ',"InputFactIDs":' || ids || ',"InputDigest":"' || sha256(wj) || '","Extractor":"semantic-claims","ExtractorVersion":"1","Schema":' || sch || ',"PromptVersion":' || {_J("prompt")} || ',"Route":' || route || ',"RouteConfig":"' || sha256(route)
+      || '","PrivacyVersion":"{workflow.POLICY}"}}') processing_key from p0)
+"""
 _LINKED = "(a.ordinal = b.ordinal or (a.call_id <> '' and a.call_id = b.call_id) or a.related = b.ordinal or b.related = a.ordinal or a.related = b.related)"
 _AT = lambda c: f"list_min(list_filter(list_transform(range(1, len({_IDS(c)}) + 1), lambda i: case when coalesce({_IDS(c)}[i], '') = '' or list_position({_IDS(c)}, {_IDS(c)}[i]) < i then i end), lambda i: i is not null))"
 _CHECKS = lambda c, n, u, names: f"when len({_IDS(c)}) > {n} then '{names[0]}' when rep_{c} is not null and rep_{c} <= coalesce({u}, 1000000) then '{names[1]}' when {u} is not null then '{names[2]}'"
@@ -242,6 +264,8 @@ ORACLE = {
     "sel_inputs": _SEL + f"""select analysis, ne n_entries, ns n_segments, nf n_facts, ex excluded, bytes original, bytes emitted, 0 cut, om omitted, cov coverage, strlen(e) entries_bytes, strlen(f) facts_bytes, w input_bytes,
       ne + ns > {workflow.MAX_REFERENCES} or nf > {workflow.MAX_FACTS} or strlen(e) > {workflow.MAX_EVIDENCE_BYTES} or strlen(f) > {workflow.MAX_FACT_BYTES} or w > {workflow.MAX_INPUT_BYTES} "over",
       sha256(e) entries_digest, sha256(f) facts_digest, sha256(s) selection_digest from sy""",
+    "run_claims": PREPARED + """select analysis, problem, case when wj is not null and problem is null then ns end n_segments, case when wj is not null and problem is null then nf end n_facts, case when problem is null then cov end coverage,
+      case when problem is null then request_bytes end request_bytes, case when problem is null then input_digest end input_digest, case when problem is null then processing_key end processing_key from pr""",
     "sel_references": _SEL + "select analysis, count(*) n, count(case when k > 1 then 1 end) collisions from (select analysis, evidence_id, count(*) k from ss group by all) group by 1",
     "res_claims": f"""with ev as ({EVIDENCE}), ca as ({CANDIDATES}), ids as (select candidate_id, doc, unnest(l) evidence_id, generate_subscripts(l, 1) - 1 place from (select candidate_id, doc, list_concat({_IDS("supporting")}, {_IDS("contradicting")}) l from ca)),
       fi as (select candidate_id, doc, evidence_id, min(place) place from ids group by all), j as (select fi.*, ev.evidence_id is not null ok, ev.text from fi left join ev on ev.evidence_id = fi.evidence_id and ev.doc = fi.doc)
@@ -250,4 +274,4 @@ ORACLE = {
       select fact_id, count(*) missing from e where not exists (select 1 from ev where ev.evidence_id = e.evidence_id and ev.doc = e.doc) group by 1""",
 }
 
-QUERIES = {f.__name__: f for f in (adm_candidates, adm_batches, adm_linked, adm_privacy, sel_ranges, sel_inputs, sel_references, run_claims, run_lineage, res_claims, res_facts)}
+QUERIES = {f.__name__: f for f in (adm_candidates, adm_batches, adm_linked, adm_privacy, sel_ranges, sel_inputs, sel_references, run_claims, run_policies, run_lineage, res_claims, res_facts)}
