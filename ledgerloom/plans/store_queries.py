@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions.text import clean_id, sql_clean_id
-from ..operators import evaluation, events as op
-from ..session import table
+from ..operators import evaluation, events as op, records, workflow
+from ..session import cut, scratch, table
 from . import adapters
 from .claim_queries import CANDIDATES, FACTS, candidates, facts
 from .commit import RunStore
+from .fact_queries import CTE as FACT_CTE
+from .fact_queries import facts_of
 
-#: The run store, beside the tables.
-RUN_STORE = "run_store"
 #: The first delivery of each event; its outbox record follows from the delivery's number (some records are invalid).
 EVENTS = adapters.EVENTS
 OUTBOX = f"""
@@ -68,24 +68,81 @@ def sto_run_facts(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("analysis_run_id").agg(F.sum("c").alias("n"), ((F.max("c") == 1) & (F.min("ordinal") == 0) & (F.max("ordinal") == F.sum("c") - 1)).alias("in_order"))
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    """A fact run per session: its processing key over the revision and the selection."""
-    each = adapters.entries(spark, d).groupBy(F.col("doc"), "digest", "source_kind", "source_instance_id", "native_id").agg(F.count(F.lit(1)).alias("entries"))
-    rev = identity.record([("canonicalId", identity.string("doc")), ("nativeSourceKind", identity.string("source_kind")), ("sourceInstanceId", identity.string("source_instance_id")), ("nativeId", identity.string("native_id")), ("digest", identity.string("digest"))])
-    body = identity.record([("Revision", rev), ("Selection", identity.number("entries")), ("Extractor", identity.string(F.lit("facts"))), ("Version", identity.string(F.lit("1"))), ("Schema", identity.number(F.lit(1)))])
-    return each.select("doc", identity.fingerprint(body).alias("processing_key"))
+def idn_processing_keys(spark: SparkSession, d: str) -> DataFrame:
+    """IDN-7: the processing key of each document's fact run, over its revision and its whole selection."""
+    return workflow.fact_runs(workflow.documents(adapters.entries(spark, d), adapters.segments(spark, d)))
 
 
-def idn_processing_keys(spark: SparkSession, d: str) -> DataFrame:
-    """IDN-7: the processing key of each session's fact run."""
-    return _runs(spark, d)
+#: The first pass of the incremental fact stage takes the documents whose digest begins below this hex digit.
+FIRST_PASS = "8"
 
 
 def run_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """RUN-1, STO-6, 7, 11: of all runs, those whose key is committed in the run store beside the tables are reused, the others are to be done."""
-    now = _runs(spark, d)
-    due = RunStore(spark, f"{d}/{RUN_STORE}").pending(now, "processing_key").select("processing_key", F.lit(False).alias("reused")).distinct()
-    return now.join(due, "processing_key", "left").groupBy(F.coalesce("reused", F.lit(True)).alias("reused")).agg(F.count(F.lit(1)).alias("runs"))
+    """RUN-1, STO-5 to 11: facts of documents in two passes through a run store; the second reuses what the first committed.
+
+    A pass reads the committed keys, extracts the facts of the other documents, and commits
+    runs and facts together; the rows are read back from the store.
+    """
+    store = RunStore(spark, scratch(spark, "runs"))
+    entries, segments = adapters.entries(spark, d), adapters.segments(spark, d)
+    keys = cut(workflow.fact_runs(workflow.documents(entries, segments)))
+    for name, wanted in (("first", keys.join(entries.filter(F.substring("digest", 1, 1) < FIRST_PASS).select("doc").distinct(), "doc", "left_semi")), ("second", keys)):
+        due = wanted if name == "first" else wanted.join(store.read("runs").select("processing_key"), "processing_key", "left_anti")
+        own = due.select("doc")
+        found = facts_of(entries.join(own, "doc", "left_semi"), segments.join(own, "doc", "left_semi"))
+        store.commit(name, {"runs": due, "facts": found.select("doc", "ordinal", "segment", "step", "kind", "fact_id", "fingerprint", "value_json")})
+    facts_ = store.read("facts").groupBy("run_key").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("fact_id").alias("fact_ids"))
+    runs = store.read("runs").groupBy("run_key").agg(F.count(F.lit(1)).alias("extracted"))
+    asked = keys.agg(F.count(F.lit(1)).alias("asked"))
+    out = runs.join(facts_, "run_key", "left").crossJoin(F.broadcast(asked))  # one row
+    return out.select(F.col("run_key").alias("pass"), "extracted", F.when(F.col("run_key") == "second", F.col("asked") - F.col("extracted")).otherwise(0).alias("reused"), F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("fact_ids", F.lit(0)).alias("fact_ids"))
+
+
+#: What the store must hold.
+REQUIRED = {
+    "facts": ("fact_id", "fingerprint", "analysis_run_id", "ordinal", "value_json", "evidence_ids"), "semantic_details": ("analysis_id", "status", "schema_digest", "model_json"), "claim_candidates": ("candidate_id", "analysis_id", "claim_id"),
+    "domain_events": ("event_id", "fingerprint", "payload_json", "refs", "created_at", "attempt_count"), "event_outbox": ("event_id", "status"),
+}
+
+
+def sto_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """STO-17: the columns the store must have, and whether they are there (an outbox is not among these tables)."""
+    return records.schema_problems(spark, d, REQUIRED)
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Admitted claims and first deliveries, with the ids as they compare."""
+    claims = candidates(spark, d).filter("claim_id is not null").select(clean_id("claim_id").alias("claim_id"), F.col("batch").alias("analysis_id"), "ordinal")
+    told = events(spark, d).select("event_type", clean_id("subject_id").alias("subject_id"), "payload_json", F.transform("refs", lambda r: F.struct(r["record_type"].alias("record_type"), clean_id(r["record_id"]).alias("record_id"))).alias("refs"))
+    return claims, told
+
+
+def sto_completed(spark: SparkSession, d: str) -> DataFrame:
+    """STO-18: completed analyses by the first rule that their claims and events break."""
+    claims, told = _stored(spark, d)
+    return records.completed_records(table(spark, d, "semantic_details").filter("status = 'completed'"), claims, told)
+
+
+def sto_failed(spark: SparkSession, d: str) -> DataFrame:
+    """STO-19: failed analyses by the first rule they break."""
+    claims, told = _stored(spark, d)
+    return records.failed_records(table(spark, d, "semantic_details").filter("status = 'failed'"), claims, told)
+
+
+def sto_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """STO-20: analyses by the first gap in their base lineage."""
+    return records.lineage(table(spark, d, "semantic_details"))
+
+
+def sto_tampered(spark: SparkSession, d: str) -> DataFrame:
+    """STO-21: the events of all claims with their fingerprints recomputed on reading, a part of them changed after they were built."""
+    claims = _claims(spark, d).withColumn("fact_ids", F.array_compact("fact_ids"))
+    made = op.claim_events(claims).unionByName(op.completion_events(claims))
+    last = F.substring("event_id", -1, 1)
+    bent = made.withColumns({"change": F.when(last.isin("0", "1"), "subject").when(last == "2", "id").when(last == "3", "spaces"), "subject_id": F.when(last.isin("0", "1"), F.concat("subject_id", F.lit("x"))).otherwise(F.col("subject_id"))})
+    bent = bent.withColumns({"payload_json": F.when(F.col("change") == "spaces", F.replace("payload_json", F.lit(":"), F.lit(" : "))).otherwise(F.col("payload_json")), "event_id": F.when(F.col("change") == "id", F.concat("event_id", F.lit("0"))).otherwise(F.col("event_id"))})
+    found = records.tampered_events(bent)
+    return bent.select("event_id", "change").join(found, "event_id").groupBy("change", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sto_claim_analyses(spark: SparkSession, d: str) -> DataFrame:
@@ -214,9 +271,17 @@ _CL = f"""with ca as ({CANDIDATES}), cl as (select claim_id, batch analysis_id,
 """
 _KINDS = ", ".join(f"'{k}'" for k in op.REFERENCE_TYPES)
 _B = lambda x, n: f"coalesce(length({x}) > 0 and trim({x}, chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(133)||chr(160)) = {x} and strlen({x}) <= {n}, false)"
-_RUN = f"""with en as ({adapters.ENTRIES}), g as (select doc, digest, source_kind, source_instance_id, native_id, count(*) n from en group by all),
-k as (select doc, sha256('{{"Revision":{{"canonicalId":"' || doc || '","nativeSourceKind":"' || source_kind || '","sourceInstanceId":"' || source_instance_id || '","nativeId":"' || native_id || '","digest":"' || digest
-  || '"}},"Selection":' || n || ',"Extractor":"facts","Version":"1","Schema":1}}') processing_key from g)
+_RUN = f"""with en as ({adapters.ENTRIES}), sg as ({adapters.SEGMENTS}),
+e as (select doc, count(*) n, min(coalesce(digest, '')) dg, min(coalesce(source_kind, '')) sk, min(coalesce(source_instance_id, '')) si, min(coalesce(native_id, '')) ni from en group by doc),
+s as (select doc, count(*) n, coalesce(sum(strlen(text)), 0)::bigint b, count(case when segment_kind = 'omitted' then 1 end) o from sg group by doc),
+k as (select e.doc, dg, sha256('{{"Revision":{{"sourceKind":"sessions","canonicalId":"' || e.doc || '","nativeSourceKind":"' || sk || '","sourceInstanceId":"' || si || '","nativeId":"' || ni || '","documentDigest":{{"scheme":"sha256-sessions-document-jcs-v1","digest":"' || dg
+  || '"}}}},"Selection":{{"mode":"full","relations":{{"selected":0,"total":0,"truncated":false}},"entries":{{"selected":' || e.n || ',"total":' || e.n || ',"truncated":false,"firstOrdinal":0,"lastOrdinal":' || e.n - 1 || '}},"segments":{{"selected":' || coalesce(s.n, 0) || ',"total":' || coalesce(s.n, 0)
+  || ',"truncated":false}},"segmentText":{{"emittedUtf8Bytes":' || coalesce(b, 0) || ',"originalUtf8Bytes":' || coalesce(b, 0) || ',"truncated":false}},"canonicalOmittedSegments":' || coalesce(o, 0) || ',"truncatedTextSegments":0,"coverage":"complete-retained-snapshot"}},"Extractor":"sessions-deterministic-facts","Version":"1","Schema":1}}') processing_key
+  from e left join s using (doc))
+"""
+_OBJ = lambda c: f"(json_type(case when json_valid({c}) then {c} end) = 'OBJECT')"
+_REC = f"""with ev as ({EVENTS}), ca as ({CANDIDATES}), h as (select {sql_clean_id("claim_id")} claim_id, batch analysis_id, min(ordinal) o from ca where claim_id is not null group by all),
+t as (select event_type, {sql_clean_id("subject_id")} sid, payload_json p, list_transform(refs, lambda r: {sql_clean_id("r.record_id")}) ids from ev)
 """
 _CASES = f"""with ca as ({CANDIDATES}), cs as (
   select analysis_id "case", status = 'completed' completed, recorded_at, coalesce((select count(*) from ca where batch = analysis_id), 0) claims,
@@ -226,6 +291,14 @@ _CASES = f"""with ca as ({CANDIDATES}), cs as (
 """
 _DEC = lambda x: f"regexp_replace(regexp_replace(({x})::decimal(38,12)::varchar, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
 
+_BUILT = _CL + """, ce as (select 'claim.admitted' event_type, claim_id subject_id, 'claim' st, '{"analysisId":"' || analysis_id || '","claimId":"' || claim_id || '"}' p,
+        '{"recordType":"analysis","recordId":"' || analysis_id || '"}' || list_aggregate(list_transform(fact_ids, lambda x: ',{"recordType":"fact","recordId":' || to_json(x)::varchar || '}') || [''], 'string_agg', '') refs, len(fact_ids) + 1 nr from cl),
+      ae as (select 'analysis.completed', analysis_id, 'analysis', '{"analysisId":"' || analysis_id || '","claimIds":[' || string_agg('"' || claim_id || '"', ',' order by ordinal, claim_id) || ']}',
+        string_agg('{"recordType":"claim","recordId":"' || claim_id || '"}', ',' order by ordinal, claim_id), count(*) from cl group by analysis_id),
+      u as (select * from ce union all select * from ae), f as (select *, sha256('{"SchemaVersion":1,"Type":"' || event_type || '","SubjectType":"' || st || '","SubjectID":"' || subject_id || '","Payload":' || p || ',"References":[' || refs || ']}') fp from u)
+, bt as (select event_type, subject_id, 'evt_' || left(sha256(fp), 32) event_id, fp fingerprint, nr "references" from f)
+"""
+
 ORACLE = {
     "sto_events": _EV + "select event_id, event_type, subject_id, attempt_count, last_failure from ev join ob using (event_id) where status = 'pending'",
     "sto_event": _EV + "select event_id, event_type, subject_id, status, attempt_count from ev join ob using (event_id) where event_id = (select max(event_id) from ev)",
@@ -236,7 +309,22 @@ ORACLE = {
         where k.t = r.record_type and k.i = r.record_id) group by 1""",
     "sto_run_facts": f"with f as ({FACTS}) select analysis_run_id, count(*) n, count(*) = count(distinct ordinal) and min(ordinal) = 0 and max(ordinal) = count(*) - 1 in_order from f group by 1",
     "idn_processing_keys": _RUN + "select doc, processing_key from k",
-    "run_incremental": _RUN + "select left(processing_key, 1) < '8' reused, count(*) runs from k group by 1",
+    "run_incremental": FACT_CTE + """, ks as (select doc, min(digest) dg, bool_or(left(digest, 1) < '8') early from en group by doc), fn as (select doc, count(*) n from fa group by 1),
+      g as (select case when early then 'first' else 'second' end "pass", count(*) extracted, coalesce(sum(n), 0)::bigint facts from ks left join fn using (doc) group by 1)
+      select "pass", extracted, case when "pass" = 'second' then (select count(*) from ks) - extracted else 0 end reused, facts, facts fact_ids from g""",
+    "sto_catalog": "select t.table_name, t.column_name, exists (select 1 from information_schema.columns c where c.table_name = t.table_name and c.column_name = t.column_name) present from (values " + ", ".join(f"('{t}', '{c}')" for t, cs in REQUIRED.items() for c in cs) + ") t(table_name, column_name)",
+    "sto_completed": _REC + """, ce as (select sid, count(*) n, min(ids[1]) r, min(case when json_valid(p) then json_extract_string(p, '$.analysisId') end) a from t where event_type = 'claim.admitted' group by 1),
+      x as (select analysis_id, bool_or(coalesce(n <> 1, true)) un, bool_or(not coalesce(r = analysis_id and a = analysis_id, false)) el, list(claim_id order by o, claim_id) ids from h left join ce on sid = claim_id group by 1),
+      dn as (select sid, count(*) n, min(ids) ids from t where event_type = 'analysis.completed' group by 1)
+      select s.analysis_id, case when coalesce(un, false) then 'claim-event' when coalesce(el, false) then 'claim-event-analysis' when coalesce(dn.n <> 1, true) then 'completion-event' when coalesce(x.ids, []::varchar[]) <> coalesce(dn.ids, []::varchar[]) then 'completion-claims' end problem
+      from semantic_details s left join x using (analysis_id) left join dn on dn.sid = s.analysis_id where s.status = 'completed'""",
+    "sto_failed": _REC + f"""select analysis_id, case when analysis_id in (select analysis_id from h) then 'admitted-claims' when analysis_id in (select sid from t where sid is not null) then 'events'
+      when coalesce({_OBJ("semantic_selection_json")}, false) and not coalesce({_OBJ("privacy_report_json")}, false) then 'selection-without-policy' when coalesce({_OBJ("model_json")}, false) and not coalesce({_OBJ("semantic_selection_json")}, false) then 'model-without-selection' end problem
+      from semantic_details where status = 'failed'""",
+    "sto_lineage": f"""select analysis_id, case when coalesce(session_id, '') = '' then 'source' when coalesce(schema_name, '') = '' then 'schema-name' when coalesce(schema_version < 1, true) then 'schema-version' when not coalesce(regexp_full_match(schema_digest, '[0-9a-f]{{64}}'), false) then 'schema-digest'
+      when not coalesce({_OBJ("model_json")}, false) then 'model' when coalesce(json_extract_string(case when json_valid(model_json) then model_json end, '$.requestedRoute.alias'), '') = '' then 'route' when recorded_at is null then 'time' end problem from semantic_details""",
+    "sto_tampered": _BUILT + """, z as (select case when right(event_id, 1) in ('0', '1') then 'subject' when right(event_id, 1) = '2' then 'id' when right(event_id, 1) = '3' then 'spaces' end change from bt)
+      select change, case change when 'subject' then 'fingerprint' when 'id' then 'id' end problem, count(*) n from z group by all""",
     "sto_claim_analyses": f"""with ev as ({EVENTS}), ca as ({CANDIDATES}), h as (select batch, {sql_clean_id("claim_id")} claim_id from ca where claim_id is not null),
       t as (select distinct {sql_clean_id("subject_id")} i from ev where subject_type = 'claim'), a as (select distinct {sql_clean_id("subject_id")} i from ev where subject_type = 'analysis')
       select analysis_id, (select count(*) from h where batch = analysis_id) claims, (select count(*) from h where batch = analysis_id and claim_id in (select i from t)) claim_events,
@@ -258,12 +346,7 @@ ORACLE = {
         when event_type = 'claim.admitted' then case when not coalesce(subject_type = 'claim' and nk = 2 and c = subject_id and kinds[1] = 'analysis' and ids[1] = a and len(list_filter(kinds[2:], lambda k: k <> 'fact')) = 0 and len(list_distinct(ids[2:])) = len(ids[2:]), false) then 'claim-contract' end
         when event_type = 'analysis.completed' then case when not coalesce(subject_type = 'analysis' and nk = 2 and a = subject_id and cs = ids and len(list_filter(kinds, lambda k: k <> 'claim')) = 0 and len(list_distinct(ids)) = len(ids), false) then 'completion-contract' end
         else 'type' end problem, count(*) n from f group by 1""",
-    "evt_built": _CL + """, ce as (select 'claim.admitted' event_type, claim_id subject_id, 'claim' st, '{"analysisId":"' || analysis_id || '","claimId":"' || claim_id || '"}' p,
-        '{"recordType":"analysis","recordId":"' || analysis_id || '"}' || list_aggregate(list_transform(fact_ids, lambda x: ',{"recordType":"fact","recordId":' || to_json(x)::varchar || '}') || [''], 'string_agg', '') refs, len(fact_ids) + 1 nr from cl),
-      ae as (select 'analysis.completed', analysis_id, 'analysis', '{"analysisId":"' || analysis_id || '","claimIds":[' || string_agg('"' || claim_id || '"', ',' order by ordinal, claim_id) || ']}',
-        string_agg('{"recordType":"claim","recordId":"' || claim_id || '"}', ',' order by ordinal, claim_id), count(*) from cl group by analysis_id),
-      u as (select * from ce union all select * from ae), f as (select *, sha256('{"SchemaVersion":1,"Type":"' || event_type || '","SubjectType":"' || st || '","SubjectID":"' || subject_id || '","Payload":' || p || ',"References":[' || refs || ']}') fp from u)
-      select event_type, subject_id, 'evt_' || left(sha256(fp), 32) event_id, fp fingerprint, nr "references" from f""",
+    "evt_built": _BUILT + "select event_type, subject_id, event_id, fingerprint, \"references\" from bt",
     "evl_report": _CASES + f"""select count(*) cases, count_if(completed)::bigint completed, count_if(completed and claims = 0)::bigint empty, sum(claims)::bigint claims, count(tokens) token_cases, sum(tokens)::bigint tokens,
       (sum(latency) // count(latency))::bigint mean_latency, quantile_disc(latency, 0.5) p50_latency, quantile_disc(latency, 0.95) p95_latency, max(latency) max_latency, {_DEC("sum(cost)")} total_cost,
       {_DEC("((sum(cost) * 1000000000000)::hugeint / count(cost))::decimal(38,0) * 0.000000000001")} mean_cost, count(cost) cost_cases from cs""",
@@ -287,7 +370,7 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        sto_events, sto_event, sto_next_pending, sto_missing_references, sto_run_facts, idn_processing_keys, run_incremental, sto_claim_analyses, sto_constraints, sto_outbox_next, obx_states, evt_contract, evt_built,
+        sto_events, sto_event, sto_next_pending, sto_missing_references, sto_run_facts, idn_processing_keys, run_incremental, sto_catalog, sto_completed, sto_failed, sto_lineage, sto_tampered, sto_claim_analyses, sto_constraints, sto_outbox_next, obx_states, evt_contract, evt_built,
         evl_report, evl_failures, evl_expectations, evl_citations, evl_review_template, evl_attempted, evl_scores, evl_useful, evl_stale,
     )
 }
