@@ -18,7 +18,7 @@ def report(cases: DataFrame) -> DataFrame:
     total, n = F.sum(cost), F.count(cost)
     return cases.agg(
         F.count(F.lit(1)).alias("cases"), F.count_if(F.col("completed")).alias("completed"), F.count_if(F.col("completed") & (F.col("claims") == 0)).alias("empty"), F.sum("claims").alias("claims"),
-        F.count(tokens).alias("token_cases"), F.sum(tokens).alias("tokens"), F.expr("sum(latency) div count(latency)").alias("mean_latency"),
+        F.count(tokens).alias("token_cases"), F.count(latency).alias("latency_cases"), F.sum(tokens).alias("tokens"), F.expr("sum(latency) div count(latency)").alias("mean_latency"),
         F.expr("percentile_disc(0.5) within group (order by latency)").cast("bigint").alias("p50_latency"), F.expr("percentile_disc(0.95) within group (order by latency)").cast("bigint").alias("p95_latency"),
         F.max(latency).alias("max_latency"), decimal_text(total).alias("total_cost"), decimal_text(F.round(total / n, 12)).alias("mean_cost"), n.alias("cost_cases"),
     )

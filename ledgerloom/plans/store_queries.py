@@ -10,7 +10,8 @@ from ..functions.text import clean_id, sql_clean_id
 from ..operators import evaluation, events as op, records, workflow
 from ..session import cut, scratch, table
 from . import adapters
-from .claim_queries import CANDIDATES, FACTS, candidates, facts
+from .claim_queries import CANDIDATES, FACTS, adm_batches, candidates, facts
+from .claim_queries import ORACLE as CLAIM_ORACLE
 from .commit import RunStore
 from .fact_queries import CTE as FACT_CTE
 from .fact_queries import facts_of
@@ -210,8 +211,8 @@ def evl_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evl_failures(spark: SparkSession, d: str) -> DataFrame:
-    """EVL-2: analyses by status and schema."""
-    return table(spark, d, "semantic_details").groupBy("status", "schema_name", "schema_version").agg(F.count(F.lit(1)).alias("n"))
+    """EVL-2: batches by the category they fail with; admitted ones have none."""
+    return adm_batches(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def evl_expectations(spark: SparkSession, d: str) -> DataFrame:
@@ -299,6 +300,7 @@ _BUILT = _CL + """, ce as (select 'claim.admitted' event_type, claim_id subject_
 , bt as (select event_type, subject_id, 'evt_' || left(sha256(fp), 32) event_id, fp fingerprint, nr "references" from f)
 """
 
+ORACLE_OF_BATCHES = CLAIM_ORACLE["adm_batches"]
 ORACLE = {
     "sto_events": _EV + "select event_id, event_type, subject_id, attempt_count, last_failure from ev join ob using (event_id) where status = 'pending'",
     "sto_event": _EV + "select event_id, event_type, subject_id, status, attempt_count from ev join ob using (event_id) where event_id = (select max(event_id) from ev)",
@@ -347,10 +349,10 @@ ORACLE = {
         when event_type = 'analysis.completed' then case when not coalesce(subject_type = 'analysis' and nk = 2 and a = subject_id and cs = ids and len(list_filter(kinds, lambda k: k <> 'claim')) = 0 and len(list_distinct(ids)) = len(ids), false) then 'completion-contract' end
         else 'type' end problem, count(*) n from f group by 1""",
     "evt_built": _BUILT + "select event_type, subject_id, event_id, fingerprint, \"references\" from bt",
-    "evl_report": _CASES + f"""select count(*) cases, count_if(completed)::bigint completed, count_if(completed and claims = 0)::bigint empty, sum(claims)::bigint claims, count(tokens) token_cases, sum(tokens)::bigint tokens,
+    "evl_report": _CASES + f"""select count(*) cases, count_if(completed)::bigint completed, count_if(completed and claims = 0)::bigint empty, sum(claims)::bigint claims, count(tokens) token_cases, count(latency) latency_cases, sum(tokens)::bigint tokens,
       (sum(latency) // count(latency))::bigint mean_latency, quantile_disc(latency, 0.5) p50_latency, quantile_disc(latency, 0.95) p95_latency, max(latency) max_latency, {_DEC("sum(cost)")} total_cost,
       {_DEC("((sum(cost) * 1000000000000)::hugeint / count(cost))::decimal(38,0) * 0.000000000001")} mean_cost, count(cost) cost_cases from cs""",
-    "evl_failures": "select status, schema_name, schema_version, count(*) n from semantic_details group by all",
+    "evl_failures": f"select category, count(*) n from ({ORACLE_OF_BATCHES}) group by 1",
     "evl_expectations": _CASES + """, k as (select batch, count(*) n, count(case when claim_type = 'verification' then 1 end) v, count(case when outcome = 'failure' then 1 end) f from ca group by 1),
       j as (select coalesce(n, 0) n, coalesce(v, 0) v, coalesce(f, 0) f from cs left join k on batch = "case" where completed)
       select 'must-be-empty' kind, '' "value", count(*) evaluated, count(case when n = 0 then 1 end) passed from j
@@ -363,7 +365,7 @@ ORACLE = {
     "evl_scores": """with r as (select doc_id, min(label) label from doc_labels group by 1), j as (select coalesce(label, 'unreviewed') label from documents left join r using (doc_id))
       select n.label, (select count(*) from j where j.label = n.label) n from (select unnest(['prose', 'list', 'table', 'log', 'code', 'junk', 'useful', 'unreviewed']) label) n""",
     "evl_useful": "select count(distinct session_id) sessions from documents where doc_id in (select doc_id from (select doc_id, min(label) l from doc_labels group by 1) where l = 'prose')",
-    "evl_stale": """select 'unknown' problem, count(distinct doc_id) n from doc_labels where doc_id not in (select doc_id from documents where doc_id % 5 > 0) having count(*) > 0
+    "evl_stale": """select 'unknown' problem, count(distinct doc_id) n from doc_labels where doc_id not in (select doc_id from documents) having count(*) > 0
       union all select 'duplicate', count(*) from (select doc_id from doc_labels group by 1 having count(*) > 1) having count(*) > 0""",
 }
 

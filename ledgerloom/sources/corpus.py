@@ -43,7 +43,7 @@ class Corpus:
 
 def load(spark: SparkSession, path: str, digests: list[str]) -> Corpus:
     """The reviewed corpora below ``path``: files within the size cap with one of the digests."""
-    files = reviewed(spark, path, digests, MAX_BYTES).select(F.from_json("text", SCHEMA).alias("c"))
+    files = reviewed(spark, path, digests, MAX_BYTES).filter("failure is null").select(F.from_json("text", SCHEMA).alias("c"))
     cases = files.select(F.posexplode("c.cases").alias("place", "c")).select("place", F.col("c.id").alias("case"), "c.*")
     entries = cases.select("case", F.posexplode("entries").alias("place", "e")).select("case", "place", "e.*")
     segments = entries.select("case", F.col("ordinal").alias("entry"), F.posexplode("segments").alias("place", "s")).select("case", "entry", "place", "s.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,9 +106,17 @@ def _digest(value: object, schemes: tuple[str, ...], record: str) -> bool:
     return digest["scheme"] in schemes and isinstance(digest["digest"], str) and bool(_HEX.match(digest["digest"]))
 
 
+def _utf8(text: str) -> bytes:
+    """The text's bytes; a lone half of a surrogate pair counts as the replacement character."""
+    try:
+        return text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()
+
+
 def _complete(text: dict) -> bool:
     """Whether a selected text is whole and its sizes are right."""
-    return isinstance(text["text"], str) and _whole(text["originalUtf8Bytes"], text["emittedUtf8Bytes"]) and len(text["text"].encode("utf-8", "replace")) == text["emittedUtf8Bytes"] == text["originalUtf8Bytes"] and text["truncated"] is False
+    return isinstance(text["text"], str) and _whole(text["originalUtf8Bytes"], text["emittedUtf8Bytes"]) and len(_utf8(text["text"])) == text["emittedUtf8Bytes"] == text["originalUtf8Bytes"] and text["truncated"] is False
 
 
 def _stamp(value: object) -> bool:
@@ -158,7 +166,7 @@ def _segment(raw: object, place: int) -> tuple[int, int]:
         _need(_complete(segment["text"]), 8, "invalid selected text")
         mark = segment["contentHash"]
         _need(mark.keys() <= _ALLOWED["digest"][1] and mark["scheme"] in CONTENT_SCHEME and isinstance(mark["digest"], str) and _HEX.match(mark["digest"]), 8, "invalid content hash")
-        _need(hashlib.sha256(segment["text"]["text"].encode("utf-8", "replace")).hexdigest() == mark["digest"], 8, "content hash mismatch")
+        _need(hashlib.sha256(_utf8(segment["text"]["text"])).hexdigest() == mark["digest"], 8, "content hash mismatch")
         return 0, segment["text"]["emittedUtf8Bytes"]
     _need(segment.keys() <= _ALLOWED["omittedSegment"][1] and segment["contentClass"] in ENUMS["contentClass"] and segment["sourceType"], 8, "invalid omitted segment")
     return 1, 0
@@ -191,12 +199,19 @@ def _entry(record: dict) -> dict:
 _READERS = {"session": _snapshot, "relation": _relation, "entry": _entry}
 
 
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+_JSON = json.JSONDecoder(parse_constant=_refuse)
+
+
 def read_record(text: str) -> dict:
     """One record with what later checks need, or its first failing check."""
     out: dict = {}
     try:
         try:
-            record = json.loads(text)
+            record = _JSON.decode(text)
         except (ValueError, RecursionError):
             raise Invalid(0, "invalid JSON") from None
         _need(isinstance(record, dict), 1, "invalid record header")
@@ -266,16 +281,79 @@ def accepted(records: DataFrame) -> DataFrame:
     return records.join(judge(records).filter("category is null").select("doc"), "doc", "left_semi")
 
 
+def requested(judged: DataFrame, records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, session_id, category): documents asked for (doc, session_id) with their first violation (SRC-1, VAL-5).
+
+    A document whose head names another session than was asked for breaks on that; one that
+    is not there was not found.
+    """
+    head = records.groupBy("doc").agg(F.min_by("session_id", "line_no").alias("head_id"))
+    j = wanted.join(judged, "doc", "left").join(head, "doc", "left")
+    other = F.when(F.col("head_id").isNull(), "session was not found").when(F.col("head_id") != F.col("session_id"), "exported session does not match the request")
+    return j.select("doc", "session_id", F.coalesce(F.when(F.col("head_id").isNull(), other), "category", other).alias("category"))
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of export files, one document per file; files over the size cap are left out by the scan."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_EXPORT_BYTES)
-    return files.select(F.col("path").alias("doc"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line_no", "record_json"))
+    """(doc, line_no, record_json, failure): lines of export files, one document per file.
+
+    A file over the size cap or with bytes that are no UTF-8 is one row with its failure and
+    no record; the content of the former is not read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    none = F.lit(None).cast("string")
+    large = files.filter(F.col("length") > MAX_EXPORT_BYTES).select(F.col("path").alias("doc"), F.lit(0).alias("line_no"), none.alias("record_json"), F.lit("too-large").alias("failure"))
+    text = F.col("content").cast("string")
+    held = files.filter(F.col("length") <= MAX_EXPORT_BYTES).select(F.col("path").alias("doc"), F.when(F.is_valid_utf8(text), text).alias("text"))
+    lines = held.filter("text is not null").select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "record_json")).withColumn("failure", none)
+    broken = held.filter("text is null").select("doc", F.lit(0).alias("line_no"), none.alias("record_json"), F.lit("invalid-utf8").alias("failure"))
+    return lines.unionByName(large).unionByName(broken)
+
+
+def run_command(spark: SparkSession, ids: DataFrame, runner: Callable[[str], tuple[int, bytes, str]]) -> DataFrame:
+    """(doc, line_no, record_json, failure) of the sessions asked for, exported by a command (SRC-1 to 3).
+
+    ``runner`` gets a session's id and gives exit status, output and error text; it runs on
+    the workers, once for each id of ``ids`` (session_id).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for key in pdf["session_id"]:
+                status, output, error = runner(key)
+                failure = failed_command(status, error) or ("too-large" if len(output) > MAX_EXPORT_BYTES else None)
+                try:
+                    lines = output.decode().split("\n") if failure is None else []
+                except UnicodeDecodeError:
+                    lines, failure = [], "invalid-utf8"
+                out += [(key, i, line, None) for i, line in enumerate(lines)] if failure is None else [(key, 0, None, failure)]
+            yield pd.DataFrame(out, columns=["doc", "line_no", "record_json", "failure"])
+
+    return ids.select("session_id").distinct().mapInPandas(run, "doc string, line_no long, record_json string, failure string")
+
+
+def failed_command(status: int, error: str | None) -> str | None:
+    """A command's exit status and error text as a fixed category; null where it succeeded."""
+    if status == 0:
+        return None
+    text = (error or "").lower()
+    if status < 0 or "cancel" in text:
+        return "canceled"
+    if "too large" in text or "exceeds" in text:
+        return "too-large"
+    if "not found" in text and "session" in text:
+        return "not-found"
+    return "unavailable" if status in (126, 127) or "executable" in text or "no such file" in text else "exit"
 
 
 def reviewed(spark: SparkSession, path: str, digests: list[str], limit: int = 1 << 20) -> DataFrame:
-    """Files within the limit whose SHA-256 is among the reviewed ones: (path, text)."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= limit)
-    return files.filter(F.sha2("content", 256).isin(*digests)).select("path", F.col("content").cast("string").alias("text"))
+    """(path, text, failure): files whose SHA-256 is among the reviewed ones; others without text and with their failure."""
+    files = spark.read.format("binaryFile").load(path)
+    none = F.lit(None).cast("string")
+    large = files.filter(F.col("length") > limit).select("path", none.alias("text"), F.lit("too-large").alias("failure"))
+    known = F.sha2("content", 256).isin(*digests)
+    held = files.filter(F.col("length") <= limit).select("path", F.when(known, F.col("content").cast("string")).alias("text"), F.when(~known, "not-reviewed").alias("failure"))
+    return held.unionByName(large)
 
 
 def failure_category(error: Column) -> Column:

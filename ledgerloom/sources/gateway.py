@@ -43,13 +43,14 @@ def execution_problem(m: Column) -> Column:
 
 def decoded(responses: DataFrame, model: str, provider: str) -> DataFrame:
     """(request, problem, resolved model and provider, tokens, cost, claims) of raw responses (request, body)."""
-    r = responses.filter(F.octet_length("body") <= MAX_RESPONSE).select("request", F.from_json("body", RESPONSE).alias("r"))
+    large = F.octet_length("body") > MAX_RESPONSE
+    r = responses.select("request", large.alias("large"), F.from_json(F.when(~large, F.col("body")), RESPONSE).alias("r"))
     choice = F.get("r.choices", F.lit(0))
     message, gateway = choice["message"], choice["message"]["provider_metadata"]["gateway"]
     routing, usage = gateway["routing"], F.col("r.usage")
     claims = F.from_json(message["content"], f"claims array<{CANDIDATE}>")["claims"]
     problem = (
-        F.when(F.coalesce(F.size("r.choices"), F.lit(-1)) != 1, "choices").when(~choice["finish_reason"].eqNullSafe("stop"), "finish").when(F.coalesce(message["refusal"], F.lit("")) != "", "refusal")
+        F.when(F.col("large"), "too-large").when(F.coalesce(F.size("r.choices"), F.lit(-1)) != 1, "choices").when(~choice["finish_reason"].eqNullSafe("stop"), "finish").when(F.coalesce(message["refusal"], F.lit("")) != "", "refusal")
         .when(F.coalesce(F.size(message["tool_calls"]), F.lit(0)) > 0, "tool-call").when(~(routing["originalModelId"].eqNullSafe(model) & routing["canonicalSlug"].eqNullSafe(model) & routing["resolvedProvider"].eqNullSafe(provider)), "rewritten")
         .when(F.coalesce(~gateway["cost"].rlike(COST), F.lit(False)), "cost").when(usage_problem(usage["prompt_tokens"], usage["completion_tokens"], usage["total_tokens"]), "usage").when(claims.isNull(), "content")
     )

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from datetime import datetime
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +113,14 @@ def write_report(path: str | Path, report: dict) -> None:
         os.fsync(out.fileno())
 
 
+def print_json(rows: DataFrame, out: TextIO | None = None, limit: int = 1000) -> None:
+    """A bounded frame as one indented JSON list on standard output; more than ``limit`` rows are an error."""
+    held = [json.loads(r) for r in rows.limit(limit + 1).toJSON().collect()]
+    if len(held) > limit:
+        raise ValueError("the result is too large to print")
+    (out or sys.stdout).write(json.dumps(held, ensure_ascii=False, indent=2) + "\n")
+
+
 def distinct_outputs(*paths: str | Path) -> None:
     """Fail unless all output paths differ and none exists."""
     real = [Path(p).resolve() for p in paths]
@@ -122,8 +133,8 @@ def failure_category(error: BaseException) -> str:
     return "timeout" if isinstance(error, TimeoutError) else "transport"
 
 
-def publish_next(events: DataFrame, outbox: DataFrame, path: str | Path) -> DataFrame | None:
-    """Publish the oldest pending event to a file and give its next outbox version; None where nothing is pending.
+def publish_next(events: DataFrame, outbox: DataFrame, path: str | Path, now: datetime | None = None) -> DataFrame | None:
+    """Publish the oldest pending event to a file and give its next outbox version, at ``now``; None where nothing is pending.
 
     The line is durable before the version exists, so a crash in between repeats the same event id: at least once.
     """
@@ -138,4 +149,4 @@ def publish_next(events: DataFrame, outbox: DataFrame, path: str | Path) -> Data
     except OSError as error:
         failure = failure_category(error)
     attempt = events.sparkSession.createDataFrame([(row["event_id"], expected, failure)], "event_id string, expected long, failure string")
-    return attempted(outbox, attempt.withColumn("at", F.current_timestamp()))
+    return attempted(outbox, attempt.withColumn("at", F.current_timestamp() if now is None else F.lit(now)))

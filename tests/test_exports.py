@@ -94,8 +94,9 @@ def test_folder_and_reviewed_files(spark, tmp_path):
     judged = exports.judge(exports.read_records(exports.read_folder(spark, str(tmp_path)))).collect()
     assert {r.doc.rsplit("/", 1)[1]: r.category for r in judged} == {"a.jsonl": None, "b.jsonl": "invalid JSON"}
     mark = hashlib.sha256(text.encode()).hexdigest()
-    assert [r.text for r in exports.reviewed(spark, str(tmp_path), [mark]).collect()] == [text]
-    assert exports.reviewed(spark, str(tmp_path), [mark], limit=10).count() == 0
+    seen = lambda *a, **k: {(r.path.rsplit("/", 1)[1], r.text, r.failure) for r in exports.reviewed(spark, str(tmp_path), *a, **k).collect()}
+    assert seen([mark]) == {("a.jsonl", text, None), ("b.jsonl", None, "not-reviewed")}
+    assert seen([mark], limit=10) == {("a.jsonl", None, "too-large"), ("b.jsonl", None, "too-large")}
 
 
 @pytest.mark.parametrize("error,category", [("context canceled", "canceled"), ("output exceeds cap", "too-large"), ("session not found", "not-found"), ("executable file missing", "unavailable"), ("exit 3", "exit"), (None, None)])
@@ -103,3 +104,33 @@ def test_failure_categories(spark, error, category):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(error,)], "e string").select(exports.failure_category(F.col("e"))).collect()[0][0] == category
+
+
+def test_files_that_cannot_be_read_are_reported(spark, tmp_path, monkeypatch):
+    (tmp_path / "large.jsonl").write_text("x" * 60)
+    (tmp_path / "bytes.jsonl").write_bytes(b"{\xff}")
+    (tmp_path / "fine.jsonl").write_text("{}\n")
+    monkeypatch.setattr(exports, "MAX_EXPORT_BYTES", 50)
+    got = {(r.doc.rsplit("/", 1)[1], r.line_no, r.record_json, r.failure) for r in exports.read_folder(spark, str(tmp_path)).collect()}
+    assert got == {("large.jsonl", 0, None, "too-large"), ("bytes.jsonl", 0, None, "invalid-utf8"), ("fine.jsonl", 0, "{}", None), ("fine.jsonl", 1, "", None)}
+
+
+def test_commands_are_run_for_each_session(spark):
+    def runner(key):
+        return {"a": (0, b"{}\n{}", ""), "b": (1, b"", "session not found"), "c": (0, b"\xff", ""), "d": (127, b"", ""), "e": (-2, b"", ""), "f": (3, b"", None)}[key]
+
+    rows = exports.run_command(spark, spark.createDataFrame([(k,) for k in "abcdefa"], "session_id string"), runner).collect()
+    assert {(r.doc, r.line_no, r.failure) for r in rows} == {("a", 0, None), ("a", 1, None), ("b", 0, "not-found"), ("c", 0, "invalid-utf8"), ("d", 0, "unavailable"), ("e", 0, "canceled"), ("f", 0, "exit")}
+
+
+def test_requested_sessions(spark):
+    judged = spark.createDataFrame([("a", None), ("b", None), ("c", "broken")], "doc string, category string")
+    records = spark.createDataFrame([("a", 0, "s1"), ("b", 0, "s9"), ("b", 1, "s2"), ("c", 0, "s3")], "doc string, line_no long, session_id string")
+    wanted = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("c", "s3"), ("d", "s4")], "doc string, session_id string")
+    got = {r.doc: r.category for r in exports.requested(judged, records, wanted).collect()}
+    assert got == {"a": None, "b": "exported session does not match the request", "c": "broken", "d": "session was not found"}
+
+
+def test_constants_are_no_json_and_lone_surrogates_count_as_replacement():
+    assert exports.read_record('{"schemaVersion": NaN}')["category"] == "invalid JSON"
+    assert exports._utf8("a\ud800") == "a\ufffd".encode() and exports._utf8("é") == b"\xc3\xa9"

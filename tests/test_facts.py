@@ -82,15 +82,15 @@ def test_patterns_beside_other_letters(spark):
     assert got == ["1", "", "1", "1"]  # only ASCII letters and digits join a word
 
 
-def brute_budget(texts):
+def brute_budget(texts, value_bytes, document_bytes):
     used = count = 0
     out = []
     for t in texts:
         data = t.encode()
-        if count >= op.MAX_VALUES or used >= op.MAX_DOCUMENT_BYTES:
+        if count >= op.MAX_VALUES or used >= document_bytes:
             out.append("")
             continue
-        data = data[: min(op.MAX_VALUE_BYTES, op.MAX_DOCUMENT_BYTES - used)]
+        data = data[: min(value_bytes, document_bytes - used)]
         emitted = data.decode("utf-8", "ignore")
         out.append(emitted)
         used, count = used + len(emitted.encode()), count + 1
@@ -98,18 +98,65 @@ def brute_budget(texts):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_budget_equals_a_sequential_fold(spark, seed, monkeypatch):
+def test_budget_equals_a_sequential_fold(spark, seed):
     rnd = random.Random(seed)
-    if seed % 2:
-        monkeypatch.setattr(op, "MAX_DOCUMENT_BYTES", 501)
-        monkeypatch.setattr(op, "MAX_VALUE_BYTES", 64)
+    value_bytes, document_bytes = (64, 501) if seed % 2 else (op.MAX_VALUE_BYTES, op.MAX_DOCUMENT_BYTES)
     texts = ["".join(rnd.choice("aé漢👍") for _ in range(rnd.randint(1, 40 if seed % 2 else 900))) for _ in range(150)]
     rows = [(DOC, i, 0, 1, t) for i, t in enumerate(texts)]
-    facts = spark.createDataFrame(rows, "doc string, ordinal long, segment long, step int, value string")
-    got = op.budgeted(facts).orderBy("ordinal").collect()
-    assert [r.emitted for r in got] == brute_budget(texts)
-    left = op.omissions(op.budgeted(facts)).collect()[0]
-    assert left.omitted_values == sum(r.omitted for r in got)
+    facts = op.budgeted(spark.createDataFrame(rows, "doc string, ordinal long, segment long, step int, value string"), value_bytes, op.MAX_VALUES, document_bytes)
+    got = facts.orderBy("ordinal").collect()
+    assert [r.emitted for r in got] == brute_budget(texts, value_bytes, document_bytes)
+    segments = spark.createDataFrame([(DOC, "omitted"), (DOC, "text"), ("other", "omitted")], "doc string, segment_kind string")
+    left = {r.doc: r for r in op.omissions(facts, segments).collect()}
+    assert left[DOC].omitted_values == sum(r.omitted for r in got) and left[DOC].canonical_segments == 1 and left["other"].omitted_values == 0
+
+
+def test_long_quoted_commands(spark):
+    """A megabyte inside quotes, escapes included, costs no stack."""
+    inner = "a" * 1_000_000
+    rows = [(f'echo "{inner}"', False), (f"echo '{inner}'", False), ('echo "' + '\\"x' * 300_000 + '"', False), (f'echo "{inner}', True), ("\\a" * 300_000, False), ('"a" ' * 200_000 + "| x", True)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").orderBy("i").select(op.compound(F.col("t"))).collect()]
+    assert got == [c for _, c in rows]
+
+
+def test_constants_are_no_json():
+    assert op._command_of('{"cmd": "a", "n": NaN}') is None and op._command_of('{"cmd": "a", "n": -Infinity}') is None
+
+
+def test_both_forms_of_exit_lines(spark):
+    text = F.lit("x\nexit code: 3\nProcess exited with code 4")
+    assert [tuple(r) for r in spark.range(1).select(op.exit_code(text), op.exit_code(text, regexes.TABLE_EXIT_CODE)).collect()] == [(4, 3)]
+
+
+def test_stored_facts_that_break_their_contract(spark):
+    evidence = spark.createDataFrame([("e1", "d"), ("e2", "d"), ("x", "o")], "evidence_id string, doc string")
+    long = "y" * 2049
+    cases = [
+        ("ok", "command", "r", "success", '{"command": {"text": "a"}}', ["e1", "e2"], None), ("f", None, "r", "success", "{}", ["e1"], "fields"), ("o", "k", "r", "odd", "{}", ["e1"], "outcome"), ("v", "k", "r", "unknown", "[1]", ["e1"], "value"),
+        ("t", "k", "r", "unknown", '{"command": {"text": "a"}, "error": {"text": "b"}}', ["e1"], "texts"), ("s", "k", "r", "unknown", f'{{"error": {{"text": "{long}"}}}}', ["e1"], "text-size"), ("n", "k", "r", "unknown", "{}", None, "no-evidence"),
+        ("r", "k", "r", "unknown", "{}", ["e1", "e1"], "repeated-evidence"), ("u", "k", "r", "unknown", "{}", ["zz"], "unknown-evidence"), ("d", "k", "r", "unknown", "{}", ["e1", "x"], "several-documents"),
+    ]
+    facts = spark.createDataFrame([c[:-1] for c in cases], "fact_id string, kind string, parse_rule string, outcome string, value_json string, evidence_ids array<string>")
+    assert {r.fact_id: r.violation for r in op.stored_violations(facts, evidence).collect()} == {c[0]: c[-1] for c in cases if c[-1]}
+
+
+def test_fact_identity_follows_from_all_its_parts(spark):
+    entries, segments = document(spark, ("tool-call", None, '{"cmd":"pytest -q"}'), ("tool-result", 0, "Process exited with code 1\n2 failed"))
+    entries = entries.selectExpr("*", "'k' source_kind", "'i' source_instance_id", "'n' native_id")
+    segments = segments.selectExpr("*", "'tool' origin", "'high' origin_confidence", "'text' segment_kind")
+    rows = op.identified(op.budgeted(op.extract(entries, segments)), entries, segments).orderBy("ordinal", "step").collect()
+    assert [r.kind for r in rows] == ["tool-call", "command", "test-command", "tool-result", "exit-code", "test-result"] and len({r.fact_id for r in rows}) == 6
+    mark = "".join(("{", '"scheme":"sha256-utf8-v1","digest":"', __import__("hashlib").sha256(b"pytest -q").hexdigest(), '"}'))
+    assert rows[0].value_json == '{"tool":{"kind":"call","name":"exec_command"}}' and rows[4].value_json == '{"exitCode":1}'
+    assert rows[2].value_json == '{"test":{"framework":"pytest","command":{"text":"pytest -q","truncated":false,"originalUtf8Bytes":9,"emittedUtf8Bytes":9,"contentHash":' + mark + "}}}"
+    assert rows[5].value_json == '{"test":{"framework":"pytest","failed":2},"exitCode":1}' and [("relatedEntryOrdinal" in r) for r in rows[5].references] == [False, True]
+    other = op.identified(op.budgeted(op.extract(entries, segments)), entries.withColumn("native_id", F.lit("m")), segments).collect()
+    assert not {r.fact_id for r in rows} & {r.fact_id for r in other}
+
+
+def test_documents_have_one_digest_however_they_are_written():
+    assert identity.compact_json('{ "b" : [1, "<é>"],\n"a":null }') == '{"b":[1,"\\u003cé\\u003e"],"a":null}'
+    assert identity.document_fingerprint('{"a": 1}') == identity.document_fingerprint('{"a":1}') != identity.document_fingerprint('{"a":2}')
 
 
 def test_cut_never_splits_a_character(spark):

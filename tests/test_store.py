@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import events as op
+from ledgerloom.operators import events as op, records
 from ledgerloom.operators.ranking import ranked
 from ledgerloom.plans import store_queries
 from ledgerloom.plans.commit import RunStore
@@ -105,15 +105,38 @@ def test_publish_next_until_nothing_is_pending(spark, tmp_path):
     assert [(r.attempt_count, r.status, r.last_failure) for r in failed.collect()] == [(1, "pending", "transport")]
 
 
-def test_runs_committed_through_the_store_are_reused(spark, data, tmp_path):
-    for name in os.listdir(data):
-        os.symlink(f"{data}/{name}", tmp_path / name)
-    d = str(tmp_path)
-    keys = sorted(r.processing_key for r in store_queries.idn_processing_keys(spark, d).collect())
-    assert {r.reused: r.runs for r in store_queries.run_incremental(spark, d).collect()} == {False: len(keys)}
-    store = RunStore(spark, f"{d}/{store_queries.RUN_STORE}")
-    assert store.commit(keys[0], {}) and store.commit(keys[-1], {}) and store.commit(keys[1], {}, failed="extract") and store.commit("another", {})
-    assert {r.reused: r.runs for r in store_queries.run_incremental(spark, d).collect()} == {True: 2, False: len(keys) - 2}
+def test_the_second_pass_reuses_what_the_first_committed(spark, data):
+    rows = {r["pass"]: r for r in store_queries.run_incremental(spark, data).collect()}
+    asked = store_queries.idn_processing_keys(spark, data).count()
+    assert rows["second"].reused == rows["first"].extracted > 0 and rows["first"].extracted + rows["second"].extracted == asked
+    assert rows["first"].facts > 0 and rows["first"].facts == rows["first"].fact_ids
+
+
+def test_schema_problems(spark, tmp_path):
+    spark.range(1).selectExpr("id a").write.parquet(str(tmp_path / "t.parquet"))
+    got = {(r.table_name, r.column_name): r.present for r in records.schema_problems(spark, str(tmp_path), {"t": ("a", "b"), "u": ("a",)}).collect()}
+    assert got == {("t", "a"): True, ("t", "b"): False, ("u", "a"): False}
+
+
+def test_records_are_checked_against_each_other(spark):
+    claims = spark.createDataFrame([("c1", "a1", 0), ("c2", "a1", 1), ("c3", "a2", 0), ("c4", "a3", 0), ("c5", "a4", 0)], "claim_id string, analysis_id string, ordinal long")
+    analyses = spark.createDataFrame([(f"a{i}",) for i in range(1, 7)], "analysis_id string")
+    made = op.claim_events(claims.withColumn("fact_ids", F.array().cast("array<string>"))).unionByName(op.completion_events(claims)).select("event_type", "subject_id", "payload_json", "refs")
+    empty = op.completion_events(claims.filter("analysis_id = 'a4'")).select("event_type", F.lit("a5").alias("subject_id"), "payload_json", F.slice("refs", 1, 0).alias("refs"))
+    lost = made.filter("not (subject_id = 'c3') and not (subject_id = 'a4')").withColumn("refs", F.when(F.col("subject_id") == "a3", F.array(F.struct(F.lit("claim").alias("record_type"), F.lit("zz").alias("record_id")))).otherwise(F.col("refs"))).unionByName(empty)
+    got = {r.analysis_id: r.problem for r in records.completed_records(analyses, claims, lost).collect()}
+    assert got == {"a1": None, "a2": "claim-event", "a3": "completion-claims", "a4": "completion-event", "a5": None, "a6": "completion-event"}
+    failed = spark.createDataFrame([("a1", None, None, None), ("a9", "{}", None, None), ("b", None, None, "{}"), ("c", "{}", "{}", "{}"), ("a5", None, None, None)], "analysis_id string, semantic_selection_json string, privacy_report_json string, model_json string")
+    got = {r.analysis_id: r.problem for r in records.failed_records(failed, claims, lost).collect()}
+    assert got == {"a1": "admitted-claims", "a9": "selection-without-policy", "b": "model-without-selection", "c": None, "a5": "events"}
+
+
+def test_changed_events_show_when_their_fingerprint_is_recomputed(spark):
+    claims = spark.createDataFrame([("c1", "a1", 0, ["f1"]), ("c2", "a1", 1, None)], "claim_id string, analysis_id string, ordinal long, fact_ids array<string>")
+    made = op.claim_events(claims).unionByName(op.completion_events(claims))
+    of = lambda df: {r.problem for r in records.tampered_events(df).collect()}
+    assert of(made) == {None} and of(made.withColumn("payload_json", F.replace("payload_json", F.lit(":"), F.lit(" : ")))) == {None}
+    assert of(made.withColumn("subject_id", F.lit("x"))) == {"fingerprint"} == of(made.withColumn("refs", F.slice("refs", 1, 0))) and of(made.withColumn("event_id", F.lit("evt_0"))) == {"id"}
 
 
 def test_stale_reviews_are_checked_against_all_documents(spark, tmp_path):
