@@ -34,6 +34,19 @@ def expectations(cases: DataFrame, claims: DataFrame, expected: DataFrame) -> Da
     return hits.select("case", "kind", "value", passed.alias("passed"))
 
 
+#: Failures of generation after which no further case is tried.
+FATAL = tuple(f"semantic-generation-{x}" for x in ("authentication-failed", "permission-denied", "rate-limited", "request-rejected", "schema-rejected", "upstream-unavailable", "transport-failed", "failed"))
+
+
+def stored_failure(completed: Column, model: Column, route: Column, resolved: Column) -> Column:
+    """The category of a stored run's failure, from what its details still hold.
+
+    No answer at all is a failed transport, an answer of another model an invalid response,
+    and anything later a rejected admission.
+    """
+    return F.when(completed, F.lit(None)).when(model.isNull(), "semantic-generation-transport-failed").when(~F.coalesce(route == resolved, F.lit(False)), "semantic-generation-response-invalid").otherwise("semantic-admission-invalid")
+
+
 def until_fatal(cases: DataFrame, order: list[str]) -> DataFrame:
     """Each case as attempted or not: all after the first fatal one in order are not.
 

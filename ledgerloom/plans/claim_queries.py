@@ -55,10 +55,19 @@ def adm_linked(spark: SparkSession, d: str) -> DataFrame:
     return admission.linked_outcomes(candidates(spark, d), refs, chosen).select("candidate_id", "uncited")
 
 
+#: Planted candidates: their id, the field that must be rejected, its category, and the field's text.
+PLANTED = (
+    ("planted-1", "statement", "local-path", "The suite reads /srv/app/x.log twice."), ("planted-2", "subject", "local-or-private-host", "build-7.internal"), ("planted-3", "scope", "url-credentials", "https://u:p@example.com/x"),
+    ("planted-4", "actor", "authorization-header", "authorization: Bearer abcdefgh"), ("planted-5", "origin", "private-key", "-----BEGIN RSA PRIVATE KEY-----"),
+)
+
+
 def adm_privacy(spark: SparkSession, d: str) -> DataFrame:
-    """PRV-17, 18: free-text fields of candidates that the policy rejects (counted by category)."""
-    fields = privacy.fields(candidates(spark, d), "candidate_id", ["statement", "subject", "scope", "actor", "origin"])
-    return fields.select("field_path", F.explode(privacy.postflight("value")).alias("category")).groupBy("field_path", "category").agg(F.count(F.lit(1)).alias("n"))
+    """PRV-17, 18: free-text fields that the policy rejects, of all candidates and of planted ones (the stored ones hold none)."""
+    names = ["statement", "subject", "scope", "actor", "origin"]
+    planted = spark.createDataFrame([(i, *[text if n == field else None for n in names]) for i, field, _, text in PLANTED], "candidate_id string, " + ", ".join(f"{n} string" for n in names))
+    fields = privacy.fields(candidates(spark, d).select("candidate_id", *names).unionByName(planted), "candidate_id", names)
+    return fields.select("candidate_id", "field_path", F.explode(privacy.postflight("value")).alias("category"))
 
 
 def ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -134,10 +143,8 @@ def res_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def res_facts(spark: SparkSession, d: str) -> DataFrame:
-    """RES-1: facts whose references do not resolve within their document."""
-    rows = facts(spark, d)
-    home = rows.select("fact_id", F.get("evidence_ids", F.lit(0)).alias("evidence_id")).join(evidence(spark, d).select("evidence_id", "doc"), "evidence_id", "left").select("fact_id", "doc")
-    return resolve.unresolved(rows.join(home, "fact_id"), "fact_id", ["evidence_ids"], evidence(spark, d))
+    """RES-1, 3, 4: stored facts by the first problem their references have."""
+    return resolve.reference_problems(facts(spark, d), "fact_id", "evidence_ids", evidence(spark, d))
 
 
 _T = "chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(133)||chr(160)"
@@ -270,8 +277,10 @@ ORACLE = {
     "res_claims": f"""with ev as ({EVIDENCE}), ca as ({CANDIDATES}), ids as (select candidate_id, doc, unnest(l) evidence_id, generate_subscripts(l, 1) - 1 place from (select candidate_id, doc, list_concat({_IDS("supporting")}, {_IDS("contradicting")}) l from ca)),
       fi as (select candidate_id, doc, evidence_id, min(place) place from ids group by all), j as (select fi.*, ev.evidence_id is not null ok, ev.text from fi left join ev on ev.evidence_id = fi.evidence_id and ev.doc = fi.doc)
       select candidate_id, place, evidence_id, sha256(text) text, coalesce(strlen(text) > {resolve.MAX_TEXT}, false) truncated from j where candidate_id not in (select candidate_id from j where not ok)""",
-    "res_facts": f"""with ev as ({EVIDENCE}), fa as ({FACTS}), h as (select fa.*, ev.doc from fa left join ev on ev.evidence_id = fa.evidence_ids[1]), e as (select distinct fact_id, doc, unnest(evidence_ids) evidence_id from h)
-      select fact_id, count(*) missing from e where not exists (select 1 from ev where ev.evidence_id = e.evidence_id and ev.doc = e.doc) group by 1""",
+    "res_facts": f"""with ev as ({EVIDENCE}), fa as ({FACTS}), e as (select distinct fact_id, unnest(evidence_ids) evidence_id from fa),
+      g as (select fact_id, count(*) cited, bool_or(ev.evidence_id is null) u, min(doc) lo, max(doc) hi, bool_or(digest is null) n, bool_or(content_hash is distinct from sha256(text)) c from e left join ev using (evidence_id) group by 1)
+      select fact_id, cited, case when u then 'unknown' when lo <> hi then 'several-documents' when n then 'no-entry' when c then 'content' end problem from g""",
+    "adm_privacy": "select * from (values " + ", ".join(f"('{i}', '{f}', '{c}')" for i, f, c, _ in PLANTED) + ") t(candidate_id, field_path, category)",
 }
 
 QUERIES = {f.__name__: f for f in (adm_candidates, adm_batches, adm_linked, adm_privacy, sel_ranges, sel_inputs, sel_references, run_claims, run_policies, run_lineage, res_claims, res_facts)}

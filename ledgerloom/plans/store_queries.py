@@ -238,9 +238,13 @@ def evl_review_template(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evl_attempted(spark: SparkSession, d: str) -> DataFrame:
-    """EVL-12: analyses in order of time, those after the first failed one not attempted."""
-    cases = _cases(spark, d).withColumn("fatal", ~F.col("completed"))
-    return evaluation.until_fatal(cases, ["recorded_at", "case"]).groupBy("attempted").agg(F.count(F.lit(1)).alias("n"))
+    """EVL-12: analyses in order of time, those after the first fatal failure not attempted, the others by their failure."""
+    model = F.from_json("model_json", "requestedRoute struct<model:string>, resolvedModel string")
+    rows = table(spark, d, "semantic_details").select("analysis_id", "recorded_at", (F.col("status") == "completed").alias("completed"), F.when(F.json_object_keys("model_json").isNotNull(), model).alias("m"))
+    cases = rows.withColumn("category", evaluation.stored_failure(F.col("completed"), F.col("m"), F.col("m.requestedRoute.model"), F.col("m.resolvedModel")))
+    cases = cases.withColumn("fatal", F.coalesce(F.col("category").isin(*evaluation.FATAL), F.lit(False)))
+    tried = evaluation.until_fatal(cases, ["recorded_at", "analysis_id"])
+    return tried.groupBy("attempted", F.when(F.col("attempted"), F.col("category")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +365,10 @@ ORACLE = {
     "evl_citations": f"""with ca as ({CANDIDATES}), i as (select candidate_id, unnest(l) e, generate_subscripts(l, 1) - 1 p from (select candidate_id, list_concat(coalesce(supporting, []::varchar[]), coalesce(contradicting, []::varchar[])) l from ca)),
       g as (select candidate_id, e, min(p) p from i group by all) select candidate_id, count(*) cited, max(p) last_place from g group by 1""",
     "evl_review_template": _CL + "select claim_id, unnest(['supported', 'useful', 'scoped']) criterion from cl",
-    "evl_attempted": _CASES + """, s as (select min((recorded_at, "case")) m from cs where not completed) select coalesce((recorded_at, "case") <= m, true) attempted, count(*) n from cs, s group by 1""",
+    "evl_attempted": f"""with c as (select analysis_id, recorded_at, status = 'completed' ok, case when {_OBJ("model_json")} then model_json end m from semantic_details),
+      k as (select *, case when ok then null when m is null then 'semantic-generation-transport-failed' when not coalesce(json_extract_string(m, '$.requestedRoute.model') = json_extract_string(m, '$.resolvedModel'), false) then 'semantic-generation-response-invalid' else 'semantic-admission-invalid' end category from c),
+      s as (select min((recorded_at, analysis_id)) f from k where category = 'semantic-generation-transport-failed'), t as (select coalesce((recorded_at, analysis_id) <= f, true) attempted, category from k, s)
+      select attempted, case when attempted then category end category, count(*) n from t group by all""",
     "evl_scores": """with r as (select doc_id, min(label) label from doc_labels group by 1), j as (select coalesce(label, 'unreviewed') label from documents left join r using (doc_id))
       select n.label, (select count(*) from j where j.label = n.label) n from (select unnest(['prose', 'list', 'table', 'log', 'code', 'junk', 'useful', 'unreviewed']) label) n""",
     "evl_useful": "select count(distinct session_id) sessions from documents where doc_id in (select doc_id from (select doc_id, min(label) l from doc_labels group by 1) where l = 'prose')",
