@@ -34,8 +34,9 @@ def claim_events(claims: DataFrame) -> DataFrame:
 
 
 def completion_events(claims: DataFrame) -> DataFrame:
-    """One event for each analysis, with its claims in order (an analysis admits at most 64)."""
+    """One event for each analysis, with its claims in order (an analysis admits at most 64); a null claim stands for an analysis without any."""
     listed = claims.groupBy("analysis_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "claim_id"))), lambda x: x["claim_id"]).alias("claim_ids"))
+    listed = listed.withColumn("claim_ids", F.array_compact("claim_ids"))
     refs = F.transform("claim_ids", lambda x: F.struct(F.lit("claim").alias("record_type"), x.alias("record_id")))
     payload = identity.record([("analysisId", identity.string("analysis_id")), ("claimIds", identity.strings("claim_ids"))])
     return _built(listed, ANALYSIS_COMPLETED, "analysis", F.col("analysis_id"), payload, refs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from ..functions.text import clean_id, sql_clean_id
 from ..operators import evaluation, events as op, records, workflow
 from ..session import cut, scratch, table
 from . import adapters
-from .claim_queries import CANDIDATES, FACTS, adm_batches, candidates, facts
+from .claim_queries import ADM, CANDIDATES, FACTS, PREPARED, adm_batches, candidates, facts, prepared
 from .claim_queries import ORACLE as CLAIM_ORACLE
+from .claim_queries import _SEL as SELECTED
 from .commit import RunStore
 from .fact_queries import CTE as FACT_CTE
 from .fact_queries import facts_of
@@ -99,6 +102,36 @@ def run_incremental(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("run_key").alias("pass"), "extracted", F.when(F.col("run_key") == "second", F.col("asked") - F.col("extracted")).otherwise(0).alias("reused"), F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("fact_ids", F.lit(0)).alias("fact_ids"))
 
 
+def run_workflow(spark: SparkSession, d: str) -> DataFrame:
+    """RUN-2, 3, STO-6 to 11: the claim stage of all analyses through a run store, twice; the second time everything is reused.
+
+    One commit holds the runs (completed and failed), their details, claims, events and outbox
+    records, and is seen as a whole or not at all.  A completed run's key is its unit of reuse; a
+    failed run has no key and is tried again.
+    """
+    store = RunStore(spark, scratch(spark, "claims"))
+    runs = cut(prepared(spark, d).select("analysis", "doc", "problem", "processing_key", "selection_json", "run_selection_json", "input_digest", "fact_ids", "redactions", "blocked"))
+    judged = cut(adm_batches(spark, d).select(F.col("batch").alias("analysis"), F.col("category").alias("rejected")))
+    everyone = candidates(spark, d).select(F.col("batch").alias("analysis"), "ordinal", "candidate_id", "fact_ids")
+    counts = []
+    for turn in ("first", "second"):
+        done = store.read("runs").filter("processing_key is not null").select("processing_key").distinct() if turn == "second" else None
+        due = runs if done is None else runs.join(done, "processing_key", "left_anti")
+        tried = due.join(judged, "analysis", "left").withColumn("category", F.coalesce("problem", "rejected"))
+        tried = cut(tried.withColumns({"status": F.when(F.col("category").isNull(), "completed").otherwise("failed"), "processing_key": F.when(F.col("category").isNull(), F.col("processing_key"))}))
+        own = tried.filter("status = 'completed'").select("analysis")
+        claims = cut(everyone.join(own, "analysis", "left_semi").withColumn("claim_id", identity.derived_id("claim_", F.col("candidate_id"))))
+        told = claims.select("claim_id", F.col("analysis").alias("analysis_id"), "ordinal", F.coalesce("fact_ids", F.array().cast("array<string>")).alias("fact_ids"))
+        silent = own.join(claims.select("analysis").distinct(), "analysis", "left_anti").select(F.lit(None).cast("string").alias("claim_id"), F.col("analysis").alias("analysis_id"), F.lit(0).cast("long").alias("ordinal"))
+        made = cut(op.claim_events(told).unionByName(op.completion_events(told.select("claim_id", "analysis_id", "ordinal").unionByName(silent))))
+        outbox_ = made.select("event_id", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempt_count"))
+        details = tried.select("analysis", "selection_json", "run_selection_json", "input_digest", "fact_ids", "redactions", "blocked")
+        store.commit(turn, {"runs": tried.select("analysis", "doc", "status", "processing_key", "category"), "details": details, "claims": claims, "events": made, "outbox": outbox_})
+    for name in ("runs", "details", "claims", "events", "outbox"):
+        counts.append(store.read(name).groupBy("run_key").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), F.col("run_key").alias("turn"), "n"))
+    return reduce(DataFrame.unionByName, counts)
+
+
 #: What the store must hold.
 REQUIRED = {
     "facts": ("fact_id", "fingerprint", "analysis_run_id", "ordinal", "value_json", "evidence_ids"), "semantic_details": ("analysis_id", "status", "schema_digest", "model_json"), "claim_candidates": ("candidate_id", "analysis_id", "claim_id"),
@@ -318,6 +351,11 @@ ORACLE = {
     "run_incremental": FACT_CTE + """, ks as (select doc, min(digest) dg, bool_or(left(digest, 1) < '8') early from en group by doc), fn as (select doc, count(*) n from fa group by 1),
       g as (select case when early then 'first' else 'second' end "pass", count(*) extracted, coalesce(sum(n), 0)::bigint facts from ks left join fn using (doc) group by 1)
       select "pass", extracted, case when "pass" = 'second' then (select count(*) from ks) - extracted else 0 end reused, facts, facts fact_ids from g""",
+    "run_workflow": PREPARED + ADM[len(SELECTED):] + f""",
+      bt as (select batch, count(*) n, case when count(*) > 64 then 'x' else min(category) end bad from jn group by 1),
+      st as (select pr.analysis, coalesce(bt.n, 0) n, problem is null and bad is null ok from pr left join bt on bt.batch = pr.analysis),
+      t as (select count(*) runs, count(case when ok then 1 end) done, coalesce(sum(case when ok then n end), 0)::bigint claims from st)
+      select u.* from t, lateral (values ('runs', 'first', runs), ('runs', 'second', runs - done), ('details', 'first', runs), ('details', 'second', runs - done), ('claims', 'first', claims), ('events', 'first', claims + done), ('outbox', 'first', claims + done)) u(table_name, turn, n) where n > 0""",
     "sto_catalog": "select t.table_name, t.column_name, exists (select 1 from information_schema.columns c where c.table_name = t.table_name and c.column_name = t.column_name) present from (values " + ", ".join(f"('{t}', '{c}')" for t, cs in REQUIRED.items() for c in cs) + ") t(table_name, column_name)",
     "sto_completed": _REC + """, ce as (select sid, count(*) n, min(ids[1]) r, min(case when json_valid(p) then json_extract_string(p, '$.analysisId') end) a from t where event_type = 'claim.admitted' group by 1),
       x as (select analysis_id, bool_or(coalesce(n <> 1, true)) un, bool_or(not coalesce(r = analysis_id and a = analysis_id, false)) el, list(claim_id order by o, claim_id) ids from h left join ce on sid = claim_id group by 1),
@@ -379,7 +417,7 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        sto_events, sto_event, sto_next_pending, sto_missing_references, sto_run_facts, idn_processing_keys, run_incremental, sto_catalog, sto_completed, sto_failed, sto_lineage, sto_tampered, sto_claim_analyses, sto_constraints, sto_outbox_next, obx_states, evt_contract, evt_built,
+        sto_events, sto_event, sto_next_pending, sto_missing_references, sto_run_facts, idn_processing_keys, run_incremental, run_workflow, sto_catalog, sto_completed, sto_failed, sto_lineage, sto_tampered, sto_claim_analyses, sto_constraints, sto_outbox_next, obx_states, evt_contract, evt_built,
         evl_report, evl_failures, evl_expectations, evl_citations, evl_review_template, evl_attempted, evl_scores, evl_useful, evl_stale,
     )
 }

@@ -118,7 +118,25 @@ with r as (select *, row_number() over (partition by {sql_clean_id("event_id")}
   {sql_clean_id("event_id")} id from domain_events)
 """
 
+_OBJECT = lambda x: f"json_type(case when json_valid({x}) then {x} end) = 'OBJECT'"
+#: A value at a place where JSON inside a string counts.
+_HELD = lambda x: f"case when json_type({x}) = 'VARCHAR' then case when json_valid(json_extract_string({x}, '$')) then json_extract_string({x}, '$')::json end else {x} end"
+_OUTER = "||".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 32, 133, 160, 0x200B, 0x200E, 0x200F, 0x2028, 0x2029, 0x2060, 0xFEFF))
+_P3 = f"""
+with l as (select line_id, trim(record_json, {_OUTER}) t from session_exports),
+r as (select line_id, t::json j from l where {_OBJECT("t")}),
+e as (select line_id, {_HELD("json_extract(j, '$.entry')")} e, {_HELD("json_extract(j, '$.snapshot')")} s from r),
+c as (select line_id, {_HELD("json_extract(e, '$.content')")} c, {_HELD("json_extract(s, '$.selection')")} s from e),
+i as (select line_id, unnest(json_extract(c, '$[*]')) x, generate_subscripts(json_extract(c, '$[*]'), 1) - 1 pos from c where json_type(c) = 'ARRAY' union all select line_id, c, 0 from c where json_type(c) = 'OBJECT'),
+h as (select line_id, pos, {_HELD("x")} x from i),
+m as (select analysis_id, trim(model_json, {_OUTER}) t from semantic_details),
+n as (select analysis_id, {_HELD("t::json")} x from m where json_valid(t))
+"""
+
 ORACLE = {
+    "p3_found": _P3 + """select line_id::varchar parent_id, 'segment' child_kind, pos child_pos from h where json_type(x) = 'OBJECT'
+      union all select line_id::varchar, 'selection', 0 from c where json_type(s) = 'OBJECT' and len(json_keys(s)) > 0
+      union all select analysis_id, 'model', 0 from n where json_type(x) = 'OBJECT' and len(json_keys(x)) > 0""",
     "p4_found": _P4_CTE + "select ref_table, row_id, ref_field, ref_id, state from probed where state is not null",
     "p4_report": _P4_CTE + "select ref_table, ref_field, strftime(seen_at, '%Y-%m') period, state, count(*) n from probed where state is not null group by all",
     "p4_timeline": _P4_CTE + """, ch as (
