@@ -33,8 +33,9 @@ from ..functions.text import clean_id, has_text
 from ..session import cut
 
 CHUNK = 4096
-#: The role of each actor in a conversation.
+#: The role of each actor in a conversation, and of an entry's kind where the actor tells none.
 ROLES = {"human": "user", "model": "assistant", "tool": "tool", "system": "system"}
+KIND_ROLES = {"tool-call": "assistant", "reasoning": "assistant", "tool-result": "tool", "context": "system"}
 GAP_QUANTILE, GAP_FACTOR = 0.95, 4.0
 
 
@@ -147,7 +148,8 @@ def conversations(entries: DataFrame, segments: DataFrame) -> DataFrame:
     """The kept sessions' messages in order, one row per message part with text, with role and episode.
 
     ``turn`` is the ordinal, ``part`` the segment's; repeated segments count once and
-    deleted ones are left out here.
+    deleted ones are left out here.  The role follows from the actor, where that is none of
+    the known ones from the entry's kind, else it is ``unknown``.
     """
     msgs = messages(entries, segments)
     kept = cut(msgs.join(faulty(msgs), "session_id", "left_anti"))  # without texts; read several times
@@ -160,10 +162,11 @@ def conversations(entries: DataFrame, segments: DataFrame) -> DataFrame:
     before = F.sum("s").over(W.partitionBy("session_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
     offsets = starts.select("session_id", "chunk", F.coalesce(before, F.lit(0)).alias("offset"))
     placed = marked.join(offsets, ["session_id", "chunk"])
-    role = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col("actor")]
+    of = lambda roles, col: F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])[F.col(col)]
+    role = F.coalesce(of(ROLES, "actor"), of(KIND_ROLES, "kind"), F.lit("unknown"))
     live = segments.filter("entry_id is not null").groupBy("evidence_id", "entry_id", "segment_ordinal").agg(F.min(F.struct("recorded_at", "text")).alias("s"), F.max("deleted_at").alias("gone"))
     parts = live.filter("gone is null").select("entry_id", "segment_ordinal", F.col("s.text").alias("text")).filter(has_text("text"))
-    rows = placed.select("session_id", F.col("ordinal").alias("turn"), (F.col("within") + F.col("offset")).alias("episode"), F.coalesce(role, F.lit("unknown")).alias("role"), "kind", "entry_id")
+    rows = placed.select("session_id", F.col("ordinal").alias("turn"), (F.col("within") + F.col("offset")).alias("episode"), role.alias("role"), "kind", "entry_id")
     # an inner join, since a message with very many parts can be split in it on either side
     spoken = rows.join(parts, "entry_id")
     silent = rows.join(parts.select("entry_id").distinct(), "entry_id", "left_anti").withColumns({"segment_ordinal": F.lit(None).cast("long"), "text": F.lit(None).cast("string")})

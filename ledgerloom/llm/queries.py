@@ -60,6 +60,14 @@ def p6_session_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.session_pieces(table(spark, d, "evidence_entries"), size["session_entries"], size["session_overlap"])
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """How often a piece breaks what holds for all pieces (never): its limit, its overlap, the text or session it is cut from."""
+    size = limits(spark, d)
+    return splitting.broken_pieces(
+        table(spark, d, "semantic_texts"), p6_text_pieces(spark, d), size["text_bytes"], size["text_overlap"], p6_session_pieces(spark, d), size["session_entries"], size["session_overlap"]
+    )
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"), "doc_id", "text")
 
@@ -116,11 +124,13 @@ g as (select k.session_id from calls k where not exists (
 bad as (select session_id from a union select session_id from c union select session_id from d union select session_id from f union select session_id from g)
 """
 
+_CHECKS = ("text over limit", "text overlap", "text not covered", "text changed", "session over limit", "session overlap", "session entry twice")
 ORACLE = {
+    "p6_checks": "select unnest([" + ", ".join(f"'{c}'" for c in _CHECKS) + "]) rule, 0::bigint n",
     "p1_found": _P1 + "select session_id from bad",
     "p1_messages": _P1 + f""", s as (select evidence_id, entry_id, segment_ordinal, arg_min(text, (recorded_at, text)) text, max(deleted_at) gone from evidence_segments where entry_id is not null group by all),
       l as (select * from s where gone is null and {sql_has_text("text")})
-      select m.session_id, m.ordinal turn, case m.actor when 'human' then 'user' when 'model' then 'assistant' when 'tool' then 'tool' when 'system' then 'system' else 'unknown' end "role", m.kind, m.entry_id, l.segment_ordinal part, l.text
+      select m.session_id, m.ordinal turn, case m.actor when 'human' then 'user' when 'model' then 'assistant' when 'tool' then 'tool' when 'system' then 'system' else case m.kind when 'tool-call' then 'assistant' when 'reasoning' then 'assistant' when 'tool-result' then 'tool' when 'context' then 'system' else 'unknown' end end "role", m.kind, m.entry_id, l.segment_ordinal part, l.text
       from m left join l using (entry_id) where m.session_id not in (from bad)""",
     "p6_found": """
       select 'text' item_kind, text_id item_id from semantic_texts, size_limits where limit_name = 'text_bytes' and strlen(text) > limit_value
@@ -128,4 +138,4 @@ ORACLE = {
       having count(distinct ordinal) > (select limit_value from size_limits where limit_name = 'session_entries')""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_messages, p2_found, p2_redacted, p6_found, p6_text_pieces, p6_session_pieces, p7_ids, p8_packed, p8_fill, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_messages, p2_found, p2_redacted, p6_found, p6_text_pieces, p6_session_pieces, p6_checks, p7_ids, p8_packed, p8_fill, p9_found, p9_statistics)}

@@ -187,3 +187,24 @@ def session_pieces(entries: DataFrame, limit: int, overlap: int) -> DataFrame:
     again = cuts.select("session_id", F.col("i").alias("piece"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("cut") - overlap), F.col("cut") - 1)).alias("p"))
     shared = again.join(planned.select("session_id", "p", "ordinal"), ["session_id", "p"]).select("session_id", "piece", "ordinal", F.lit(True).alias("shared"))
     return whole.unionByName(own).unionByName(shared)
+
+
+def broken_pieces(texts: DataFrame, pieces: DataFrame, text_limit: int, text_overlap: int, entries: DataFrame, entry_limit: int, entry_overlap: int) -> DataFrame:
+    """(rule, n): pieces of texts (text_id, text) and of sessions that break a rule that all must keep."""
+    whole = texts.filter("text is not null and text_id is not null").select("text_id", F.col("text").cast("binary").alias("whole"), F.octet_length("text").alias("bytes"))
+    size = pieces.withColumn("last_end", F.lag("end_byte").over(W.partitionBy("text_id").orderBy("piece"))).join(whole, "text_id")
+    shared = F.col("last_end") - F.col("start_byte")
+    first, ends = F.col("piece") == 0, F.max("end_byte")
+    body = F.col("whole").substr(F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int"))
+    t = size.agg(
+        F.count_if(F.octet_length("text") > text_limit).alias("text over limit"), F.count_if(F.when(first, F.col("start_byte") != 0).otherwise(~shared.between(text_overlap, text_overlap + 3))).alias("text overlap"), F.count_if(F.col("text").cast("binary") != body).alias("text changed")
+    )
+    uncovered = size.groupBy("text_id", "bytes").agg(ends.alias("end")).agg(F.count_if(F.col("end") != F.col("bytes")).alias("text not covered"))
+    each = entries.groupBy("session_id", "piece").agg(F.count(F.lit(1)).alias("n"), F.count_if("shared").alias("again"))
+    s = each.agg(F.count_if(F.col("n") > entry_limit).alias("session over limit"), F.count_if(F.col("again") != F.when(F.col("piece") == 0, 0).otherwise(entry_overlap)).alias("session overlap"))
+    twice = entries.filter("not shared").groupBy("session_id", "ordinal").count().agg(F.count_if(F.col("count") > 1).alias("session entry twice"))
+    out = None
+    for part in (t, uncovered, s, twice):  # one row each
+        rows = part.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias("n")) for c in part.columns])).alias("r")).select("r.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -136,3 +136,11 @@ def test_pauses_cross_chunks_and_messages_without_a_time(spark, chunk, monkeypat
     # of 30 s pauses the limit is 120 s, and 600 s are more
     got = {r.turn: r.episode for r in op.conversations(entries, segments).collect()}
     assert got == {i: (i >= 8) + (i >= 30) + (i >= 51) for i in range(100)}
+
+
+def test_roles_follow_from_the_kind_where_the_actor_tells_none(spark):
+    rows = [("a", "s", 0, "message", "human"), ("b", "s", 1, "reasoning", None), ("c", "s", 2, "message", " Model "), ("d", "s", 3, "context", "robot"), ("e", "s", 4, "message", "robot")]
+    entries = spark.createDataFrame([(e, s, o, k, a, None, None, None, "src", None, "b") for e, s, o, k, a in rows], "entry_id string, session_id string, ordinal long, entry_kind string, actor string, entry_ts timestamp, related_entry_ordinal long, tool_call_id string, source_kind string, recorded_at timestamp, batch_id string")
+    segments = spark.createDataFrame([(f"v{e}", e, 0, "text", None, None) for e, *_ in rows], "evidence_id string, entry_id string, segment_ordinal long, text string, recorded_at timestamp, deleted_at timestamp")
+    got = {r.entry_id: r.role for r in op.conversations(entries, segments).collect()}
+    assert got == {"a": "user", "b": "assistant", "c": "assistant", "d": "system", "e": "unknown"}

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import splitting
 
@@ -88,3 +89,14 @@ def test_session_pieces(spark, step):
             assert shared == [first - k * step for k in (3, 2, 1)]
             assert first // step % 4 != 2  # never between a call and its result
     assert {r.session_id for r in splitting.oversized_sessions(rows, 50, 3).collect()} == {"s1", "s2", "s3", "s4", "s5"}
+
+
+def test_broken_pieces_are_counted(spark):
+    texts = spark.createDataFrame([("a", "x" * 30 + "é" * 40), ("b", "y")], "text_id string, text string")
+    pieces = splitting.text_pieces(texts, "text_id", "text", 50, 5)
+    entries = splitting.session_pieces(sessions(spark, [50, 120, 7]), 50, 3)
+    of = lambda p, e: {r.rule: r.n for r in splitting.broken_pieces(texts, p, 50, 5, e, 50, 3).collect()}
+    assert set(of(pieces, entries).values()) == {0} and len(of(pieces, entries)) == 7
+    bad = of(pieces.withColumn("text", F.concat("text", F.lit("z" * 60))), entries.withColumn("shared", F.lit(False)))
+    assert bad["text over limit"] == bad["text changed"] == pieces.count() and bad["session entry twice"] > 0 and bad["session overlap"] > 0
+    assert of(pieces.filter("text_id <> 'a' or piece = 0"), entries)["text not covered"] == 1
