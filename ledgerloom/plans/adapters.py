@@ -47,6 +47,12 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return first_rows(rows, ["doc", "ordinal", "segment"], ["recorded_at", "evidence_id"]).drop("recorded_at")
 
 
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """(evidence_id, doc, ordinal): where each stored evidence id stands."""
+    rows = _named(table(spark, d, "evidence_segments"), evidence_id="evidence_id", recorded_at="recorded_at", ordinal="entry_ordinal", doc="session_id")
+    return first_rows(rows, ["evidence_id"], ["recorded_at", "ordinal"]).drop("recorded_at")
+
+
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """Each stored evidence id with its segment's and its entry's fields."""
     rows = _named(table(spark, d, "evidence_segments"), evidence_id="evidence_id", recorded_at="recorded_at", ordinal="entry_ordinal", doc="session_id", segment="segment_ordinal", origin="origin", origin_confidence="origin_confidence", content_hash="content_hash", text="text")

@@ -26,7 +26,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 def _scope(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per analysis its problem if it has no sound selection, the references of its selection, and its facts."""
-    entries, segments, evidence_ = adapters.entries(spark, d), adapters.segments(spark, d), evidence(spark, d)
+    entries, segments, evidence_ = adapters.entries(spark, d), adapters.segments(spark, d), adapters.places(spark, d)
     r = cut(workflow.resolved(ranges(spark, d), workflow.documents(entries, segments)))
     sound = r.filter("problem is null")
     e = cut(workflow.spread_entries(sound, entries))
@@ -85,7 +85,7 @@ def ranges(spark: SparkSession, d: str) -> DataFrame:
 
 def _selected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Resolved ranges, and the encoded input of those within the limit of entries, before the policy."""
-    entries, segments, evidence_ = adapters.entries(spark, d), adapters.segments(spark, d), evidence(spark, d)
+    entries, segments, evidence_ = cut(adapters.entries(spark, d)), cut(adapters.segments(spark, d)), adapters.places(spark, d)
     r = workflow.resolved(ranges(spark, d), workflow.documents(entries, segments))
     sound = r.filter("problem is null")
     e, s = workflow.chosen_content(sound, entries, segments)
@@ -116,7 +116,9 @@ def sel_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
-    return workflow.prepare(ranges(spark, d), adapters.entries(spark, d), adapters.segments(spark, d), facts(spark, d), evidence(spark, d))
+    """Every analysis prepared or failed.  The deduplicated tables are read by many steps, so each is made once."""
+    made = [cut(rows(spark, d)) for rows in (adapters.entries, adapters.segments, facts, adapters.places)]
+    return workflow.prepare(ranges(spark, d), *made)
 
 
 def run_claims(spark: SparkSession, d: str) -> DataFrame:
