@@ -175,23 +175,48 @@ def rebound(s: DataFrame) -> DataFrame:
     return s.withColumns({"grown": over, "cut": F.col("cut") | over, "text": utf8.cut(F.col("text"), MAX_TEXT)})
 
 
-def encoded(sound: DataFrame, e: DataFrame, s: DataFrame, f: DataFrame, facts_per_doc: DataFrame) -> DataFrame:
-    """Per analysis its canonical input (SEL-3, 6, 8) with statistics and sizes; sections in order."""
-    seg = F.struct("segment", "evidence_id", "segment_kind", "origin", "origin_confidence", "text", "original", "cut", "content_class", "source_type")
-    grouped = s.groupBy("analysis", "ordinal").agg(
-        F.array_sort(F.collect_list(seg)).alias("parts"), F.sum("original").alias("original"), F.sum(F.octet_length("text")).alias("emitted"), F.count(F.when(F.col("cut"), 1)).alias("cut"), F.count(F.when(F.col("segment_kind") == "omitted", 1)).alias("omitted")
-    )
-    own = e.join(grouped, ["analysis", "ordinal"], "left")
+def _entry_json(segments_json: Column) -> Column:
     ref = idn.evidence_id(F.col("doc"), F.col("digest"), F.col("ordinal"), F.lit(None), F.lit(""))
-    body = record([
+    return record([
         ("evidenceId", string(ref)), ("ordinal", number("ordinal")), ("kind", string(F.coalesce("kind", F.lit("")))), ("actor", string(F.coalesce("actor", F.lit("")))),
         ("timestamp", F.when(F.col("entry_ts").isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), _timestamp(F.col("entry_ts")), F.lit('"')))), ("relatedEntryOrdinal", number("related")), ("toolName", string("tool_name")), ("toolNamespace", string("tool_namespace")),
-        ("segments", F.coalesce(array(F.transform("parts", _segment_json)), F.lit("[]"))),
+        ("segments", segments_json),
     ], optional=("timestamp", "relatedEntryOrdinal", "toolName", "toolNamespace"))
-    body = F.when(F.col("parts").isNull(), F.replace(body, F.lit('"segments":null'), F.lit('"segments":[]'))).otherwise(body)
-    entries_json = own.withColumn("body", body).groupBy("analysis").agg(
-        array(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "body"))), lambda x: x["body"])).alias("entries_json"), F.sum(F.coalesce(F.size("parts"), F.lit(0))).alias("n_segments"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("original", "emitted", "cut", "omitted")],
+
+
+_SEGMENT = ("segment", "evidence_id", "segment_kind", "origin", "origin_confidence", "text", "original", "cut", "content_class", "source_type")
+_TALLY = ("original", "emitted", "cut", "omitted")
+
+
+def _tallied() -> list[Column]:
+    return [F.sum("original").alias("original"), F.sum(F.octet_length("text")).alias("emitted"), F.count(F.when(F.col("cut"), 1)).alias("cut"), F.count(F.when(F.col("segment_kind") == "omitted", 1)).alias("omitted"), F.count(F.lit(1)).alias("n")]
+
+
+def _listed(n: Column) -> Column:
+    """The bytes of brackets and commas around ``n`` items."""
+    return F.greatest(n - 1, F.lit(0)) + 2
+
+
+def measured(sound: DataFrame, e: DataFrame, s: DataFrame, f: DataFrame, facts_per_doc: DataFrame) -> DataFrame:
+    """What ``encoded`` gives for the sizes alone, from sums: no section is put together."""
+    per_entry = s.groupBy("analysis", "ordinal").agg(*_tallied(), F.sum(F.octet_length(_segment_json(F.struct(*_SEGMENT)))).alias("bytes"))
+    own = e.join(per_entry, ["analysis", "ordinal"], "left").fillna(0, ["n", "bytes"])
+    size = F.octet_length(_entry_json(F.lit(""))) + _listed(F.col("n")) + F.col("bytes")
+    entries_ = own.groupBy("analysis").agg((F.sum(size) + _listed(F.count(F.lit(1)))).alias("entries_size"), F.sum("n").alias("n_segments"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _TALLY])
+    facts_ = f.groupBy("analysis").agg((F.sum(F.octet_length(_fact_json())) + _listed(F.count(F.lit(1)))).alias("facts_size"), F.count(F.lit(1)).alias("n_facts"))
+    out = sound.join(entries_, "analysis", "left").join(facts_, "analysis", "left").join(facts_per_doc, "doc", "left").fillna(0, ["n_segments", "n_facts", "doc_facts", *_TALLY])
+    out = out.withColumns({"entries_size": F.coalesce("entries_size", F.lit(2)), "facts_size": F.coalesce("facts_size", F.lit(2)), "excluded": F.col("doc_facts") - F.col("n_facts")})
+    out = _whole(out, F.lit(""), F.lit(""))
+    return out.withColumns({"entries_bytes": F.col("entries_size"), "facts_bytes": F.col("facts_size"), "input_bytes": F.octet_length("input_json") + F.col("entries_size") + F.col("facts_size")})
+
+
+def encoded(sound: DataFrame, e: DataFrame, s: DataFrame, f: DataFrame, facts_per_doc: DataFrame) -> DataFrame:
+    """Per analysis its canonical input (SEL-3, 6, 8) with statistics and sizes; sections in order."""
+    grouped = s.groupBy("analysis", "ordinal").agg(F.array_sort(F.collect_list(F.struct(*_SEGMENT))).alias("parts"), *_tallied())
+    body = _entry_json(F.coalesce(array(F.transform(F.coalesce("parts", F.array().cast(grouped.schema["parts"].dataType)), _segment_json)), F.lit("[]")))
+    own = e.join(grouped, ["analysis", "ordinal"], "left").withColumn("body", body)
+    entries_json = own.groupBy("analysis").agg(
+        array(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "body"))), lambda x: x["body"])).alias("entries_json"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_segments"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _TALLY],
     )
     listed = F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("place"), "fact_id", _fact_json().alias("body"))))
     facts_json = f.groupBy("analysis").agg(listed.alias("l")).select("analysis", array(F.transform("l", lambda x: x["body"])).alias("facts_json"), F.transform("l", lambda x: x["fact_id"]).alias("fact_ids"))
@@ -202,6 +227,13 @@ def encoded(sound: DataFrame, e: DataFrame, s: DataFrame, f: DataFrame, facts_pe
         **{c: F.coalesce(c, zero) for c in ("n_segments", "original", "emitted", "cut", "omitted")},
     })
     out = out.withColumns({"n_facts": F.size("fact_ids"), "excluded": F.coalesce("doc_facts", zero) - F.size("fact_ids")})
+    out = _whole(out, F.col("entries_json"), F.col("facts_json"))
+    return out.withColumns({"entries_bytes": F.octet_length("entries_json"), "facts_bytes": F.octet_length("facts_json"), "input_bytes": F.octet_length("input_json")})
+
+
+def _whole(out: DataFrame, entries_json: Column, facts_json: Column) -> DataFrame:
+    """Adds mode, coverage, the selection and the whole input around the given sections."""
+    zero = F.lit(0)
     coverage = F.when((F.col("n_entries") != F.col("total")) | (F.col("cut") > 0), PARTIAL).otherwise(COMPLETE)
     out = out.withColumns({"coverage": coverage, "mode": F.when(F.col("explicit"), "range").otherwise("complete")})
     chosen = record([
@@ -210,8 +242,8 @@ def encoded(sound: DataFrame, e: DataFrame, s: DataFrame, f: DataFrame, facts_pe
     ], optional=("firstOrdinal", "lastOrdinal"))
     omissions = record([("factAnalysis", record([("canonicalSegments", number("omitted")), ("omittedTextFactCount", number(zero)), ("omittedTextOriginalUtf8Bytes", number(zero)), ("unknownLineage", boolean(F.lit(False)))]))])
     out = out.withColumn("selection_json", chosen)
-    whole = record([("schemaVersion", number(F.lit(1))), ("disposition", string(F.lit("untrusted-evidence"))), ("selection", F.col("selection_json")), ("entries", F.col("entries_json")), ("facts", F.col("facts_json")), ("omissions", omissions)])
-    return out.withColumn("input_json", whole).withColumns({"entries_bytes": F.octet_length("entries_json"), "facts_bytes": F.octet_length("facts_json"), "input_bytes": F.octet_length("input_json")})
+    whole = record([("schemaVersion", number(F.lit(1))), ("disposition", string(F.lit("untrusted-evidence"))), ("selection", F.col("selection_json")), ("entries", entries_json), ("facts", facts_json), ("omissions", omissions)])
+    return out.withColumn("input_json", whole)
 
 
 def over_limits() -> Column:
@@ -270,7 +302,7 @@ def prepare(ranges: DataFrame, entries: DataFrame, segments: DataFrame, facts: D
     per_doc = facts.select("fact_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id", "doc"), "evidence_id").groupBy("doc").agg(F.count_distinct("fact_id").alias("doc_facts"))
     e, s = map(cut, chosen_content(sound, entries, segments))
     f = cut(chosen_facts(sound, e, facts, homes))
-    raw = encoded(sound, e, s, f, per_doc).select("analysis", over_limits().alias("large"))
+    raw = measured(sound, e, s, f, per_doc).select("analysis", over_limits().alias("large"))
     e2, s2, f2, reports = filtered(e, s, f)
     grown = s2.groupBy("analysis").agg(F.max("grown").alias("grown"))
     out = encoded(sound, e2, s2, f2, per_doc).join(raw, "analysis").join(reports, "analysis", "left").join(grown, "analysis", "left")

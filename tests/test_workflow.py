@@ -74,6 +74,22 @@ def test_an_empty_document_has_an_empty_input(spark):
     assert body["entries"] == [] == body["facts"] and body["selection"]["coverage"] == op.COMPLETE and "firstOrdinal" not in body["selection"]
 
 
+def test_sizes_by_sums_are_those_of_the_whole_text(spark):
+    entries, segments = tables(spark, TEXTS)
+    entries = entries.withColumns({"related": F.when(F.col("ordinal") > 0, 0).cast("long"), "tool_name": F.when(F.col("ordinal") == 1, "é<"), "entry_ts": F.lit("2026-01-01").cast("timestamp")})
+    segments = segments.unionByName(segments.withColumns({"segment": F.lit(1).cast("long"), "text": F.lit(None).cast("string"), "segment_kind": F.lit("omitted")})).filter("not (doc = 'path' and ordinal = 1)")
+    facts = spark.createDataFrame([("f1", 0, "command", "not-applicable", '{"command": {"text": "a<b"}}', ["plain1"]), ("f2", 1, "exit-code", "success", '{"exitCode": 0}', ["plain1", "plain2"])], FACT)
+    places = segments.select("evidence_id", "doc", "ordinal").distinct()
+    asked = spark.createDataFrame([(f"q{i}", d, None, None, ROUTE, "p", "{}") for i, d in enumerate(TEXTS)] + [("r", "plain", 1, 2, ROUTE, "p", "{}")], RANGE)
+    sound = op.resolved(asked, op.documents(entries, segments).withColumn("whole", F.lit(True))).filter("problem is null")
+    e, s = op.chosen_content(sound, entries, segments)
+    f = op.chosen_facts(sound, e, facts, op.fact_homes(facts, places))
+    per_doc = spark.createDataFrame([("plain", 2)], "doc string, doc_facts long")
+    columns = ["analysis", "n_entries", "n_segments", "n_facts", "excluded", "original", "emitted", "cut", "omitted", "coverage", "selection_json", "entries_bytes", "facts_bytes", "input_bytes"]
+    both = [sorted(tuple(r) for r in way(sound, e, s, f, per_doc).select(*columns).collect()) for way in (op.encoded, op.measured)]
+    assert both[0] == both[1] and len(both[0]) == len(TEXTS)
+
+
 def test_gaps_in_a_document_make_it_unsound(spark):
     entries, segments = tables(spark, {"a": ["x", "y"], "b": ["x", "y"], "c": ["x"]})
     docs = {r.doc: r.whole for r in op.documents(entries.filter("not (doc = 'a' and ordinal = 0)"), segments.filter("doc <> 'b' or ordinal > 0").unionByName(segments.filter("doc = 'b' and ordinal = 0").withColumn("segment", F.lit(1).cast("long")))).collect()}
