@@ -204,8 +204,7 @@ class OrphanState:
         new = F.struct("state", F.col("seen_at").alias("at"), F.lit(1).alias("d"))
         moves = self._stored("states", self.version).select("batch", "ref_table", "ref_field", F.explode(F.array(gone, new)).alias("m")).filter("m.state <> 'sound'")
         steps = moves.groupBy("batch", "ref_table", "ref_field", period("m.at", unit).alias("period"), "m.state").agg(F.sum("m.d").alias("d"))
-        batches = self.spark.range(1, self.version + 1).select(F.col("id").cast("int").alias("after"))
-        held = steps.join(F.broadcast(batches), F.col("batch") <= F.col("after"))  # rows: the periods' counts times the batches
+        held = steps.withColumn("after", F.explode(F.sequence("batch", F.lit(max(1, self.version)))))  # the periods' counts times the batches
         return held.groupBy("after", "ref_table", "ref_field", "period", "state").agg(F.sum("d").alias("n")).filter("n <> 0")
 
 

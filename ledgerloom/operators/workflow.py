@@ -42,17 +42,17 @@ _FACT_VALUE = (
 
 
 def documents(entries: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per document its revision, totals and whether its order is whole (SEL-2)."""
+    """Per document its revision, totals and whether its order is whole (SEL-2).  Entries and segments are unique by their keys."""
     text = F.octet_length("text")
     per_entry = segments.groupBy("doc", "ordinal").agg(
-        F.count(F.lit(1)).alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"), F.count_distinct("segment").alias("each"), F.sum(text).alias("bytes"), F.count(F.when(F.col("segment_kind") == "omitted", 1)).alias("omitted")
+        F.count(F.lit(1)).alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"), F.sum(text).alias("bytes"), F.count(F.when(F.col("segment_kind") == "omitted", 1)).alias("omitted")
     )
     own = entries.groupBy("doc").agg(
         F.count(F.lit(1)).alias("total"), F.min("ordinal").alias("low_ordinal"), F.max("ordinal").alias("high_ordinal"),
         F.min(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("digest", "source_kind", "source_instance_id", "native_id")])).alias("r"),
     )
     parts = per_entry.groupBy("doc").agg(
-        F.sum("n").alias("segments"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("text_bytes"), F.sum("omitted").alias("omitted"), F.max((F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("each") != F.col("n"))).alias("gaps")
+        F.sum("n").alias("segments"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("text_bytes"), F.sum("omitted").alias("omitted"), F.max((F.col("low") != 0) | (F.col("high") != F.col("n") - 1)).alias("gaps")
     )
     out = own.join(parts, "doc", "left").fillna(0, ["segments", "text_bytes", "omitted"])
     whole = (F.col("low_ordinal") == 0) & (F.col("high_ordinal") == F.col("total") - 1) & ~F.coalesce("gaps", F.lit(False))

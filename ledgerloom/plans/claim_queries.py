@@ -18,7 +18,7 @@ evidence, facts, candidates = adapters.evidence, adapters.facts, adapters.candid
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     """Candidates judged against their analysis' selection; those of an analysis without a sound one carry its category."""
     r, refs, chosen = _scope(spark, d)
-    judged = admission.judge(candidates(spark, d), refs, chosen)
+    judged = admission.judge(cut(candidates(spark, d)), refs, chosen)  # exploded and joined in many ways
     out = judged.join(r, judged["batch"] == r["analysis"], "left")
     failed = F.when(F.col("analysis").isNull(), workflow.INVALID).otherwise(F.col("problem"))
     return out.select("candidate_id", "batch", "ordinal", F.coalesce(failed, "category").alias("category"))
