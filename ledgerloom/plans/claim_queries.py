@@ -270,7 +270,7 @@ ORACLE = {
       case when count(*) > {admission.MAX_CANDIDATES} then '{admission.VALUE}' else arg_min(category, (ordinal, candidate_id)) filter (where category is not null) end category from jn group by batch""",
     "adm_linked": ADM + "select candidate_id, uncited from cf",
     "sel_ranges": _SEL + "select analysis, explicit, low, high, coalesce(high - low + 1, 0) n_entries, total, problem from rs",
-    "sel_inputs": _SEL + f"""select analysis, ne n_entries, ns n_segments, nf n_facts, ex excluded, bytes original, bytes emitted, 0 cut, om omitted, cov coverage, strlen(e) entries_bytes, strlen(f) facts_bytes, w input_bytes,
+    "sel_inputs": _SEL + f"""select analysis, ne n_entries, ns n_segments, nf n_facts, ex excluded, bytes original, bytes emitted, 0::bigint cut, om omitted, cov coverage, strlen(e) entries_bytes, strlen(f) facts_bytes, w input_bytes,
       ne + ns > {workflow.MAX_REFERENCES} or nf > {workflow.MAX_FACTS} or strlen(e) > {workflow.MAX_EVIDENCE_BYTES} or strlen(f) > {workflow.MAX_FACT_BYTES} or w > {workflow.MAX_INPUT_BYTES} "over",
       sha256(e) entries_digest, sha256(f) facts_digest, sha256(s) selection_digest from sy""",
     "run_claims": PREPARED + """select analysis, problem, case when wj is not null and problem is null then ns end n_segments, case when wj is not null and problem is null then nf end n_facts, case when problem is null then cov end coverage,

@@ -78,3 +78,21 @@ def test_scores_fill_labels_with_zero(spark):
     labels = spark.createDataFrame([("good",), ("bad",), ("unreviewed",)], "label string")
     assert {tuple(r) for r in evaluation.scores(claims, reviews, labels).collect()} == {("good", 1), ("bad", 0), ("unreviewed", 2)}
     assert {tuple(r) for r in evaluation.stale(claims, reviews.union(reviews)).collect()} == {("z", "unknown"), ("a", "duplicate"), ("z", "duplicate")}
+
+
+def test_references_by_their_first_problem(spark):
+    import hashlib
+
+    mark = hashlib.sha256(b"t").hexdigest()
+    evidence = spark.createDataFrame([("a", "d", "g", mark, "t"), ("b", "d", None, mark, "t"), ("c", "d", "g", "0", "t"), ("o", "x", "g", mark, "t"), ("n", "d", "g", None, None)], "evidence_id string, doc string, digest string, content_hash string, text string")
+    rows = spark.createDataFrame([("ok", ["a", "a", "n"]), ("lost", ["a", "zz", None]), ("two", ["a", "o"]), ("gone", ["b", "c"]), ("changed", ["a", "c"]), ("none", None)], "id string, refs array<string>")
+    assert {r.id: (r.cited, r.problem) for r in resolve.reference_problems(rows, "id", "refs", evidence).collect()} == {"ok": (2, None), "lost": (3, "unknown"), "two": (2, "several-documents"), "gone": (2, "no-entry"), "changed": (2, "content")}
+
+
+def test_cases_after_a_fatal_failure_are_not_tried(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, True, "m", "m", "m"), (2, False, "m", "m", "m"), (3, False, "m", "m", "n"), (4, False, None, None, None), (5, True, "m", "m", "m")], "at int, completed boolean, model string, route string, resolved string")
+    cases = rows.withColumn("category", evaluation.stored_failure(*(F.col(c) for c in ("completed", "model", "route", "resolved"))))
+    tried = evaluation.until_fatal(cases.withColumn("fatal", F.coalesce(F.col("category").isin(*evaluation.FATAL), F.lit(False))), ["at"])
+    assert {r.at: (r.attempted, r.category) for r in tried.collect()} == {1: (True, None), 2: (True, "semantic-admission-invalid"), 3: (True, "semantic-generation-response-invalid"), 4: (True, "semantic-generation-transport-failed"), 5: (False, None)}
