@@ -16,6 +16,7 @@ points from 0; long texts are read whole.
 
 from __future__ import annotations
 
+import heapq
 import re
 import uuid
 from collections import Counter
@@ -52,6 +53,22 @@ def windows(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lane and first row of each window: at most ``WIDTH`` lanes of nearly one length, windows in them a row apart."""
+    lane, row = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    used = [(0, k) for k in range(min(WIDTH, len(sizes)))]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        row[i], lane[i] = used[0]
+        heapq.heapreplace(used, (used[0][0] + int(sizes[i]) + 1, used[0][1]))
+    return lane, row
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each begin to its end, one range after the other."""
+    sizes = end - begin
+    return np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+
+
 def fits(kind: str, item: str) -> bool:
     """Whether an item can be of its kind at all: a mail address has two sides, a number digits, a name two words."""
     if kind == "email":
@@ -73,14 +90,18 @@ class Finder:
         """(characters, K): every character's scores from its most central window."""
         out = np.empty((len(codes), K), np.float32)
         parts = windows(starts, lengths)
-        parts = parts[np.argsort(parts[:, 1] - parts[:, 0], kind="stable")]
-        for k in range(0, len(parts), WIDTH):
-            s, e, a, b = parts[k : k + WIDTH].T[:, :, None]
-            at = s + np.arange(int((e - s).max()))
-            ids = np.where(at < e, codes[np.minimum(at, len(codes) - 1)], PAD)
-            found = self.tagger.emissions(np.ascontiguousarray(ids.T, np.int64)).transpose(1, 0, 2)
-            count = (at >= a) & (at < b)
-            out[at[count]] = found[count]
+        parts = parts[np.argsort(parts[:, 2], kind="stable")]  # the parts that count then follow on each other
+        run = np.cumsum(parts[:, 1] - parts[:, 0]) // (2 * CHARS_AT_ONCE)  # several only where one text alone is longer than that
+        for own in np.split(parts, np.flatnonzero(np.diff(run)) + 1):
+            s, e, a, b = own.T
+            lane, row = lanes(e - s)
+            width = int(lane.max()) + 1
+            ids = np.full((int((row + e - s).max()), width), PAD, np.int64)
+            cell = (row - s) * width + lane  # of a window's character x: this and x rows more
+            at = _ranges(s, e)
+            ids.ravel()[np.repeat(cell, e - s) + at * width] = codes[at]
+            found = self.tagger.emissions(ids).reshape(-1, K)
+            found.take(np.repeat(cell, b - a) + _ranges(a, b) * width, axis=0, out=out[a[0] : b[-1]], mode="clip")
         return out
 
     def items(self, texts: list[str]) -> list[list[Item]]:
@@ -142,21 +163,17 @@ class Finder:
         """Paths (B, T) of scores (B, T, K); positions ``beyond`` a stretch keep the tag before them."""
         width, steps, _ = grid.shape
         trans = self.tagger.trans
-        best = grid[:, 0] + trans[0]
-        came = np.empty((steps, width, K), np.int8)
-        same = np.arange(K, dtype=np.int8)
+        grid = np.ascontiguousarray(grid.transpose(1, 2, 0))
+        best = np.empty((steps, K, width), grid.dtype)
+        best[0] = grid[0] + trans[0][:, None]
         for t in range(1, steps):
-            paths = best[:, :, None] + trans
-            went = paths.argmax(1)
-            new = np.take_along_axis(paths, went[:, None], 1)[:, 0] + grid[:, t]
-            off = beyond[:, t, None]
-            came[t] = np.where(off, same, went)
-            best = np.where(off, best, new)
+            np.add((best[t - 1][:, None] + trans[:, :, None]).max(0), grid[t], out=best[t])
+            np.copyto(best[t], best[t - 1], where=beyond[:, t])
         out = np.empty((width, steps), np.int8)
-        out[:, -1] = best.argmax(1)
-        rows = np.arange(width)
+        out[:, -1] = best[-1].argmax(0)
         for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = came[t][rows, out[:, t]]
+            came = (best[t - 1].T + trans.T[out[:, t]]).argmax(1)
+            out[:, t - 1] = np.where(beyond[:, t], out[:, t], came)
         return out
 
     def find(self, texts: list[str]) -> list[list[Item]]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -22,7 +23,9 @@ PAD = 0
 #: Which tag may follow which: an I tag only the B or I of its kind.
 ALLOWED = np.array([[not b.startswith("I") or a[2:] == b[2:] for b in TAGS] for a in TAGS])
 FORBIDDEN = -1e4
-BLOCK = 32
+#: Input of a gate that nothing opens.
+CLOSED = -1e9
+BLOCK, STEPS = 32, 64
 _PRINTABLE = [chr(c) for c in range(32, 127)]
 _CLASSES = ["upper", "lower", "other letter", "cjk", "digit", "space", "mark", "format", "dash", "quote", "punct", "symbol", "rest", "newline"]
 _IDS = {c: i + 1 for i, c in enumerate(_PRINTABLE)}
@@ -30,6 +33,7 @@ _FIRST_CLASS = len(_PRINTABLE) + 1
 VOCABULARY = _FIRST_CLASS + len(_CLASSES)
 
 
+@cache
 def _class_of(code: int) -> int:
     ch = chr(code)
     if ch in "\n\r\x85  ":
@@ -104,34 +108,48 @@ class Tagger:
         return self.recurrent.shape[2]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(T, B, K) scores of windows ``ids`` (T, B), a window per row of every product.
+        """(T, B, K) scores of ``ids`` (T, B), a lane of windows with a PAD between them per row of every product.
 
-        The products go through BLAS in blocks of ``BLOCK`` rows, which it does not share out
-        to threads: the cores are taken by as many tasks already.
+        A PAD closes all gates, which leaves the state as it is before a text, so a window's
+        scores follow from its own characters alone.  Each gate lies in a block of its own
+        (4, B, H), so that a step runs over unbroken memory, and ``STEPS`` steps at a time are
+        turned into scores while they are in the cache.  A product has at most 256 rows
+        (``pii.WIDTH``) of one gate, which BLAS does not share out to threads: the cores are
+        taken by as many tasks already.
         """
         steps, given = ids.shape
         width = -(-given // BLOCK) * BLOCK
         ids = np.pad(ids, ((0, 0), (0, width - given)), constant_values=PAD)
         n = self.hidden
-        states = np.empty((steps, width, 2 * n), np.float32)
+        scores = np.empty((steps, width, K), np.float32)
+        scores[:] = self.bias
+        states = np.empty((STEPS, width, n), np.float32)
+        gates, entering = np.empty((4, width, n), np.float32), np.empty((4, width, n), np.float32)
+        into, forget, onward, soft = gates[0], gates[1], gates[2], gates[:3]
+        low, high = np.float32(0), np.float32(1)
+        block = VOCABULARY * np.arange(4)[:, None]
         for d in (0, 1):
-            table, recurrent = np.ascontiguousarray(self.table[d].T), np.ascontiguousarray(self.recurrent[d].T)
+            table = np.ascontiguousarray(self.table[d].reshape(4, n, VOCABULARY).transpose(0, 2, 1))
+            table[:, PAD] = np.array([CLOSED, CLOSED, CLOSED, 0], np.float32)[:, None]
+            table = table.reshape(-1, n)
+            recurrent = np.ascontiguousarray(self.recurrent[d].reshape(4, n, n).transpose(0, 2, 1))
+            out = np.ascontiguousarray(self.out[:, d * n : (d + 1) * n].T)
             h, c, new = (np.zeros((width, n), np.float32) for _ in range(3))
-            gates, entering = np.empty((width, 4 * n), np.float32), np.empty((width, 4 * n), np.float32)
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                np.take(table, ids[t], axis=0, out=entering, mode="clip")
-                np.matmul(h.reshape(-1, BLOCK, n), recurrent, out=gates.reshape(-1, BLOCK, 4 * n))
-                gates += entering
-                soft = gates[:, : 3 * n]
-                np.clip(soft, 0.0, 1.0, out=soft)
-                np.tanh(gates[:, 3 * n :], out=new)
-                new *= gates[:, :n]
-                c *= gates[:, n : 2 * n]
-                c += new
-                np.tanh(c, out=new)
-                np.multiply(new, gates[:, 2 * n : 3 * n], out=h)
-                states[t, :, d * n : (d + 1) * n] = h
-        return (states.reshape(-1, BLOCK, 2 * n) @ self.out.T).reshape(steps, width, K)[:, :given] + self.bias
+            for k in range(0, steps, STEPS) if d == 0 else range((steps - 1) // STEPS * STEPS, -1, -STEPS):
+                rows = ids[k : k + STEPS, None] + block
+                for t in range(len(rows)) if d == 0 else range(len(rows) - 1, -1, -1):
+                    table.take(rows[t], 0, entering, "clip")
+                    np.matmul(h, recurrent, out=gates)
+                    np.add(gates, entering, out=gates)
+                    soft.clip(low, high, soft)
+                    np.tanh(gates[3], out=new)
+                    np.multiply(new, into, out=new)
+                    np.multiply(c, forget, out=c)
+                    np.add(c, new, out=c)
+                    np.tanh(c, out=new)
+                    h = np.multiply(new, onward, out=states[t])
+                scores[k : k + STEPS] += np.matmul(states[: len(rows)], out)
+        return scores[:, :given]
 
     def constrain(self) -> None:
         """Bring the transitions back under their constraints."""

@@ -112,6 +112,38 @@ def test_the_search_gives_the_best_path_of_the_whole_text(seed):
         assert all(TAGS[b][2:] == TAGS[a][2:] for a, b in zip(path, path[1:]) if TAGS[b][0] == "I")
 
 
+def test_scores_follow_from_the_text_alone(finder):
+    """A text is scored alike whatever longer texts are scored with it."""
+    texts = [c for c, _ in CASES[:6]]
+    others = [("The token meter truncated one duplicate message. " * 6)[: 90 + 2 * i] for i in range(60)]
+
+    def scores(texts):
+        lengths = np.array([len(t) for t in texts])
+        return finder.scores(char_ids("".join(texts)), np.cumsum(lengths) - lengths, lengths)
+
+    among = scores(texts + others)
+    at = 0
+    for text in texts:
+        assert np.allclose(scores([text]), among[at : at + len(text)], atol=0.01)
+        at += len(text)
+
+
+def test_the_tagger_runs_over_little_besides_the_windows():
+    """Steps beyond the characters of the windows are work for nothing; sizes as in the tables, of one kind and of both."""
+    rnd = np.random.default_rng(5)
+    seen = []
+    finder = pii.Finder(Fixed(np.zeros((K, K), np.float32), np.zeros((VOCABULARY, K), np.float32)))
+    emissions = finder.tagger.emissions
+    finder.tagger.emissions = lambda ids: (seen.append(ids.size), emissions(ids))[1]
+    short, long = rnd.integers(1, 400, 2000), rnd.integers(200, 30_000, 30)
+    for sizes in (short, long, np.concatenate([long, short])):
+        starts = np.cumsum(sizes) - sizes
+        parts = pii.windows(starts, sizes)
+        seen.clear()
+        finder.scores(np.ones(sizes.sum(), np.int16), starts, sizes)
+        assert sum(seen) <= 1.06 * (parts[:, 1] - parts[:, 0]).sum()
+
+
 def test_held_out_rows(finder):
     """Made sentences of another seed, and forms that training never makes: precision and recall of the tagger alone."""
     for held, least in ((False, {"recall": 0.98, "precision": 0.98}), (True, {"recall": 0.85, "precision": 0.95})):
